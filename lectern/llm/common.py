@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +66,12 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = C
 def fold(column) -> F.Column:
     """crc32(doc_id as text) mod 4: rows with 2 are held out of all training."""
     return F.crc32(column.cast("string")) % 4
+
+
+def per_process(key: object, make: Callable[[], object]):
+    """What `make` gives, made once in each Python process: workers that run many tasks compile
+    and load things once. Functions come to a worker anew with every task, so the place is a module."""
+    held = sys.modules.setdefault("_lectern_held", types.ModuleType("_lectern_held")).__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]

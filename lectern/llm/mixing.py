@@ -26,7 +26,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _key(docs: DataFrame, text: str) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col(text)), 1)
+    """60 bits of a digest of id and text, so that any engine can find the same order."""
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def _size(text: str) -> F.Column:
@@ -60,7 +62,7 @@ def prefix_sums(docs: DataFrame, text: str = "text", source: str = "source") ->
     by_source = by_source.select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("rows") / RANGE_ROWS).alias("ranges"), F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).alias("rounds"), words.alias("words"))
     by_source = by_source.withColumn("budget", F.col("words") - F.col("rounds") * F.col("source_size")).drop("words")
     ranged = slim.join(by_source, slim["source"].eqNullSafe(by_source["s"])).drop("s")
-    ranged = ranged.withColumn("range", F.least(F.floor(F.col("key") / F.lit(float(2**63)) * F.col("ranges")), F.col("ranges") - 1))
+    ranged = ranged.withColumn("range", F.least(F.floor(F.col("key") / F.lit(float(2**60)) * F.col("ranges")), F.col("ranges") - 1))
     totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("total"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("start"))

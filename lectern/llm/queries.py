@@ -21,15 +21,17 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH docs AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
+WITH docs AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 15))::BIGINT AS key, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
 f AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS fill FROM w),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM f WINDOW b AS (ORDER BY fill, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT arg_min(level, fill) FROM l WHERE level <= fill), 0)) AS target FROM l)
-SELECT doc_id, size, source_size, round(target, 6) AS target, docs.source
-FROM docs JOIN t ON docs.source IS NOT DISTINCT FROM t.source
+m AS (SELECT *, round(target)::BIGINT AS words, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS rounds FROM t),
+sums AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (rounds * size + greatest(0, least(size, words - rounds * source_size - before)))::BIGINT AS taken, sums.source
+FROM sums JOIN m ON sums.source IS NOT DISTINCT FROM m.source
 """
 
 OP10_SQL = r"""
@@ -57,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_host_rules": OP10_SQL}
+    return {"op8_mixing": OP8_SQL, "op10_host_rules": OP10_SQL}
