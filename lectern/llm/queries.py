@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, mixing
+from . import host_rules, mixing, packing, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ FROM r JOIN verdicts ON r.source IS NOT DISTINCT FROM verdicts.source
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_mixing": op8_mixing, "op10_host_rules": op10_host_rules}
+    return {"op4_token_counts": op4_token_counts, "op6_packing": op6_packing, "op8_mixing": op8_mixing, "op10_host_rules": op10_host_rules}
 
 
 def oracle_sql() -> dict[str, str]:

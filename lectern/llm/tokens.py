@@ -24,7 +24,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +52,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@cache
 def classes() -> np.ndarray:
     """Code point -> class."""
     kinds = {"L": LETTER, "N": NUMBER}
@@ -134,7 +132,7 @@ class Splitter:
     """Texts -> pre-tokens, with the file's special tokens as pre-tokens of their own."""
 
     def __init__(self, specials: list[str]):
-        self.classes = classes()
+        self.classes = per_process("classes", classes)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
     def split(self, texts: list[str]) -> list[list[str]]:
