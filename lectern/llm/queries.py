@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, mixing, packing, tokens
+from . import host_rules, mixing, packing, quality, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -63,7 +71,7 @@ FROM r JOIN verdicts ON r.source IS NOT DISTINCT FROM verdicts.source
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_token_counts": op4_token_counts, "op6_packing": op6_packing, "op8_mixing": op8_mixing, "op10_host_rules": op10_host_rules}
+    return {"op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op6_packing": op6_packing, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_host_rules": op10_host_rules}
 
 
 def oracle_sql() -> dict[str, str]:
