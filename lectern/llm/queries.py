@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, mixing, packing, quality, tokens, toxicity
+from . import fingerprints, host_rules, licenses, mixing, packing, quality, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +28,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -71,7 +79,8 @@ FROM r JOIN verdicts ON r.source IS NOT DISTINCT FROM verdicts.source
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_quality": op3_quality, "op4_token_counts": op4_token_counts, "op6_packing": op6_packing, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_host_rules": op10_host_rules}
+    found = (op1_licenses, op3_quality, op4_token_counts, op6_packing, op7_fingerprints, op8_mixing, op9_toxicity, op10_host_rules)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
