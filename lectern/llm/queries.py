@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, host_rules, licenses, mixing, packing, quality, tokens, toxicity
+from . import fingerprints, host_rules, licenses, lm, mixing, neardup, packing, quality, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -79,7 +87,7 @@ FROM r JOIN verdicts ON r.source IS NOT DISTINCT FROM verdicts.source
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_licenses, op3_quality, op4_token_counts, op6_packing, op7_fingerprints, op8_mixing, op9_toxicity, op10_host_rules)
+    found = (op1_licenses, op2_lm_scores, op3_quality, op4_token_counts, op5_near_duplicates, op6_packing, op7_fingerprints, op8_mixing, op9_toxicity, op10_host_rules)
     return {f.__name__: f for f in found}
 
 
