@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, materialize, per_process
-from .tokens import MAX_REMEMBERED, Splitter, default_path
+from .tokens import BLOCK, MAX_REMEMBERED, Splitter, default_path
 
 LENGTH = 1024
 END_ID = 2
@@ -35,7 +35,7 @@ FIT_STEPS = 400
 
 
 class Encoder:
-    """Texts -> little-endian unsigned 32-bit ids as bytes; pre-tokens' ids are remembered."""
+    """Texts -> ids; the ids of pre-tokens are remembered, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a process for each core
@@ -45,17 +45,25 @@ class Encoder:
         self.splitter = Splitter([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = self.splitter.split(texts)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text begins, and the end)."""
+        words, numbers, begins = self.splitter.split(texts)
         if len(self.known) > MAX_REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        new = [w for w in words if w not in known]
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        found = [known[w] for w in words]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        where = np.cumsum(size) - size
+        sizes = size[numbers]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(where[numbers] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        return ids, np.append(0, ends)[begins]
 
 
 def pieces(docs: DataFrame, text: str = "text", path: str | None = None, length: int = LENGTH, end: int = END_ID) -> DataFrame:
@@ -66,11 +74,12 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("encoder", path), lambda: Encoder(path))
         part, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
-        for batch, texts in blocks(batches, "text"):
+        for batch, texts in blocks(batches, "text", BLOCK):
             rows: list[tuple] = []
-            for i, ids in enumerate(encoder.encode(texts)):
-                ids += last
-                n = len(ids) // 4
+            everything, begins = encoder.encode(texts)
+            for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                ids = everything[a:b].tobytes() + last
+                n = b - a + 1
                 cuts = [0, *range(n % length or length, n + 1, length)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), int(seen[b - a])))

@@ -26,6 +26,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ MAX_STATES = 200_000
 MAX_REMEMBERED = 1_000_000
 #: Characters in a chunk of the prefix scan.
 CHUNK = 256
+#: Characters of text handled at once.
+BLOCK = 2_000_000
 
 #: Classes of characters. S, R, E, V and L are letters that matter after an apostrophe.
 LETTER, S, R, E, V, L, NUMBER, SPACE, BLANK, QUOTE, OTHER, END = range(12)
@@ -131,36 +134,61 @@ def boundaries(kinds: np.ndarray) -> np.ndarray:
 class Splitter:
     """Texts -> pre-tokens, with the file's special tokens as pre-tokens of their own."""
 
+    BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
     def __init__(self, specials: list[str]):
         self.classes = per_process("classes", classes)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
-
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """For each text its pre-tokens in order."""
-        pieces, owners = [], []
-        for i, t in enumerate(texts):
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the different pre-tokens, the number of each pre-token of the texts in order, where each
+        text begins in these numbers, and the end). Equal pre-tokens are found by a 64-bit hash of
+        their characters, so only different ones become strings."""
+        pieces, counts, whole = [], [], []
+        for t in texts:
             parts = self.special.split(t) if self.special and self.special.search(t) else [t]
+            whole += [len(pieces) + i for i in range(1, len(parts), 2)]
             pieces += parts
-            owners += [i] * len(parts)
-        out: list[list[str]] = [[] for _ in texts]
+            counts.append(len(parts))
         stream = "\0".join(pieces) + "\0"
-        kinds = self.classes[np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        points = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.classes[points]
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
         kinds[ends] = END
-        begins = boundaries(kinds)
-        cuts = np.searchsorted(begins, ends)  # the mark at a piece's end
-        places, first, start = begins.tolist(), 0, 0
-        for owner, piece, end, cut in zip(owners, pieces, ends.tolist(), cuts.tolist(), strict=True):
-            if piece:
-                if piece and self.special and self.special.fullmatch(piece):
-                    out[owner].append(piece)
-                else:
-                    inside = places[first:cut]
-                    if not inside or inside[0] != start:
-                        inside.insert(0, start)
-                    out[owner] += [stream[a:b] for a, b in zip(inside, [*inside[1:], end], strict=True)]
-            first, start = cut + 1, end + 1
-        return out
+        mark = np.zeros(len(stream), bool)
+        mark[boundaries(kinds)] = True
+        for i in whole:  # special tokens stay whole
+            mark[ends[i] - len(pieces[i]) + 1 : ends[i]] = False
+        mark[ends] = True
+        places = np.flatnonzero(mark)
+        begins = np.delete(np.arange(len(places)), np.searchsorted(places, ends))
+        start, stop = places[begins], places[begins + 1]
+        numbers, different = pd.factorize(self.hashes(points, start, stop))
+        first = np.empty(len(different), np.int64)
+        first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        words = [stream[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        text_ends = ends[np.cumsum(counts) - 1]
+        return words, numbers, np.append(0, np.searchsorted(start, text_ends))
+
+    def hashes(self, points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Polynomial hashes modulo 2**64, of mixed code points, by differences of running sums."""
+        if len(points) > len(self.powers):
+            for name, base in (("powers", int(self.BASE)), ("inverses", pow(int(self.BASE), -1, 2**64))):
+                table = np.full(2 * len(points), np.uint64(base))
+                table[0] = 1
+                setattr(self, name, np.multiply.accumulate(table))
+        mixed = (points.astype(np.uint64) + np.uint64(1)) * self.MIX
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= self.powers[: len(points)]
+        total = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+        return (total[stop] - total[start]) * self.inverses[start]
+
+
+def per_text(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of `values` between neighbouring `begins`."""
+    total = np.append(0, np.cumsum(values))
+    return total[begins[1:]] - total[begins[:-1]]
 
 
 class Counter:
@@ -297,11 +325,11 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, splitter = per_process(("token counts", path), lambda: counting(path))
-        for batch, texts in blocks(batches, "text"):
+        for batch, texts in blocks(batches, "text", BLOCK):
             sizes = [len(t.encode()) for t in texts]
-            counts = [sum(map(words.__getitem__, pieces)) for pieces in splitter.split(texts)]
-            n = pa.array(counts, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), n, pa.array([c > limit for c in counts])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            different, numbers, begins = splitter.split(texts)
+            counts = per_text(np.fromiter(map(words.__getitem__, different), np.int64, len(different))[numbers], begins)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
