@@ -59,7 +59,7 @@ w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAS
 f AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS fill FROM w),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM f WINDOW b AS (ORDER BY fill, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT arg_min(level, fill) FROM l WHERE level <= fill), 0)) AS target FROM l)
+t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT arg_min(level, fill) FROM l WHERE level <= fill), 0)) AS target FROM l),
 m AS (SELECT *, round(target)::BIGINT AS words, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS rounds FROM t),
 sums AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs)
 SELECT doc_id, size, source_size, round(target, 6) AS target, (rounds * size + greatest(0, least(size, words - rounds * source_size - before)))::BIGINT AS taken, sums.source
