@@ -57,9 +57,12 @@ def sections(text: str, markdown: bool) -> list[tuple[str | None, str]]:
     return [(h, c) for h, c in parts if c]
 
 
-@F.pandas_udf("array<struct<heading:string,content:string>>")
-def section_arrays(text: pd.Series, markdown: pd.Series) -> pd.Series:
-    return pd.Series([[{"heading": h, "content": c} for h, c in sections(t or "", bool(m))] for t, m in zip(text, markdown, strict=True)])
+def section_arrays(text: Column, markdown: Column) -> Column:
+    @F.pandas_udf("array<struct<heading:string,content:string>>")
+    def run(texts: pd.Series, flags: pd.Series) -> pd.Series:
+        return pd.Series([[{"heading": h, "content": c} for h, c in sections(t or "", bool(m))] for t, m in zip(texts, flags, strict=True)])
+
+    return run(text, markdown)
 
 
 def chunk_id(path: Column, index: Column) -> Column:
@@ -70,7 +73,7 @@ def chunk(docs: DataFrame, strategy: str = "sliding-window", size: int = 1500, o
     """path, format, content, other columns -> the other columns, chunk_id, document_path, document_format, content, chunk_index, heading."""
     others = [c for c in docs.columns if c not in ("path", "format", "content")]
     if strategy == "by-heading":
-        made = F.transform(section_arrays("content", F.col("format") == "md"), lambda x: F.struct(x["heading"].alias("heading"), x["content"].alias("content")))
+        made = F.transform(section_arrays(F.col("content"), F.col("format") == "md"), lambda x: F.struct(x["heading"].alias("heading"), x["content"].alias("content")))
     else:
         made = F.transform(windows(F.col("content"), size, overlap), lambda x: F.struct(F.lit(None).cast("string").alias("heading"), x.alias("content")))
     out = docs.select(*others, "path", "format", F.posexplode(made).alias("chunk_index", "part"))

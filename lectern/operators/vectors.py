@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .lexical import top
 
@@ -78,6 +79,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "chu
     """
     found = queries.select("query_id", "vector").collect()
     kind, id_kind = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    id_type, key_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "query_id"), (vectors, key)))
     blocks = [found[i : i + QUERY_BLOCK] for i in range(0, len(found), QUERY_BLOCK)] or [[]]
     out = None
     for block in blocks:
@@ -97,13 +99,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "chu
                 scale = np.outer(norms, np.linalg.norm(rows, axis=1))
                 score = np.divide(matrix @ rows.T, scale, out=np.zeros_like(scale), where=scale > 0)
                 score = np.round(score, 9)
-                names = np.array(batch.column(key).to_pylist())
+                names = batch.column(key).to_pylist()
                 if len(batch) > k:  # all that tie with the k-th stay
                     least = np.partition(score, len(batch) - k, axis=1)[:, len(batch) - k]
                     q, v = np.nonzero(np.round(score, 6) >= np.round(least, 6)[:, None])
                 else:
                     q, v = (x.ravel() for x in np.indices(score.shape))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(names[v].tolist()), pa.array(score[q, v])], names=["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], id_type), pa.array([names[i] for i in v], key_type), pa.array(score[q, v])], names=["query_id", key, "score"])
 
         part = vectors.select(key, "embedding").mapInArrow(run, f"query_id {id_kind}, {key} {kind}, score double")
         out = part if out is None else out.unionByName(part)
