@@ -32,6 +32,8 @@ LENGTH = 1024
 END_ID = 2
 #: Steps of the non-negative least squares fit.
 FIT_STEPS = 400
+#: Least repeats of the patterns that a plan uses; the last one leaves all to best-fit.
+LEAST_REPEATS = (1, 2, 4, 8, 16, 64, float("inf"))
 
 
 class Encoder:
@@ -142,14 +144,20 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int
 
 
 def plan(counts: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """`counts` of each length from 0 to `length` -> patterns and repeat counts that use them up."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    out: list[tuple[tuple[int, ...], int]] = []
-    patterns = enumerate_patterns(np.flatnonzero(left), length)
-    if len(patterns):
-        repeats = fit_repeats(patterns, left)
-        for at in np.argsort(-repeats, kind="stable"):
+    """`counts` of each length from 0 to `length` -> patterns and repeat counts that use them up.
+
+    Patterns of few repeats may take short pieces that long ones without an exact complement need, so
+    several least numbers of repeats are tried, and the plan with the fewest sequences is taken.
+    """
+    counts = counts.astype(np.int64).copy()
+    counts[0] = 0
+    patterns = enumerate_patterns(np.flatnonzero(counts), length)
+    repeats = fit_repeats(patterns, counts) if len(patterns) else np.zeros(0)
+    order = np.argsort(-repeats, kind="stable")
+    plans = []
+    for least in LEAST_REPEATS:
+        left, out = counts.copy(), []
+        for at in order[: int((repeats >= least).sum())]:
             pattern = tuple(int(v) for v in patterns[at] if v)
             most = min(int(left[v]) // pattern.count(v) for v in pattern)
             many = min(int(np.floor(repeats[at] + 1e-6)), most)
@@ -157,7 +165,8 @@ def plan(counts: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...]
                 out.append((pattern, many))
                 for v in pattern:
                     left[v] -= many
-    return out + best_fit(left, length)
+        plans.append(out + best_fit(left, length))
+    return min(plans, key=lambda p: sum(many for _, many in p))
 
 
 def places(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

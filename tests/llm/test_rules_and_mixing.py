@@ -1,0 +1,138 @@
+import os
+import re
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from lectern.llm import host_rules, licenses, mixing, queries
+
+from .helpers import documents, edge_rows, prose
+
+SF_DIR = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+
+
+def plain_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+
+
+@pytest.mark.parametrize("text", ["", "a", "a b c a b c", "x x x x x", "# a\n# a\n \nb & c", "é\x85ü v\x0bw", "one two three four one two three", "a b c d e " * 20])
+def test_measures(text):
+    assert host_rules.measures_of(text.encode())[:5] == plain_measures(text)
+
+
+def test_host_rules(spark):
+    docs = [(i, prose(i, 90), "good") for i in range(30)] + [(100 + i, "short", "bad") for i in range(30)] + [(200, prose(200, 90), "bad"), (201, prose(201, 90), None), (202, None, None)]
+    got = {r.doc_id: r for r in host_rules.digest(documents(spark, docs)).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        assert tuple(got[i])[1:6] == plain_measures(t)
+    assert all(got[i].kept for i in range(30)) and got[201].kept
+    assert got[100].base_failed and not got[200].base_failed and got[200].host_rejected and not got[200].kept
+    kept = host_rules.keep_good(documents(spark, docs))
+    assert kept.columns == documents(spark, []).columns and {r.doc_id for r in kept.collect()} == {*range(30), 201}
+
+
+def test_host_rules_edges(spark):
+    assert host_rules.digest(documents(spark, edge_rows())).count() == len(edge_rows())
+    assert host_rules.digest(documents(spark, [])).count() == 0
+    assert host_rules.keep_good(documents(spark, [])).count() == 0
+
+
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(sizes), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * sizes[s] + 1e-9}
+        if not over:
+            return out | {s: level * weight[s] for s in open_}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+@pytest.mark.parametrize("sources", [["a"], ["a", "b"], ["a", "b", "c", "d", None], ["a", "a", "a", "b", "é", "zz"]])
+def test_mixing(spark, sources):
+    docs = [(i, prose(i, 5 + 13 * i % 60), sources[i % len(sources)]) for i in range(120)]
+    got = mixing.digest(documents(spark, docs)).collect()
+    sizes: dict = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = plain_targets(sizes)
+    taken: dict = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
+    assert sorted(got) == sorted(mixing.digest(documents(spark, docs).repartition(3)).collect())
+
+
+def test_mix_of_whole_documents(spark):
+    docs = [(i, prose(i, 40), "ab"[i % 2]) for i in range(200)]
+    mixed = mixing.mix(documents(spark, docs))
+    assert mixed.columns == documents(spark, []).columns
+    words = {r.source: r.n for r in mixed.groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    want = plain_targets({"a": 4000, "b": 4000})
+    assert all(abs(40 * words[s] - want[s]) <= 40 for s in "ab")
+
+
+def test_mixing_edges(spark):
+    got = mixing.digest(documents(spark, edge_rows())).collect()
+    assert len(got) == len(edge_rows()) and all(r.taken == 0 for r in got if r.size == 0)
+    assert mixing.digest(documents(spark, [])).count() == 0 and mixing.mix(documents(spark, [])).count() == 0
+    assert mixing.digest(documents(spark, [(1, None, "a"), (2, "", "b")])).count() == 2
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for f in SF_DIR.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, str(SF_DIR)).toPandas()
+    rows = lambda f: sorted(f[sorted(f.columns)].astype(object).where(f.notna(), None).itertuples(index=False, name=None), key=repr)
+    assert rows(got) == rows(want)
+
+
+def test_licenses(spark):
+    texts = {
+        1: ("Released under the MIT License.", "mit", "mit", 1.0),
+        2: ("cc-by-nc CC BY NC 4.0", "cc-by-nc", "cc-by-nc", 1.0),
+        3: ("This work is licensed under the GNU General Public License, version 3.", "", "gpl-3", 0.95),
+        4: (None, "", "", 0.0),
+        5: ("under the mit license under the mit license", "mit", "mit", 1.0),
+        6: ("Licensed under the Apache License, Version 2.0.", "apache-2", "apache-2", 1.0),
+        7: ("SPDX-License-Identifier: GPL-2.0-or-later", "", "gpl-2", 1.0),
+        8: ("creative commons attribution share alike 4.0 international license", "", "cc-by-sa", 0.9),
+        9: ("mit dem Hund permission granted", "", "", 0.0),
+        10: ("dual GPL v3 / BSD license", "", "bsd,gpl-3", 0.7),
+    }
+    got = {r.doc_id: r for r in licenses.digest(documents(spark, [(i, t[0], "s") for i, t in texts.items()])).collect()}
+    assert {i: (r.base_labels, r.labels, r.score) for i, r in got.items()} == {i: t[1:] for i, t in texts.items()}
+    assert (got[5].n_words, got[5].n_base, got[5].first_word, got[5].last_word) == (8, 2, 0, 4)
+    assert (got[4].n_words, got[4].n_base, got[4].first_word) == (0, 0, None)
+
+
+def test_license_base_places(spark):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = [*edge_rows(), (20, "É CC by-nc; cc BY nc\x7f" * 400, "a"), (21, "License: under the MIT\x00license " + prose(9), "a")]
+    got = {(r.doc_id, r.n_words): r for r in licenses.digest(documents(spark, rows)).collect()}
+    for i, t, _ in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+        starts = [k for p in licenses.BASE for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        r = got[(i, len(words))]
+        assert (r.n_base, r.first_word, r.last_word) == (len(starts), min(starts, default=None), max(starts, default=None))
+    assert licenses.digest(documents(spark, [])).count() == 0 and len(licenses.rules()) >= 200
+
+
+def test_licenses_stay_in_the_jvm(spark):
+    plan = licenses.digest(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
