@@ -9,7 +9,7 @@ from .common import fold
 
 #: Most labelled documents that a classifier is fitted on; those with the smallest digests of their
 #: ids are taken, so the sample doesn't depend on partitions or on the order of rows.
-MOST_LABELLED = 8000
+MOST_LABELLED = 12000
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", most: int = MOST_LABELLED) -> tuple[list[str], list[int]]:

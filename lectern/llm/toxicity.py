@@ -29,7 +29,8 @@ from .tokens import Remembered
 
 BUCKETS = 1 << 20
 THRESHOLD = 0.3
-EPOCHS = 5
+#: Documents that training looks at in all, with repeats, and most times that it sees one.
+VISITS, EPOCHS = 120_000, 30
 #: Lengths of the beginnings of longer words that are features.
 STEMS = range(3, 9)
 #: The intercept at the start: a sentence of unknown words is almost surely harmless.
@@ -58,7 +59,7 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def train(texts: list[str], labels: list[int], rate: float = 0.5, l1: float = 2e-4, batch: int = 32, epochs: int = EPOCHS) -> np.ndarray:
+def train(texts: list[str], labels: list[int], rate: float = 0.5, l1: float = 2e-4, batch: int = 32) -> np.ndarray:
     """Weights of the buckets (float32), the intercept last."""
     w, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-2)
     w[BUCKETS] = START
@@ -74,7 +75,7 @@ def train(texts: list[str], labels: list[int], rate: float = 0.5, l1: float = 2e
     flat = np.array([f for fs in of_words for f in fs], np.int64)
     begin = np.cumsum([0, *map(len, of_words)])
     shuffle = np.random.default_rng(11)
-    for _ in range(epochs):
+    for _ in range(min(EPOCHS, -(-VISITS // max(1, len(rows))))):
         order = shuffle.permutation(len(rows))
         for at in range(0, len(order), batch):
             some = [rows[k] for k in order[at : at + batch]]
