@@ -10,13 +10,16 @@ L / (n + m - L) >= 0.8. It is found by a longest increasing run over equal shing
 of displacements that this similarity allows at most.
 
 Equal texts are one text from the start, by digest. In a bucket each text is held against one leader,
-the smallest digest, and not against all others; that joins most groups, in time linear in the rows. Texts
-of buckets that aren't all in one class then get `FINE_BANDS` finer buckets, of `FINE` sketches each, which
-part texts that are alike but not enough, and are held against one leader of each bucket, another one
-in every round, until all buckets are of one class or used up, or `ROUNDS` rounds are over. A pair whose
-sketches agree in fewer than `AGREE` of 40 places is left out (at a similarity of 0.8 some 25 do), as is one
-whose texts are in one class already. Classes are the connected components of the links, by alternating
-large-star and small-star steps over tables.
+the smallest digest, and not against all others; that joins most groups, in time linear in the rows. A pair
+whose sketches agree in fewer than `AGREE` of 40 places is left out there (at a similarity of 0.8 some 25 do).
+The texts of buckets that aren't all in one class then go through an exact join: a link needs a Jaccard
+similarity of 0.8 of the labelled shingles too, so the rarest fifth of a text's labelled shingles, its prefix,
+must hold one of the other's. After `LED` rounds of one leader for each shared prefix shingle, which join large
+groups, all pairs from different classes that share one and can still reach the similarity by their lengths
+and by its places are candidates. Those whose labelled shingles must differ too much, by the parities of their numbers in
+`PARITIES` classes, a lower bound, are left out, and the rest are aligned. Texts around a common template have prefixes of their own parts and give no
+pairs. Which shingles are frequent is counted on some of the texts; it orders the prefixes and changes no result.
+Classes are the connected components of the links, by alternating large-star and small-star steps over tables.
 
 Null and empty texts are equal to each other; texts without word characters are one shingle of all
 their characters. Rows with equal texts, and repeated rows, share a class. The class id is the
@@ -42,8 +45,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20
 SKETCHES = 2 * BANDS
-FINE, FINE_BANDS, ROUNDS = 5, 150, 5
 AGREE = 14
+#: Rounds of one leader for each prefix shingle, before all pairs.
+LED = 2
+#: One in so many texts has its shingles counted for the order of prefixes; so many shingles have their counts kept at most.
+COUNTED, MOST_COMMON = 8, 1_000_000
+PARITIES = 2048
 WORD = re.compile(r"\w+")
 #: Pairs of equal shingles that an alignment looks at, for each shingle, before only those with equal occurrence numbers count.
 MOST_PAIRS = 50
@@ -84,7 +91,7 @@ def occurrences(h: np.ndarray) -> np.ndarray:
 
 def sketch(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Order MinHash: for each seed a hash of the two smallest labelled shingles in the order of the text."""
-    labelled = h + occurrences(h).astype(np.uint64) * FACTORS[0]
+    labelled = labels(h)
     if len(h) == 1:
         return mixed(labelled[0] ^ seeds)
     out = []
@@ -149,10 +156,22 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return head + tail + run >= need
 
 
-def fine_bands() -> list[list[int]]:
-    """FINE_BANDS fixed random choices of FINE of the sketches."""
-    draw = np.random.default_rng(17)
-    return [sorted(draw.choice(SKETCHES, FINE, replace=False).tolist()) for _ in range(FINE_BANDS)]
+def labels(h: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrence numbers: equal ones within a text become different."""
+    return h + occurrences(h).astype(np.uint64) * FACTORS[0]
+
+
+def prefix(h: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest labelled shingles, of which any text that is similar enough has at least one in its own prefix."""
+    labelled = labels(h)
+    at = np.minimum(np.searchsorted(known, labelled), max(len(known) - 1, 0))
+    rank = np.where(known[at] == labelled, counts[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    return labelled[np.lexsort((labelled, rank))[: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]]
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Bits: whether the number of labelled shingles in each class is odd. Two texts have as many that the other lacks as bits that differ, at least."""
+    return np.packbits((np.bincount((labels(h) >> np.uint64(53)).astype(np.int64), minlength=PARITIES) & 1).astype(bool)).view(np.int64)
 
 
 def sketched(keyed: DataFrame) -> DataFrame:
@@ -176,13 +195,99 @@ def likely(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").where(same >= AGREE).select("a", "b")
 
 
+def texts_of(used: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """key and text of the different keys `k`, from the first row of each."""
+    used = used.join(firsts.select(F.col("key").alias("k"), F.col("doc_id").alias("d")), "k")
+    texts = keyed.join(used, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("key", "doc_id", "text").dropDuplicates(["key", "doc_id"])
+    return materialize(texts.select("key", "text"), "candidates")
+
+
+def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled shingles that are frequent in one of COUNTED texts, ascending, and their counts: MOST_COMMON at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(word_hash)
+        for _, some in blocks(batches, "text"):
+            h, n = np.unique(np.concatenate([labels(shingles(t, known)) for t in some]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counts = texts.where(F.pmod(F.xxhash64("key"), F.lit(COUNTED)) == 0).mapInArrow(run, "h long, n long")
+    counts = materialize(counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "common")
+    least, held = 1000, 0
+    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():  # 1000 rows at most
+        held += r["count"]
+        if held > MOST_COMMON:
+            break
+        least = r["n"]
+    found = counts.where(F.col("n") >= least).toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """bucket (a shingle of the prefix), key, n (shingles of the text), place (in the prefix) and, at place 0, bits (parities) of the texts."""
+    given = texts.sparkSession.sparkContext.broadcast(common(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(word_hash)
+        for batch, some in blocks(batches, "text"):
+            cut = [shingles(t, known) for t in some]
+            n = np.array([len(h) for h in cut])
+            found = [prefix(h, *given.value) for h in cut]
+            sizes = [len(x) for x in found]
+            of = np.repeat(np.arange(len(cut)), sizes)
+            places = np.concatenate([np.arange(k) for k in sizes])
+            bits = pa.array([list(parities(h)) if k == 0 else None for h, size in zip(cut, sizes, strict=True) for k in range(size)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("key").take(pa.array(of)), pa.array(n[of]), pa.array(places), bits], names=["bucket", "key", "n", "place", "bits"])
+
+    return materialize(texts.mapInArrow(run, "bucket long, key binary, n long, place long, bits array<long>"), "prefixes")
+
+
+def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose parities don't rule out a link."""
+    of = lambda c: rows.where("place = 0").select(F.col("key").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("s" + c))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    total = F.col("na") + F.col("nb")
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * total - 1e-9)
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(differ <= total - 2 * need).select("a", "b")
+
+
+def reachable(x: str, y: str) -> F.Column:
+    """Whether texts with a first common prefix shingle at these places can be similar enough; `x` is the one with fewer shingles."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    left = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
+    return (n >= SIMILARITY * m - 1e-9) & (left >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-9)
+
+
+def mixed_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows, with their roots, of buckets that aren't of one class."""
+    rows = rows.join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    return rows.join(several, "bucket", "left_semi")
+
+
+def led_pairs(rows: DataFrame, step: int) -> DataFrame:
+    """Pairs of one leader for each bucket with the others."""
+    leader = F.struct(F.xxhash64("key", "bucket", F.lit(step)).alias("o"), "key", "n", "place", "root")
+    x, y = rows.groupBy("bucket").agg(F.min(leader).alias("x")).select("bucket", "x.*").alias("x"), rows.alias("y")
+    pairs = x.join(y, "bucket").where((F.col("x.root") != F.col("y.root")) & (reachable("x", "y") & (F.col("x.n") <= F.col("y.n")) | reachable("y", "x") & (F.col("y.n") < F.col("x.n"))))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of one bucket and two classes that can be similar enough. The shorter text's shared shingle is in its shorter prefix."""
+    short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9)
+    x, y = short.alias("x"), rows.alias("y")
+    first = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key"))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & first & reachable("x", "y"))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts are linked; texts come from the first row of each key."""
     pairs = materialize(pairs, "pairs")
-    used = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    used = used.join(firsts.select(F.col("key").alias("k"), F.col("doc_id").alias("d")), "k")
-    texts = keyed.join(used, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("key", "doc_id", "text").dropDuplicates(["key", "doc_id"])
-    texts = materialize(texts.select("key", "text"), "candidates")
+    texts = texts_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), keyed, firsts)
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -230,30 +335,16 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     active = firsts.select("key", F.explode(bands).alias("bucket"))
     least = active.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").drop("z")
     active = materialize(active.join(least, "bucket"), "led")
-    pairs, step, roots = active.where("a != key").select("a", F.col("key").alias("b")), 0, None
-    while True:
-        if roots is not None:
-            root_of = lambda c: roots.toDF(c, "r" + c)
-            pairs = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links = materialize(verified(likely(pairs.distinct(), firsts), keyed, firsts), "links")
-        if roots is None:
-            roots = components(links)
-        elif not links.isEmpty():
-            roots = components(roots.toDF("a", "b").unionByName(links))
-        rest = active.where("a != key").join(roots.toDF("key", "root"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-        mixed_ones = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        rest = rest.join(mixed_ones, "bucket", "left_semi")
-        step += 1
-        if step == 1:
-            fine = F.transform(F.lit(fine_bands()), lambda c: F.xxhash64(*(F.get(F.col("sketches"), F.get(c, k)) for k in range(FINE)), c))
-            rest = rest.select("key").distinct().join(firsts.select("key", "sketches"), "key").select("key", F.explode(fine).alias("bucket"))
-        rest = materialize(rest.select("bucket", "key"), "mixed")
-        if step > ROUNDS or rest.isEmpty():
-            break
-        order = F.struct(F.xxhash64("key", F.lit(step)).alias("o"), "key")
-        least = rest.groupBy("bucket").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo.key != hi.key").select("bucket", F.col("lo.key").alias("a"))
-        active = materialize(rest.join(least, "bucket"), "led")
-        pairs = active.where("a != key").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+    pairs = active.where("a != key").select("a", F.col("key").alias("b"))
+    roots = components(materialize(verified(likely(pairs.distinct(), firsts), keyed, firsts), "links"))
+    rest = materialize(mixed_rows(active.where("a != key").select("bucket", "key"), roots).select(F.col("key").alias("k")).distinct(), "mixed")
+    if not rest.isEmpty():
+        rows_of = prefixes(texts_of(rest, keyed, firsts))
+        for step in range(LED + 1):
+            held = materialize(mixed_rows(rows_of.drop("bits"), roots), "shared")
+            links = materialize(verified(possible(led_pairs(held, step) if step < LED else all_pairs(held), rows_of), keyed, firsts), "links")
+            if not links.isEmpty():
+                roots = components(roots.toDF("a", "b").unionByName(links))
     named = firsts.select("key", "doc_id").join(roots.toDF("key", "root"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     named = materialize(named, "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))

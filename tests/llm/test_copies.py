@@ -152,3 +152,14 @@ def test_fingerprint_edges(spark):
     assert len(got) == len(edge_rows()) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert {r.fingerprint for r in got if r.n_chars == 0} == {""}
     assert fingerprints.compare(documents(spark, [])).count() == 0
+
+
+def test_copies_within_a_large_family(spark):
+    """Pairs around one template: each has one near copy, and is alike to all others, but not enough."""
+    shared, rows = prose(11, 101).split(), []
+    for k in range(700):
+        own = [f"own{k}x{j}" for j in range(24)]
+        copy = own[:-11] + [f"other{k}x{j}" for j in range(11)]
+        rows += [(2 * k, " ".join(shared + own), "a"), (2 * k + 1, " ".join(shared + copy), "a")]
+    got = {r.doc_id: r.class_id for r in neardup.digest(documents(spark, rows)).collect()}
+    assert [k for k in range(700) if got[2 * k] != 2 * k or got[2 * k + 1] != 2 * k] == []
