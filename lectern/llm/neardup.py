@@ -52,7 +52,7 @@ LED = 2
 COUNTED, MOST_COMMON = 8, 1_000_000
 PARITIES = 2048
 WORD = re.compile(r"\w+")
-#: Pairs of equal shingles that an alignment looks at, for each shingle, before only those with equal occurrence numbers count.
+#: Pairs of equal shingles, for each shingle, above which an alignment works on rows of bits instead.
 MOST_PAIRS = 50
 MIX = np.uint64(0xD6E8FEB86659FD93)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -125,6 +125,29 @@ def longest_run(pairs: Iterator[int]) -> int:
     return len(tails)
 
 
+def longest_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, with one bit for each place of b (Crochemore and others); its cost doesn't depend on repeats."""
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    full, often = (1 << len(b)) - 1, len(b) // 256
+    row, held = full, {}
+    for x, y in zip(low.tolist(), high.tolist(), strict=True):
+        if x == y:
+            continue
+        if (places := held.get(x)) is None:
+            if y - x <= 16:
+                places = sum(1 << k for k in order[x:y].tolist())
+            else:
+                bits = np.zeros(len(b), bool)
+                bits[order[x:y]] = True
+                places = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if y - x > often:
+                held[x] = places
+        met = row & places
+        row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether an alignment within the band keeps enough shingles of a and b."""
     total = len(a) + len(b)
@@ -145,9 +168,9 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     order = np.argsort(b, kind="stable")
     low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     if (high - low).sum() > MOST_PAIRS * (len(a) + len(b)):
-        a, b = (x + occurrences(x).astype(np.uint64) * FACTORS[0] for x in (a, b))
-        order = np.argsort(b, kind="stable")
-        low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+        if head + tail + len(np.intersect1d(labels(a), labels(b), assume_unique=True)) < need:
+            return False
+        return head + tail + longest_common(a, b) >= need
     if head + tail + (high > low).sum() < need:
         return False
     places = order.tolist()

@@ -50,6 +50,20 @@ def test_alignment_of_repeats():
     assert neardup.aligned(a, a[50:]) and not neardup.aligned(a, a[1500:])
 
 
+def test_alignment_of_repeats_between_other_lines():
+    known, line = Remembered(neardup.word_hash), "one line of twelve words that stands between all of the others here".split()
+    parts = [[*line, f"a{k}", f"b{k}", f"c{k}"] for k in range(300)]
+    without = lambda at: neardup.shingles(" ".join(w for k, p in enumerate(parts) for w in (p[12:] if k == at else p)), known)
+    assert neardup.aligned(without(297), without(2))
+
+
+def test_longest_common_of_repeats():
+    draw = np.random.default_rng(1)
+    for _ in range(30):
+        a, b = (draw.integers(0, 4, draw.integers(1, 90)).astype(np.uint64) for _ in range(2))
+        assert neardup.longest_common(a, b) == lcs(a.tolist(), b.tolist())
+
+
 def test_sketches_see_order():
     known, order = Remembered(neardup.word_hash), neardup.seeds()
     h = neardup.shingles(prose(4, 200), known)
