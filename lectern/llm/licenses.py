@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in Spark SQL expressions only.
 
 A text's ASCII letters are lowered and every run of other than word characters becomes one space, so
-signatures are patterns over words. One cheap pattern over the raw text gates all work; a rule runs
-only where its keyword occurs. Each match is an interval of words. Rules are ordered by tier: a match
+signatures are patterns over words. One cheap pattern over the raw text gates all
+work; a rule runs only where one of its keywords occurs. Each match is an interval of words. Rules are ordered by tier: a match
 whose interval lies within that of a match of the same or an earlier tier is dropped (equal ones: the
 first in tier and label stays), so "cc by" inside "cc by nc" says nothing. The base phrases always
 stay. There's no shuffle: every document is handled in its own row.
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 #: Phrases that are always found, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label -> (keyword, pattern of its names among words). Each makes a rule with every form below.
+#: Label -> (keywords, of which every name holds one; pattern of its names among words). Each makes a rule with every form below.
 NAMES = {
-    "mit": ("mit", "(?:mit|expat|mit expat)"),
+    "mit": ("mit|expat", "(?:mit|expat|mit expat)"),
     "mit-0": ("mit", "mit (?:0|no attribution)"),
     "x11": ("x11", "x11"),
     "isc": ("isc", "isc"),
@@ -31,19 +31,19 @@ NAMES = {
     "bsd-3-clause": ("bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd|three clause bsd)"),
     "bsd-4-clause": ("bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     "bsd": ("bsd", "bsd"),
-    "gpl-3": ("g", "(?:gnu )?(?:gpl|general public licen[sc]e(?: gpl)?)(?: version)? v?3(?: 0)?(?: or later)?"),
-    "gpl-2": ("g", "(?:gnu )?(?:gpl|general public licen[sc]e(?: gpl)?)(?: version)? v?2(?: 0)?(?: or later)?"),
-    "gpl": ("g", "(?:gnu (?:gpl|general public licen[sc]e)|gpl)"),
-    "lgpl-3": ("l", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: version)? v?3(?: 0)?(?: or later)?"),
-    "lgpl-2.1": ("l", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: version)? v?2 1(?: or later)?"),
-    "lgpl": ("l", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)"),
-    "agpl-3": ("a", "(?:gnu )?(?:agpl|affero general public licen[sc]e)(?: version)?(?: v?3(?: 0)?)?(?: or later)?"),
-    "gfdl": ("f", "(?:gnu )?(?:gfdl|fdl|free documentation licen[sc]e)(?: version)?(?: v?1 [123])?"),
-    "mpl-2": ("m", "(?:mpl|mozilla public licen[sc]e)(?: version)? v?2(?: 0)?"),
-    "mpl-1.1": ("m", "(?:mpl|mozilla public licen[sc]e)(?: version)? v?1 1"),
-    "epl-2": ("e", "(?:epl|eclipse public licen[sc]e)(?: version)? v?2(?: 0)?"),
-    "epl-1": ("e", "(?:epl|eclipse public licen[sc]e)(?: version)? v?1(?: 0)?"),
-    "eupl-1.2": ("eu", "(?:eupl|european union public licen[sc]e)(?: version)? v?1 2"),
+    "gpl-3": ("gpl|general public", "(?:gnu )?(?:gpl|general public licen[sc]e(?: gpl)?)(?: version)? v?3(?: 0)?(?: or later)?"),
+    "gpl-2": ("gpl|general public", "(?:gnu )?(?:gpl|general public licen[sc]e(?: gpl)?)(?: version)? v?2(?: 0)?(?: or later)?"),
+    "gpl": ("gpl|general public", "(?:gnu (?:gpl|general public licen[sc]e)|gpl)"),
+    "lgpl-3": ("lgpl|lesser general public", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: version)? v?3(?: 0)?(?: or later)?"),
+    "lgpl-2.1": ("lgpl|lesser general public", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: version)? v?2 1(?: or later)?"),
+    "lgpl": ("lgpl|lesser general public", "(?:gnu )?(?:lgpl|lesser general public licen[sc]e)"),
+    "agpl-3": ("agpl|affero", "(?:gnu )?(?:agpl|affero general public licen[sc]e)(?: version)?(?: v?3(?: 0)?)?(?: or later)?"),
+    "gfdl": ("fdl|free documentation", "(?:gnu )?(?:gfdl|fdl|free documentation licen[sc]e)(?: version)?(?: v?1 [123])?"),
+    "mpl-2": ("mpl|mozilla", "(?:mpl|mozilla public licen[sc]e)(?: version)? v?2(?: 0)?"),
+    "mpl-1.1": ("mpl|mozilla", "(?:mpl|mozilla public licen[sc]e)(?: version)? v?1 1"),
+    "epl-2": ("epl|eclipse", "(?:epl|eclipse public licen[sc]e)(?: version)? v?2(?: 0)?"),
+    "epl-1": ("epl|eclipse", "(?:epl|eclipse public licen[sc]e)(?: version)? v?1(?: 0)?"),
+    "eupl-1.2": ("eupl|european union", "(?:eupl|european union public licen[sc]e)(?: version)? v?1 2"),
     "cddl-1": ("cddl", "(?:cddl|common development and distribution licen[sc]e cddl)(?: version)?(?: v?1(?: [01])?)?"),
     "cpl-1": ("common public", "common public licen[sc]e(?: version)?(?: v?1(?: 0)?)?"),
     "artistic-2": ("artistic", "artistic(?: license)?(?: version)? v?2(?: 0)?"),
@@ -54,7 +54,7 @@ NAMES = {
     "unlicense": ("unlicense", "unlicense"),
     "wtfpl": ("wtfpl", "wtfpl(?: version)?(?: v?2)?"),
     "postgresql": ("postgresql", "postgresql"),
-    "python-2": ("python", "(?:python software foundation|psf)(?: license)?(?: version)?(?: v?2(?: 0)?)?"),
+    "python-2": ("python|psf", "(?:python software foundation|psf)(?: license)?(?: version)?(?: v?2(?: 0)?)?"),
     "php-3": ("php", "php(?: license)?(?: version)? v?3(?: 0[01]?)?"),
     "ofl-1.1": ("open font", "(?:sil )?open font(?: license)?(?: version)?(?: v?1 1)?"),
     "odbl-1": ("open d", "(?:open data commons )?open database(?: license)?(?: v?1(?: 0)?)?"),
@@ -76,11 +76,12 @@ LONG_NAMES = {
     "cc-by-nc-sa": "attribution non ?commercial share ?alike",
     "cc-by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?",
 }
-#: Tier -> (confidence, a keyword of the form, its pattern around a name). Earlier tiers go first.
+VERBS = "(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|shared|offered|covered) under"
+#: Tier -> (confidence, what every match holds, its pattern around a name). Earlier tiers go first.
 FORMS = {
     1: (1.0, "spdx", "spdx license identifier {}"),
-    2: (0.95, "under", "(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|shared|offered|covered) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: (?:public )?licen[sc]e)?"),
-    3: (0.85, "under", "under (?:the )?(?:terms of (?:the )?)?{} licen[sc]e"),
+    2: (0.95, VERBS, VERBS + " (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: (?:public )?licen[sc]e)?"),
+    3: (0.85, "licen", "under (?:the )?(?:terms of (?:the )?)?{} licen[sc]e"),
     4: (0.7, "licen", "(?:{0} licen[sc]e|licen[sc]e (?:is |type )?{0})"),
 }
 #: Names that stand for a license without any word around them, and the confidence then.
@@ -104,11 +105,11 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def rules() -> list[tuple[int, float, str, str, str]]:
-    """(tier, confidence, label, keyword, pattern): every name in every form, and the rest."""
+    """(tier, confidence, label, keywords, pattern): every name in every form, and the rest."""
     out = []
-    for tier, (confidence, key, form) in FORMS.items():
+    for tier, (confidence, _, form) in FORMS.items():
         for label, (keyword, name) in NAMES.items():
-            out.append((tier, confidence, label, keyword if len(keyword) > 2 else key, form.format(name)))
+            out.append((tier, confidence, label, keyword, form.format(name)))
     for label, (keyword, name) in NAMES.items():
         if label in ALONE:
             out.append((5, ALONE_CONFIDENCE, label, keyword, name))
@@ -138,9 +139,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     raw = F.coalesce(F.col(text), F.lit(""))
     words = F.regexp_replace(F.concat(F.lit(" "), F.translate(raw, upper, lower), F.lit(" ")), BETWEEN, " ")
-    table = "array(" + ", ".join(f"named_struct('t', {t}, 'c', {c}D, 'l', {_text(label)}, 'k', {_text(k)}, 'p', {_text(f' {p}(?= )')})" for t, c, label, k, p in rules()) + ")"
+    table = "array(" + ", ".join(f"named_struct('t', {t}, 'c', {c}D, 'l', {_text(label)}, 'k', {_text(k.split("|")[0])}, 'k2', {_text(k.split("|")[1]) if "|" in k else "cast(null AS string)"}, 'p', {_text(f' {p}(?= )')})" for t, c, label, k, p in rules()) + ")"
     base = "array(" + ", ".join(f"named_struct('l', {_text(label)}, 'p', {_text(f' {p}(?= )')})" for p, label in BASE.items()) + ")"
-    matches = f"""flatten(transform(filter({table}, r -> contains(words, r.k)), r -> transform({_places("words", "r.p")}, m -> named_struct('s', m.s, 'e', -m.e, 't', r.t, 'l', r.l, 'c', r.c))))"""
+    matches = f"""flatten(transform(filter({table}, r -> contains(words, r.k) OR (r.k2 IS NOT NULL AND contains(words, r.k2))), r -> transform({_places("words", "r.p")}, m -> named_struct('s', m.s, 'e', -m.e, 't', r.t, 'l', r.l, 'c', r.c))))"""
     best = [f"a.m{k}" for k in range(1, 6)]
     within = " OR ".join(f"(x.t >= {k} AND {m} >= -x.e)" for k, m in enumerate(best, 1))
     sweep = f"""aggregate(array_sort({matches}),

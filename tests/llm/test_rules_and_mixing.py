@@ -133,6 +133,13 @@ def test_license_base_places(spark):
     assert licenses.digest(documents(spark, [])).count() == 0 and len(licenses.rules()) >= 200
 
 
+def test_each_alternative_of_a_license_name_is_found(spark):
+    texts = {"licensed under the PSF License version 2": "python-2", "released under the Expat License": "mit", "Python Software Foundation License": "python-2", "GNU General Public License v2": "gpl-2", "Affero General Public License": "agpl-3", "Mozilla Public License 2.0": "mpl-2", "Eclipse Public License 1.0": "epl-1", "European Union Public Licence 1.2": "eupl-1.2", "GNU Free Documentation License": "gfdl", "Lesser General Public License 2.1": "lgpl-2.1"}
+    rows = [(k, t if "nder" in t else f"license: {t} license", "a") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.digest(documents(spark, rows)).collect()}
+    assert all(label in got[k] for k, label in enumerate(texts.values())), got
+
+
 def test_licenses_stay_in_the_jvm(spark):
     plan = licenses.digest(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
