@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in Spark SQL expressions only.
 
 A text's ASCII letters are lowered and every run of other than word characters becomes one space, so
-signatures are patterns over words. One cheap pattern over the raw text gates all
+signatures are patterns over words. One cheap pattern over the raw text, made from the rules, gates all
 work; a rule runs only where one of its keywords occurs. Each match is an interval of words. Rules are ordered by tier: a match
 whose interval lies within that of a match of the same or an earlier tier is dropped (equal ones: the
 first in tier and label stays), so "cc by" inside "cc by nc" says nothing. The base phrases always
@@ -98,8 +98,6 @@ OTHERS = [
     (2, 0.9, "wtfpl", "do what the f", "do what the fuck you want to public license"),
     (2, 0.9, "unlicense", "free and unencumbered", "free and unencumbered software released into the public domain"),
 ]
-#: What a text must hold, in any case, before it is looked at.
-GATE = r"(?i)licen|spdx|cc[^0-9a-z]+by|cc0|gpl|apache|public[^0-9a-z]+domain|creative[^0-9a-z]+commons|rights[^0-9a-z]+reserved|hereby[^0-9a-z]+granted|permission[^0-9a-z]+to[^0-9a-z]+use|redistribution|wtfpl|bsd|mozilla|mpl|without[^0-9a-z]+any[^0-9a-z]+express|do[^0-9a-z]+what[^0-9a-z]+the"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -118,6 +116,14 @@ def rules() -> list[tuple[int, float, str, str, str]]:
     return out + OTHERS
 
 
+def gate() -> str:
+    """What a text must hold, in any case, before it is looked at: what a form holds, or a keyword of a rule without a form."""
+    rest = [k for tier, _, _, keys, pattern in rules() if tier == 5 or pattern.startswith("creative commons ") or (tier, keys, pattern) in {(x[0], x[3], x[4]) for x in OTHERS} for k in keys.split("|")]
+    needs = {*(need for _, need, _ in FORMS.values()), *rest, *BASE}
+    short = [k for k in needs if k == VERBS or not any(other != k and other in k for other in needs)]  # VERBS is a pattern, the others are plain words
+    return "(?i)" + "|".join(sorted(k.replace(" ", "[^0-9a-z]+") for k in short))
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -150,7 +156,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         'out', if({within}, a.out, array_append(a.out, named_struct('tier', x.t, 'confidence', x.c, 'label', x.l, 's', x.s, 'e', -x.e)))),
       a -> a.out)"""
     found_base = f"flatten(transform({base}, r -> transform({_places('words', 'r.p')}, m -> named_struct('label', r.l, 's', m.s, 'e', m.e))))"
-    gated = docs.select("doc_id", F.regexp_count(raw, F.lit(WORD)).cast("long").alias("n_words"), F.when(raw.rlike(GATE), words).alias("words"))
+    gated = docs.select("doc_id", F.regexp_count(raw, F.lit(WORD)).cast("long").alias("n_words"), F.when(raw.rlike(gate()), words).alias("words"))
     return gated.select("doc_id", "n_words", F.expr(f"if(words IS NULL, cast(array() AS array<struct<label:string,s:int,e:int>>), {found_base})").alias("base"), F.expr(f"if(words IS NULL, cast(array() AS array<struct<tier:int,confidence:double,label:string,s:int,e:int>>), {sweep})").alias("found"))
 
 

@@ -133,6 +133,15 @@ def test_license_base_places(spark):
     assert licenses.digest(documents(spark, [])).count() == 0 and len(licenses.rules()) >= 200
 
 
+def test_license_gate_lets_every_form_through(spark):
+    names = {"MIT": "mit", "Expat": "mit", "ISC": "isc", "X11": "x11", "zlib": "zlib", "EPL 2.0": "epl-2", "EUPL 1.2": "eupl-1.2", "CDDL 1.0": "cddl-1", "Artistic 2.0": "artistic-2", "Boost Software": "bsl-1", "Business Source": "busl-1.1", "PostgreSQL": "postgresql", "PSF": "python-2", "PHP 3": "php-3", "Open Font": "ofl-1.1", "Open Database": "odbl-1", "GFDL 1.3": "gfdl"}
+    verbs = ["Released", "Distributed", "Available", "Published", "Provided", "Covered"]
+    rows = [(k, f"{verbs[k % 6]} under\tthe {n}.", "a") for k, n in enumerate(names)]
+    got = {r.doc_id: r.labels for r in licenses.digest(documents(spark, rows)).collect()}
+    assert [got[k] for k in range(len(names))] == list(names.values())
+    assert all(re.search(licenses.gate(), k) for k in licenses.BASE)
+
+
 def test_each_alternative_of_a_license_name_is_found(spark):
     texts = {"licensed under the PSF License version 2": "python-2", "released under the Expat License": "mit", "Python Software Foundation License": "python-2", "GNU General Public License v2": "gpl-2", "Affero General Public License": "agpl-3", "Mozilla Public License 2.0": "mpl-2", "Eclipse Public License 1.0": "epl-1", "European Union Public Licence 1.2": "eupl-1.2", "GNU Free Documentation License": "gfdl", "Lesser General Public License 2.1": "lgpl-2.1"}
     rows = [(k, t if "nder" in t else f"license: {t} license", "a") for k, t in enumerate(texts)]
