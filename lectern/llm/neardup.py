@@ -11,8 +11,8 @@ of displacements that this similarity allows at most.
 
 Equal texts are one text from the start, by digest. In a bucket each text is held against one leader,
 the smallest digest, and not against all others; that joins most groups, in time linear in the rows. A pair
-whose sketches agree in fewer than `AGREE` of 40 places is left out there (at a similarity of 0.8 some 25 do).
-The texts of buckets that aren't all in one class then go through an exact join: a link needs a Jaccard
+whose sketches agree in fewer than `AGREE` of 40 places is left out there (at a similarity of 0.8 some 25 do);
+it isn't lost, as its bucket isn't of one class then. The texts of buckets that aren't all in one class, leaders too, go through an exact join: a link needs a Jaccard
 similarity of 0.8 of the labelled shingles too, so the rarest fifth of a text's labelled shingles, its prefix,
 must hold one of the other's. After `LED` rounds of one leader for each shared prefix shingle, which join large
 groups, all pairs from different classes that share one and can still reach the similarity by their lengths
@@ -360,7 +360,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     active = materialize(active.join(least, "bucket"), "led")
     pairs = active.where("a != key").select("a", F.col("key").alias("b"))
     roots = components(materialize(verified(likely(pairs.distinct(), firsts), keyed, firsts), "links"))
-    rest = materialize(mixed_rows(active.where("a != key").select("bucket", "key"), roots).select(F.col("key").alias("k")).distinct(), "mixed")
+    rest = materialize(mixed_rows(active.select("bucket", "key"), roots).select(F.col("key").alias("k")).distinct(), "mixed")
     if not rest.isEmpty():
         rows_of = prefixes(texts_of(rest, keyed, firsts))
         for step in range(LED + 1):

@@ -177,3 +177,10 @@ def test_copies_within_a_large_family(spark):
         rows += [(2 * k, " ".join(shared + own), "a"), (2 * k + 1, " ".join(shared + copy), "a")]
     got = {r.doc_id: r.class_id for r in neardup.digest(documents(spark, rows)).collect()}
     assert [k for k in range(700) if got[2 * k] != 2 * k or got[2 * k + 1] != 2 * k] == []
+
+
+def test_pairs_that_sketches_refuse_are_aligned(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "AGREE", neardup.SKETCHES + 1)
+    rows = [(k, edited(prose(30 + k % 3, 250), 2, k), "a") for k in range(9)]
+    got = sorted(map(tuple, neardup.digest(documents(spark, rows)).select("doc_id", "class_id").collect()))
+    assert got == plain_classes(rows)
