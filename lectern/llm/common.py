@@ -8,12 +8,14 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a Python worker handles at once.
-CHARS_PER_BLOCK = 4_000_000
+#: Bytes of text that a Python worker handles at once.
+BYTES_PER_BLOCK = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def tagged(df: DataFrame, prefix: str = "__lt") -> str:
     """A column prefix that no column of `df` begins with, whatever its letter case."""
     names = [c.lower() for c in df.columns]
@@ -49,18 +59,19 @@ def tagged(df: DataFrame, prefix: str = "__lt") -> str:
     return prefix
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHARS_PER_BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches of about `chars` characters, with their texts (null: empty)."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BYTES_PER_BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches of about `size` bytes of text (one row at least), with their texts (null: empty).
+
+    The slices are cut by the texts' lengths before any of them becomes a Python string."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        start = held = 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= chars:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(batch):
+            held = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, held + size, "right")))
+            some = batch.slice(start, stop - start)
+            yield some, [t or "" for t in some.column(text).to_pylist()]
+            start = stop
 
 
 def fold(column) -> F.Column:

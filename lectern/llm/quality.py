@@ -3,11 +3,14 @@
 A text is a row of words and marks. Its features are hashed n-grams (1 and 2) of the lower-cased
 words and n-grams (1 to 3) of their shapes (case, digits, which mark, same as the one before), each
 with its frequency as value. The score is the sigmoid of a sparse dot product, so a document costs
-one look-up for each n-gram. The model is fitted on the driver on a bounded sample of labelled
+one look-up for each n-gram. The model is fitted in one task on a bounded sample of labelled
 documents (labelled.MOST_LABELLED); its size is fixed, and it goes to the workers as a broadcast.
 
-Null and empty texts have no features and get the score of the intercept. No labels at all: the
-score is 0.5. Repeated rows are scored each.
+Null and empty texts have no features and get the score of the intercept. No labels at all (all null,
+none of these documents, an empty table): the score is 0.5. Null ids are scored and never trained on.
+Repeated rows are scored each; of several labels of one document the largest counts. Texts are read whole,
+in blocks of bounded size, so a very long one costs time and memory in proportion to its length. A score equal to the
+threshold is predicted 1. Columns of other names aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, fold
-from .labelled import training_rows
+from .labelled import fitted, training_rows
 from .tokens import Remembered
 
 BITS = 18
@@ -119,5 +122,5 @@ def scores(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold:
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    weights = train(*training_rows(docs, labels, "quality"))
+    weights = fitted(training_rows(docs, labels, "quality"), train)
     return scores(docs, weights).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted")

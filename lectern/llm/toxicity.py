@@ -5,11 +5,15 @@ words' weights, a word's weight the sum of those of the word and of its beginnin
 insults take endings; a document's score is the noisy-or of its sentences' scores, so one sentence is enough.
 The weights are learned from documents' labels alone, by gradient steps through the noisy-or with an
 L1 penalty that keeps words without evidence at zero. The sentence scores then say where the offending
-sentences stand. The model is fitted on the driver on a bounded sample of labelled documents
+sentences stand. The model is fitted in one task on a bounded sample of labelled documents
 (labelled.MOST_LABELLED); its size is fixed, and it goes to the workers as a broadcast.
 
-Null and empty texts have no sentences: score 0. No labels: every word has weight 0 and scores are
-those of the starting intercept. Repeated rows are scored each.
+Null and empty texts have no sentences: score 0, kept by the stage. No labels (all null, none of these
+documents, an empty table): every word has weight 0 and scores are those of the starting intercept. Null ids
+are scored and never trained on. Repeated rows are scored each; of several labels of one document the largest
+counts. Texts are read whole, one at a time within blocks of bounded size, so a very long one costs time in
+proportion to its length. Ties at the threshold count as toxic. Other columns, whatever their names, pass
+through `keep_harmless`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, fold, tagged
-from .labelled import training_rows
+from .labelled import fitted, training_rows
 from .tokens import Remembered
 
 BUCKETS = 1 << 20
@@ -59,47 +63,61 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
+class Learner:
+    """Labelled texts as rows (words, first word of each sentence, label), and the weights that are learned from them."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        self.w = np.zeros(BUCKETS + 1)
+        self.w[BUCKETS] = START
+        self.seen = np.full(BUCKETS + 1, 1e-2)
+        number: dict[str, int] = {}
+        self.rows = []
+        for text, y in zip(texts, labels, strict=True):
+            found = tokens(text)
+            ids = np.fromiter((-1 if t[0] in BREAKS else number.setdefault(t, len(number)) for t in found), np.int32, len(found))
+            first = sentence_starts(ids < 0)
+            if len(first):
+                self.rows.append((ids[ids >= 0], first, y))
+        of_words = [word_features(t) for t in number]
+        self.flat = np.array([f for fs in of_words for f in fs], np.int64)
+        self.begin = np.cumsum([0, *map(len, of_words)])
+
+    def gradient(self, some: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(weights' numbers, the intercept's last; derivatives of the mean of -log likelihood over `some` rows)."""
+        words, place = np.unique(np.concatenate([r[0] for r in some]), return_inverse=True)
+        size = self.begin[words + 1] - self.begin[words]
+        starts = np.cumsum(size) - size
+        features = self.flat[np.repeat(self.begin[words] - starts, size) + np.arange(size.sum())]
+        first = np.concatenate([r[1] + o for r, o in zip(some, np.cumsum([0, *(len(r[0]) for r in some)]), strict=False)])
+        doc = np.repeat(np.arange(len(some)), [len(r[1]) for r in some])
+        z = np.add.reduceat(np.add.reduceat(self.w[features], starts)[place], first) + self.w[BUCKETS]
+        none = np.bincount(doc, softplus(z), len(some))  # -log of the chance that no sentence is toxic
+        y = np.array([r[2] for r in some])
+        pull = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-3), 1.0)
+        g = pull[doc] * (1 - np.exp(-softplus(z)))
+        per_word = np.bincount(place, np.repeat(g, np.diff(np.append(first, len(place)))), len(words))
+        ids, at_feature = np.unique(features, return_inverse=True)
+        return np.append(ids, BUCKETS), np.append(np.bincount(at_feature, np.repeat(per_word, size), len(ids)), g.sum()) / len(some)
+
+    def step(self, some: list[tuple[np.ndarray, np.ndarray, int]], rate: float, l1: float) -> None:
+        """One Adagrad step; the penalty draws all weights but the intercept to 0."""
+        ids, grad = self.gradient(some)
+        self.seen[ids] += grad * grad
+        step = rate / np.sqrt(self.seen[ids])
+        moved = self.w[ids] - step * grad
+        self.w[ids[:-1]] = (np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0))[:-1]
+        self.w[BUCKETS] = moved[-1]
+
+
 def train(texts: list[str], labels: list[int], rate: float = 0.5, l1: float = 2e-4, batch: int = 32) -> np.ndarray:
     """Weights of the buckets (float32), the intercept last."""
-    w, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-2)
-    w[BUCKETS] = START
-    number: dict[str, int] = {}
-    rows = []
-    for text, y in zip(texts, labels, strict=True):
-        found = tokens(text)
-        ids = np.fromiter((-1 if t[0] in BREAKS else number.setdefault(t, len(number)) for t in found), np.int32, len(found))
-        first = sentence_starts(ids < 0)
-        if len(first):
-            rows.append((ids[ids >= 0], first, y))
-    of_words = [word_features(t) for t in number]
-    flat = np.array([f for fs in of_words for f in fs], np.int64)
-    begin = np.cumsum([0, *map(len, of_words)])
+    model = Learner(texts, labels)
     shuffle = np.random.default_rng(11)
-    for _ in range(min(EPOCHS, -(-VISITS // max(1, len(rows))))):
-        order = shuffle.permutation(len(rows))
+    for _ in range(min(EPOCHS, -(-VISITS // max(1, len(model.rows))))):
+        order = shuffle.permutation(len(model.rows))
         for at in range(0, len(order), batch):
-            some = [rows[k] for k in order[at : at + batch]]
-            words, place = np.unique(np.concatenate([r[0] for r in some]), return_inverse=True)
-            size = begin[words + 1] - begin[words]
-            starts = np.cumsum(size) - size
-            features = flat[np.repeat(begin[words] - starts, size) + np.arange(size.sum())]
-            first = np.concatenate([r[1] + o for r, o in zip(some, np.cumsum([0, *(len(r[0]) for r in some)]), strict=False)])
-            doc = np.repeat(np.arange(len(some)), [len(r[1]) for r in some])
-            z = np.add.reduceat(np.add.reduceat(w[features], starts)[place], first) + w[BUCKETS]
-            none = np.bincount(doc, softplus(z), len(some))  # -log of the chance that no sentence is toxic
-            y = np.array([r[2] for r in some])
-            pull = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-3), 1.0)
-            g = pull[doc] * (1 - np.exp(-softplus(z)))
-            per_word = np.bincount(place, np.repeat(g, np.diff(np.append(first, len(place)))), len(words))
-            ids, at_feature = np.unique(features, return_inverse=True)
-            grad = np.append(np.bincount(at_feature, np.repeat(per_word, size), len(ids)), g.sum()) / len(some)
-            ids = np.append(ids, BUCKETS)
-            seen[ids] += grad * grad
-            step = rate / np.sqrt(seen[ids])
-            moved = w[ids] - step * grad
-            w[ids[:-1]] = (np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0))[:-1]
-            w[BUCKETS] = moved[-1]
-    return w.astype(np.float32)
+            model.step([model.rows[k] for k in order[at : at + batch]], rate, l1)
+    return model.w.astype(np.float32)
 
 
 class Scorer:
@@ -154,11 +172,11 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple
 def keep_harmless(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents whose score is below the threshold, with the columns of `docs`."""
     p = tagged(docs)
-    weights = train(*training_rows(docs, labels, "toxic", text))
+    weights = fitted(training_rows(docs, labels, "toxic", text), train)
     return scored(docs, weights, text, tuple(docs.columns), p).where(F.col(p + "predicted") == 0).select(*docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and n_offending, the number of offending sentences."""
-    weights = train(*training_rows(docs, labels, "toxic"))
+    weights = fitted(training_rows(docs, labels, "toxic"), train)
     return scored(docs, weights).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))

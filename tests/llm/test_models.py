@@ -1,10 +1,14 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from lectern.llm import labelled, lm, quality, toxicity
 
+from lectern.llm.tokens import Remembered
+
 from .helpers import documents, edge_rows, prose
 
 
@@ -42,8 +46,119 @@ def test_held_out_labels_are_never_learned(spark, rows):
     flipped = spark.createDataFrame([(i, 1 - q if held_out(i) else q, 1 - t if held_out(i) else t) for i, q, t in rows[1]], "doc_id long, quality int, toxic int")
     labels = spark.createDataFrame(rows[1], "doc_id long, quality int, toxic int")
     for label in ("quality", "toxic"):
-        assert labelled.training_rows(docs, labels, label) == labelled.training_rows(docs, flipped, label)
-    assert len(labelled.training_rows(docs, labels, "toxic", most=50)[0]) == 50
+        chosen = [sorted(map(tuple, labelled.training_rows(docs, x, label).collect())) for x in (labels, flipped)]
+        assert chosen[0] == chosen[1] and not any(held_out(i) for _, i, _, _ in chosen[0])
+    some = labelled.training_rows(docs, labels, "toxic", most=100).collect()
+    assert 20 < len(some) <= 100 and max(r.order for r in some) < labelled.DIGESTS
+
+
+def test_fitting_is_that_of_one_process(spark, rows):
+    docs, labels = documents(spark, rows[0]), spark.createDataFrame(rows[1], "doc_id long, quality int, toxic int")
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        sample = labelled.training_rows(docs, labels, label)
+        held = sorted(sample.collect(), key=lambda r: (r.order, r.doc_id, r.text))
+        plain = module.train([r.text for r in held], [r.label for r in held])
+        assert (labelled.fitted(sample.repartition(7), module.train) == plain).all()
+    size = sum(len(r.text.encode()) for r in held[:30])
+    fewer = toxicity.train([r.text for r in held[:30]], [r.label for r in held[:30]])
+    assert (labelled.fitted(sample, toxicity.train, size) == fewer).all()
+
+
+def plain_quality(text, weights):
+    """The score of one text, feature by feature in a dictionary."""
+    total, words, shapes = 0.0, [], []
+    found = quality.TOKEN.findall(text)
+    for k, t in enumerate(found):
+        words.append(zlib.crc32(t.lower().encode()))
+        shapes.append(0 if k and words[k - 1] == words[k] else quality.shape(t))
+    n, b = max(len(found), 1), quality.BUCKETS
+    for k in range(len(found)):
+        total += quality.WORD_SCALE / n * weights[words[k] % b] + quality.SHAPE_SCALE / n * weights[2 * b + shapes[k]]
+        if k:
+            pair = words[k - 1] * 0x9E3779B1 + words[k] * 0x85EBCA6B
+            total += quality.WORD_SCALE / n * weights[b + (pair >> 13) % b] + quality.SHAPE_SCALE / n * weights[2 * b + 32 + 32 * shapes[k - 1] + shapes[k]]
+        if k > 1:
+            total += quality.SHAPE_SCALE / n * weights[2 * b + 32 + 32 * 32 + (shapes[k - 2] * 32 + shapes[k - 1]) * 32 + shapes[k]]
+    return 1 / (1 + np.exp(-total - weights[-1]))
+
+
+def test_quality_scores_equal_brute_force(spark, rows):
+    docs = documents(spark, [*rows[0], *edge_rows()])
+    weights = quality.train([t for _, t, _ in rows[0][:200]], [q for _, q, _ in rows[1][:200]])
+    assert np.count_nonzero(weights) > 100
+    got = sorted((r.doc_id or -1, r.score, r.predicted) for r in quality.scores(docs, weights).collect())
+    want = sorted((i or -1, plain_quality(t or "", weights.astype(float))) for i, t, _ in [*rows[0], *edge_rows()])
+    for (i, score, predicted), (j, plain) in zip(got, want, strict=True):
+        assert i == j and score == pytest.approx(plain, abs=1e-6) and predicted == int(score >= 0.7)
+
+
+def plain_ftrl(texts, labels, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal by the book, one coordinate at a time."""
+    z, n = Counter(), Counter()
+    known = Remembered(quality.describe)
+    draw = np.random.default_rng(7)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for k in draw.permutation(len(texts)):
+            x = Counter({quality.SIZE: 1.0})
+            for i, v in zip(*quality.features(texts[k], known), strict=True):
+                x[int(i)] += v
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - labels[k]) * x[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_brute_force(rows):
+    texts, labels = [t for _, t, _ in rows[0][:25]], [q for _, q, _ in rows[1][:25]]
+    got = quality.train(texts, labels, 0.5, 1.0, 0.002, 0.01, 2)
+    plain = plain_ftrl(texts, labels, 0.5, 1.0, 0.002, 0.01, 2)
+    for i, w in plain.items():
+        assert got[i] == pytest.approx(w, abs=1e-5)
+    assert np.count_nonzero(got) == sum(w != 0 for w in plain.values())
+
+
+def plain_noisy_or(text, weight, start):
+    """1 - product over sentences of (1 - sigmoid of the words' weights)."""
+    harmless = 1.0
+    for sentence in re.split(r"[.!?\n]+", text.lower()):
+        words = re.findall(r"\w+", sentence)
+        if words:
+            z = start + sum(weight(w) + sum(weight(w[:k] + "*") for k in range(3, 9) if k < len(w)) for w in words)
+            harmless *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - harmless
+
+
+def test_toxicity_scores_equal_brute_force(spark, rows):
+    weights = toxicity.train([t for _, t, _ in rows[0][:200]], [t for _, _, t in rows[1][:200]])
+    weight = lambda w: float(weights[zlib.crc32(w.encode()) % toxicity.BUCKETS])
+    docs = [*rows[0][:80], *edge_rows()]
+    got = sorted((r.doc_id or -1, r.score) for r in toxicity.scored(documents(spark, docs), weights).collect())
+    want = sorted((i or -1, plain_noisy_or(t or "", weight, float(weights[-1]))) for i, t, _ in docs)
+    for (i, score), (j, plain) in zip(got, want, strict=True):
+        assert i == j and score == pytest.approx(plain, abs=1e-6)
+
+
+def test_toxicity_gradient_equals_numeric_derivatives():
+    texts, labels = ["a bad day. fine weather", "fine day. the weather"], [1, 0]
+
+    def loss(changed, by):
+        out = 0.0
+        for t, y in zip(texts, labels, strict=True):
+            p = plain_noisy_or(t, lambda x: by if x == changed else 0.0, toxicity.START + by * (changed is None))
+            out -= np.log(p if y else 1 - p) / len(texts)
+        return out
+
+    model = toxicity.Learner(texts, labels)
+    ids, grad = model.gradient(model.rows)
+    got = dict(zip(ids.tolist(), grad.tolist(), strict=True))
+    for word in (None, "a", "bad", "day", "fine", "weather", "the"):
+        numeric = (loss(word, 1e-4) - loss(word, -1e-4)) / 2e-4
+        at = toxicity.BUCKETS if word is None else zlib.crc32(word.encode()) % toxicity.BUCKETS
+        assert got[at] == pytest.approx(numeric, rel=1e-3, abs=1e-7)
 
 
 def test_offending_sentences(spark, rows):
