@@ -7,8 +7,10 @@ rate of some rule is above `HOST_LIMIT` loses all its documents. The sums are pa
 shuffle, so a host with a third of all rows costs no more than another one, and the host table
 comes back to the documents by an ordinary join that Spark can broadcast or split.
 
-Null or empty text: no words, so it fails the length rule. Null host: a host of its own. Repeated
-rows are measured each. An empty table gives no rows.
+Null or empty text: no words, so it fails the length rule. Null host: a host of its own. Null ids and
+other nulls pass through. Repeated rows are measured each. Texts are measured whole and one at a time, in time
+and memory in proportion to their length. A rate equal to the limit passes. Columns of `docs` may have any
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measures_of(t or b"") for t in batch.column(source).cast(pa.binary()).to_pylist()]
+            found = [measures_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(source).cast(pa.binary())]  # one text at a time
             columns = zip(*found, strict=True) if found else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in columns)], names=[*keep, *names])
 
@@ -126,9 +128,11 @@ def judge(measured: DataFrame, host: str = "source", prefix: str = "", limit: fl
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that pass their own rules and whose host passes, with the columns of `docs`."""
+    """The documents that pass their own rules and whose host passes, with the columns of `docs`.
+
+    Every text is measured once: the measured documents are written, as the hosts' sums come first."""
     prefix = tagged(docs)
-    return judge(measure(docs, text, prefix), host, prefix).where(F.col(prefix + "kept")).select(*docs.columns)
+    return judge(materialize(measure(docs, text, prefix), "measured"), host, prefix).where(F.col(prefix + "kept")).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

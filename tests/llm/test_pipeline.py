@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
 
@@ -32,8 +33,17 @@ def test_stages(spark, tmp_path):
 def test_stages_bear_edges(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     for rows in (edge_rows(), []):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, documents(spark, rows), f"file://{tmp_path}").count() >= 0
+        docs = documents(spark, rows)
+        found = {name: stage(spark, docs, f"file://{tmp_path}") for name, stage in corpus_pipeline.STAGES}
+        for name, out in list(found.items())[:-1]:
+            assert out.schema.simpleString() == docs.schema.simpleString(), name
+        ids = {name: sorted(Counter(r.doc_id for r in out.collect()).items(), key=str) for name, out in found.items()}
+        all_ids = sorted(Counter(i for i, _, _ in rows).items(), key=str)
+        assert [i for i, _ in ids["quality rules"]] == ([5, 7, None] if rows else [])  # short ones and repeats go
+        assert ids["toxicity"] == all_ids  # no labels: none goes
+        assert ids["near duplicates"] == ([(1, 1), *((i, 1) for i in (4, 5, 6, 7, 8)), (None, 1)] if rows else [])
+        assert {i for i, _ in ids["mixing"]} <= {i for i, _ in all_ids} - {1, 2, 3}  # documents without words aren't taken
+        assert {i: n for i, n in ids["packing"] if i != 7} == {i: n for i, n in all_ids if i != 7}  # one piece for each but the long one
 
 
 def test_shape():

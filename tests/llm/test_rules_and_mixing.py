@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import host_rules, licenses, mixing, queries
 
@@ -84,6 +85,21 @@ def test_mix_of_whole_documents(spark):
     assert all(abs(40 * words[s] - want[s]) <= 40 for s in "ab")
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_mix_takes_as_many_equal_rows_as_fit(spark, rows):
+    """Equal rows share one key, and the cut falls among them: a has 6 words a row, and so has b, whose rows differ."""
+    docs = [(1, "one two three four five six", "a")] * rows + [(10 + k, "one two three four five six", "b") for k in range(rows)]
+    table = documents(spark, docs).repartition(5)
+    want = plain_targets({"a": 6 * rows, "b": 6 * rows})
+    assert want["a"] != want["b"] or rows == 1
+    mixed = {r.source: r.n for r in mixing.mix(table).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(6 * mixed.get(s, 0) - want[s]) <= 3 for s in "ab"), (mixed, want)
+    got = mixing.digest(table).collect()
+    for s in "ab":
+        taken = [r.taken for r in got if r.source == s]
+        assert len(taken) == rows and abs(sum(taken) - want[s]) <= 0.5 and max(taken) <= 12
+
+
 def test_mixing_edges(spark):
     got = mixing.digest(documents(spark, edge_rows())).collect()
     assert len(got) == len(edge_rows()) and all(r.taken == 0 for r in got if r.size == 0)

@@ -100,3 +100,26 @@ def test_plan_fills_sequences_of_smooth_histograms():
     counts = np.bincount(np.minimum(draw.gamma(2, 180, 50_000).astype(int) + 1, 1024), minlength=1025)
     sequences = sum(m for _, m in packing.plan(counts))
     assert sequences <= -(-int((counts * np.arange(1025)).sum()) // 1024) * 1.002 + 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fit_is_optimal(seed):
+    """Least squares over x >= 0: the gradient is 0 where x is positive and not negative where x is 0."""
+    draw = np.random.default_rng(seed)
+    counts = np.bincount(np.minimum(draw.gamma(2, 40, 20_000).astype(int) + 1, 256), minlength=257)
+    patterns = packing.enumerate_patterns(np.flatnonzero(counts), 256)
+    x = packing.fit_repeats(patterns, counts)
+    wanted = counts.astype(float)
+    wanted[0] = 0
+    slope = (packing.made_by(patterns, x, 257) - wanted)[patterns].sum(1)
+    most = 1e-2 * np.abs(wanted[patterns].sum(1)).max()
+    assert (x >= 0).all() and np.abs(slope[x > 0]).max() <= most and slope[x == 0].min() >= -most
+
+
+def test_plan_is_small_whatever_the_counts():
+    for most in (3, 10**9):
+        counts = np.random.default_rng(2).integers(1, most, 1025)
+        counts[0] = 0
+        planned = packing.plan(counts)
+        assert sum(v.nbytes for v in packing.places(planned).values()) < 10_000_000
+        assert any(len(p) == 3 for p, _ in planned)
