@@ -9,11 +9,11 @@ sentences stand. The model is fitted in one task on a bounded sample of labelled
 (labelled.MOST_LABELLED); its size is fixed, and it goes to the workers as a broadcast.
 
 Null and empty texts have no sentences: score 0, kept by the stage. No labels (all null, none of these
-documents, an empty table): every word has weight 0 and scores are those of the starting intercept. Null ids
-are scored and never trained on. Repeated rows are scored each; of several labels of one document the largest
-counts. Texts are read whole, one at a time within blocks of bounded size, so a very long one costs time in
-proportion to its length. Ties at the threshold count as toxic. Other columns, whatever their names, pass
-through `keep_harmless`. An empty table gives no rows.
+documents, an empty table): every word has weight 0 and every score is 0 to many places. Null ids are scored
+and never trained on. Repeated rows are scored each; of several labels of one document the largest counts.
+Texts are read whole, in blocks of bounded size, so a very long one costs time in proportion to its length. A
+score equal to the threshold is toxic. Other columns, whatever their names, pass through `keep_harmless`. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ VISITS, EPOCHS = 120_000, 30
 STEMS = range(3, 9)
 #: The intercept at the start: a sentence of unknown words is almost surely harmless.
 START = -6.0
+#: The intercept without any labelled sentence: nothing is toxic, however long.
+UNTRAINED = -60.0
 TOKEN = re.compile(r"\w+|[.!?\n]+")
 BREAKS = frozenset(".!?\n")
 SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
@@ -117,6 +119,8 @@ def train(texts: list[str], labels: list[int], rate: float = 0.5, l1: float = 2e
         order = shuffle.permutation(len(model.rows))
         for at in range(0, len(order), batch):
             model.step([model.rows[k] for k in order[at : at + batch]], rate, l1)
+    if not model.rows:
+        model.w[BUCKETS] = UNTRAINED
     return model.w.astype(np.float32)
 
 
