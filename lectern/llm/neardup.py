@@ -17,7 +17,8 @@ similarity of 0.8 of the labelled shingles too, so the rarest fifth of a text's
 must hold one of the other's. After `LED` rounds of one leader for each shared prefix shingle, which join large
 groups, all pairs from different classes that share one and can still reach the similarity by their lengths
 and by its places are candidates. Those whose labelled shingles must differ too much, by the parities of their numbers in
-`PARITIES` classes, a lower bound, are left out, and the rest are aligned. Texts around a common template have prefixes of their own parts and give no
+`PARITIES` classes, a lower bound, are left out, and the rest are aligned; the same parities, folded to `FOLDED` words, stand in
+every row of the last join, so that it makes no row of a pair that they rule out. Texts around a common template have prefixes of their own parts and give no
 pairs. Which shingles are frequent is counted on some of the texts; it orders the prefixes and changes no result.
 Classes are the connected components of the links, by alternating large-star and small-star steps over tables.
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, tagged
+from .common import blocks, forget, materialize, tagged
 from .tokens import Remembered
 
 SHINGLE = 5
@@ -51,6 +52,7 @@ LED = 2
 #: One in so many texts has its shingles counted for the order of prefixes; so many shingles have their counts kept at most.
 COUNTED, MOST_COMMON = 8, 1_000_000
 PARITIES = 2048
+FOLDED = [f"f{k}" for k in range(8)]
 WORD = re.compile(r"\w+")
 #: Pairs of equal shingles, for each shingle, above which an alignment works on rows of bits instead.
 MOST_PAIRS = 50
@@ -249,7 +251,7 @@ def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """bucket (a shingle of the prefix), key, n (shingles of the text), place (in the prefix) and, at place 0, bits (parities) of the texts."""
+    """bucket (a shingle of the prefix), key, n (shingles of the text), place (in the prefix), the folded parities and, at place 0, bits (all parities) of the texts."""
     given = texts.sparkSession.sparkContext.broadcast(common(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,10 +263,13 @@ def prefixes(texts: DataFrame) -> DataFrame:
             sizes = [len(x) for x in found]
             of = np.repeat(np.arange(len(cut)), sizes)
             places = np.concatenate([np.arange(k) for k in sizes])
-            bits = pa.array([list(parities(h)) if k == 0 else None for h, size in zip(cut, sizes, strict=True) for k in range(size)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("key").take(pa.array(of)), pa.array(n[of]), pa.array(places), bits], names=["bucket", "key", "n", "place", "bits"])
+            each = np.stack([parities(h) for h in cut])
+            bits = pa.array([each[i] if k == 0 else None for i, k in zip(of, places, strict=True)], pa.list_(pa.int64()))
+            folded = np.bitwise_xor.reduce(each.reshape(len(cut), -1, len(FOLDED)), 1)[of]
+            columns = [pa.array(np.concatenate(found).view(np.int64)), batch.column("key").take(pa.array(of)), pa.array(n[of]), pa.array(places), bits, *(pa.array(f) for f in folded.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "key", "n", "place", "bits", *FOLDED])
 
-    return materialize(texts.mapInArrow(run, "bucket long, key binary, n long, place long, bits array<long>"), "prefixes")
+    return materialize(texts.mapInArrow(run, "bucket long, key binary, n long, place long, bits array<long>, " + ", ".join(f"{f} long" for f in FOLDED)), "prefixes")
 
 
 def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -303,12 +308,15 @@ def all_pairs(rows: DataFrame) -> DataFrame:
     short = rows.where(F.col("n") - F.col("place") >= 2 * SIMILARITY / (1 + SIMILARITY) * F.col("n") - 1e-9)
     x, y = short.alias("x"), rows.alias("y")
     first = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key"))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & first & reachable("x", "y"))
+    differ = sum((F.bit_count(F.col(f"x.{f}").bitwiseXOR(F.col(f"y.{f}"))) for f in FOLDED), F.lit(0))
+    total = F.col("x.n") + F.col("y.n")
+    near = differ <= total - 2 * F.ceil(SIMILARITY / (1 + SIMILARITY) * total - 1e-9)
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & first & reachable("x", "y") & near)
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are linked; texts come from the first row of each key."""
+    """The pairs (a, b) of keys whose texts are linked, materialized; texts come from the first row of each key."""
     pairs = materialize(pairs, "pairs")
     texts = texts_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), keyed, firsts)
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
@@ -324,7 +332,9 @@ def verified(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame) -> DataFrame
                 keep.append(aligned(last[1], shingles(other, known)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    links = materialize(both.mapInArrow(run, "a binary, b binary"), "links")
+    forget(pairs.sparkSession, pairs, texts)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,7 +342,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star in turn until the edges no longer change.
     """
-    before = None
+    spark, before, made = edges.sparkSession, None, []
     while True:
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -342,6 +352,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = materialize(small.where("a != b").distinct(), "small")
+        forget(spark, large, *made)
+        made = [edges]
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -359,17 +371,25 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     least = active.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z").drop("z")
     active = materialize(active.join(least, "bucket"), "led")
     pairs = active.where("a != key").select("a", F.col("key").alias("b"))
-    roots = components(materialize(verified(likely(pairs.distinct(), firsts), keyed, firsts), "links"))
+    links = verified(likely(pairs.distinct(), firsts), keyed, firsts)
+    roots, gone = components(links), [links]
     rest = materialize(mixed_rows(active.select("bucket", "key"), roots).select(F.col("key").alias("k")).distinct(), "mixed")
+    gone += [rest, active]
     if not rest.isEmpty():
-        rows_of = prefixes(texts_of(rest, keyed, firsts))
+        texts = texts_of(rest, keyed, firsts)
+        rows_of = prefixes(texts)
+        gone += [texts, rows_of]
         for step in range(LED + 1):
-            held = materialize(mixed_rows(rows_of.drop("bits"), roots), "shared")
-            links = materialize(verified(possible(led_pairs(held, step) if step < LED else all_pairs(held), rows_of), keyed, firsts), "links")
+            held = materialize(mixed_rows(rows_of.drop("bits", *(FOLDED if step < LED else ())), roots), "shared")
+            links = verified(possible(led_pairs(held, step) if step < LED else all_pairs(held), rows_of), keyed, firsts)
+            forget(docs.sparkSession, held)
+            gone += [links]
             if not links.isEmpty():
+                gone += [roots]
                 roots = components(roots.toDF("a", "b").unionByName(links))
     named = firsts.select("key", "doc_id").join(roots.toDF("key", "root"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     named = materialize(named, "named")
+    forget(docs.sparkSession, *gone, roots, firsts)
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     of_key = named.join(least, "root").select("key", "class_id", "root")
     return rows.select("doc_id", "key").join(of_key, "key")
@@ -387,6 +407,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     found = classes(docs, text)
     least = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("key", "doc_id")).alias("first"))
     kept = materialize(least.select(F.col("first.key").alias(p + "k"), F.col("first.doc_id").alias(p + "d")), "kept")
+    forget(docs.sparkSession, found)
     keyed = docs.withColumn(p + "key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
     chosen = keyed.join(kept, (keyed[p + "key"] == kept[p + "k"]) & keyed["doc_id"].eqNullSafe(kept[p + "d"]))
     return chosen.dropDuplicates([p + "key", "doc_id"]).select(*docs.columns)

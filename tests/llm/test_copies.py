@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -179,6 +180,29 @@ def test_copies_within_a_large_family(spark):
     assert [k for k in range(700) if got[2 * k] != 2 * k or got[2 * k + 1] != 2 * k] == []
 
 
+@pytest.mark.parametrize("n", [150, 400])
+def test_families_near_the_threshold_lose_no_link(spark, n):
+    """Texts of one template with three to seven words changed: some pairs are linked, most just aren't."""
+    template, draw, rows = prose(77, 200).split(), random.Random(n), []
+    for k in range(n):
+        words = list(template)
+        for at in draw.sample(range(200), draw.randint(3, 7)):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words), "a"))
+    got = sorted(map(tuple, neardup.digest(documents(spark, rows)).select("doc_id", "class_id").collect()))
+    assert got == plain_classes(rows)
+
+
+def test_scratch_tables_are_deleted(spark):
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(place))
+    out = neardup.digest(documents(spark, [(k, edited(prose(30 + k % 3, 250), 2, k), "a") for k in range(30)]))
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(place)) - before} == {"sketches", "named"} and out.count() == 30
+    before = set(os.listdir(place))
+    neardup.keep_one(documents(spark, [(k, prose(k % 3, 90), "a") for k in range(9)])).count()
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(place)) - before} == {"kept"}
+
+
 def test_pairs_that_sketches_refuse_are_aligned(spark, monkeypatch):
     monkeypatch.setattr(neardup, "AGREE", neardup.SKETCHES + 1)
     rows = [(k, edited(prose(30 + k % 3, 250), 2, k), "a") for k in range(9)]
