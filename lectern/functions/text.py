@@ -26,7 +26,7 @@ PLAIN = ["txt", "csv", "json", "log", "xml"]
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE_CLASS}+", ""), f"{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, trim
+from ..functions.text import SPACE_CLASS, SPACES, trim
 
 _SPACE = f"[{SPACES}]"
 HEADING = re.compile(rf"(#{{1,6}}){_SPACE}+(.+)", re.DOTALL)
@@ -24,7 +24,7 @@ def windows(text: Column, size: int = 1500, overlap: int = 200) -> Column:
     if size <= 0:
         return F.array().cast("array<string>")
     n = F.length(text)
-    starts = F.when((n > 0) & (F.length(trim(text)) > 0), F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+    starts = F.when((n > 0) & (text.rlike(f"[^{SPACE_CLASS[1:]}")), F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: trim(F.substring(text, s + 1, F.lit(size))))
 
 

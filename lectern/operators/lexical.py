@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import terms
 
 K1, B = 1.5, 0.75
+#: Most rows of short strings that are sent to every executor.
+MOST_BROADCAST = 200_000
+#: Stands for a chunk's own row among its terms, which have two characters at least.
+MARK = ""
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", content: str = "content") -> DataFrame:
@@ -30,24 +34,50 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
 
 
-def scores(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """query_id, <key>, score of every chunk that holds a term of the query; `stats` is corpus_stats' row.
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """`df` marked for broadcast if a count of its rows, stopped at the bound, allows it; else as it is, for Spark to join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    Postings are cut down to the queries' terms before anything else is joined; df is counted from
-    these, so no statistics of other terms are touched.
+
+def matching(chunks: DataFrame, asked: DataFrame, key: str = "chunk_id", content: str = "content") -> DataFrame:
+    """term, <key>, dl, tf of the asked terms only, and one row with the term MARK for each chunk, which the statistics need.
+
+    Every text is read and cut once; tokens of other terms end before any shuffle."""
+    some = broadcast_if_small(asked.select("term").distinct())
+    tokens = chunks.select(key, terms(F.col(content)).alias("tokens"))
+    rows = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(MARK)))).alias("term"))
+    kept = rows.join(some.withColumn("asked", F.lit(1)), "term", "left").where((F.col("asked") == 1) | (F.col("term") == MARK))
+    return kept.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def scores(index: DataFrame, stats: DataFrame | None, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """query_id, <key>, score of every chunk that holds a term of the query.
+
+    `index` holds postings, and `stats` is corpus_stats' row; without `stats` it is made of `matching`, whose
+    marked rows give it. Postings are cut down to the queries' terms before anything else, and df is counted from these.
+    All that is read of `index` reads its one exchange (each use needs all its columns); statistics are a scalar
+    subquery, so nothing runs before the result is asked for but counts of the queries' terms.
     """
     asked = query_terms(queries)
-    total = stats.first()  # one row
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    idf = F.ln((F.lit(float(total["n"])) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
-    weights = term_stats(used).select("term", idf.alias("idf"))
-    length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(float(total["avgdl"] or 1.0))
+    if stats is None:
+        marked = (F.col("term") == MARK) & (F.col("tf") > 0)
+        stats = index.agg(F.count(F.when(marked, 1)).alias("n"), F.avg(F.when(marked, F.col("dl"))).alias("avgdl"))
+    else:
+        index = index.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+    total = stats.select(F.struct(F.col("n").cast("double").alias("n"), F.coalesce("avgdl", F.lit(1.0)).alias("avgdl")).alias("total")).scalar()
+    counted = index.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.col("dl"))).alias("df"))
+    idf = F.ln((total["n"] - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
+    weights = asked.join(counted, "term").select("query_id", "term", idf.alias("idf"), total["avgdl"].alias("avgdl"))
+    length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
-    return used.join(weights, "term").select("term", key, part.alias("part")).join(asked, "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    return index.join(weights, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, k: int, *ties: str, digits: int = 6) -> DataFrame:
-    """The k best rows of each query, by rounded score and then by the columns `ties`; adds rank."""
+    """The k best rows of each query, by rounded score and then by the columns `ties`; adds rank.
+
+    Every task keeps its k best rows of a query before the shuffle (a window group limit), so one query over any
+    number of chunks sends k rows for each task."""
     rounded = scored.withColumn("score", F.round("score", digits))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *ties))
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -55,4 +85,4 @@ def top(scored: DataFrame, k: int, *ties: str, digits: int = 6) -> DataFrame:
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id", content: str = "content") -> DataFrame:
     """query_id, <key>, score, rank from chunks that aren't indexed yet."""
-    return top(scores(postings(chunks, key, content), corpus_stats(chunks, content), queries, key), k, key)
+    return top(scores(matching(chunks, query_terms(queries), key, content), None, queries, key), k, key)

@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .lexical import top
 
-#: Query vectors that go to the workers at once.
-QUERY_BLOCK = 1024
+#: Bytes of query vectors that go to the workers at once, and how many of them meet a batch of vectors at once.
+QUERY_BYTES, QUERY_ROWS = 64_000_000, 512
 
 
 class Embedder(Protocol):
@@ -70,43 +70,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of unequal length")).cast("double")).when(norm == 0, F.lit(0.0)).otherwise(dot / norm)
 
 
+def query_blocks(queries: DataFrame, most: int = QUERY_BYTES) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, one row for each query vector) in blocks of at most `most` bytes, one at a time on the driver. Null vectors don't ask."""
+    ids, rows, held = [], [], 0
+    for r in queries.select("query_id", "vector").where("vector IS NOT NULL").toLocalIterator():
+        if rows and (held + 8 * len(r["vector"]) > most or len(r["vector"]) != len(rows[0])):
+            yield ids, np.array(rows, float)
+            ids, rows, held = [], [], 0
+        ids.append(r["query_id"])
+        rows.append(r["vector"])
+        held += 8 * len(r["vector"])
+    if rows:
+        yield ids, np.array(rows, float)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
     """query_id, <key>, score, rank: the k vectors of greatest cosine for each query vector.
 
-    `queries` (query_id, vector) go to the workers in blocks of QUERY_BLOCK; each batch of vectors is
-    scored against a block by one matrix product and gives its own k best, so a vector never meets
-    a query outside numpy and at most k rows for each batch and query move on.
+    `queries` (query_id, vector) go to the workers in broadcast blocks of QUERY_BYTES, each with one scan of the
+    vectors; a batch of vectors meets QUERY_ROWS of them at once by a matrix product and gives its own k best, so
+    a vector never meets a query outside numpy and at most k rows for each batch and query move on. Null vectors, asked
+    or stored, have no neighbours; no queries give no rows; vectors of unequal length are an error.
     """
-    found = queries.select("query_id", "vector").collect()
+    spark = vectors.sparkSession
     kind, id_kind = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     id_type, key_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "query_id"), (vectors, key)))
-    blocks = [found[i : i + QUERY_BLOCK] for i in range(0, len(found), QUERY_BLOCK)] or [[]]
     out = None
-    for block in blocks:
-        ids = [r["query_id"] for r in block]
-        matrix = np.array([r["vector"] for r in block], float).reshape(len(block), -1)
+    for block in query_blocks(queries):
+        held = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            norms = np.linalg.norm(matrix, axis=1)
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, asked = held.value
+            asked = asked / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
             for batch in batches:
                 lists = batch.column("embedding")
-                if not len(batch) or not ids:
+                if not len(batch):
                     continue
-                values = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float)
-                if set(np.diff(lists.offsets.to_numpy())) != {matrix.shape[1]}:
+                if set(np.diff(lists.offsets.to_numpy())) != {asked.shape[1]}:
                     raise ValueError("vectors of unequal length")
-                rows = values.reshape(len(batch), -1)
-                scale = np.outer(norms, np.linalg.norm(rows, axis=1))
-                score = np.divide(matrix @ rows.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                score = np.round(score, 9)
-                names = batch.column(key).to_pylist()
-                if len(batch) > k:  # all that tie with the k-th stay
-                    least = np.partition(score, len(batch) - k, axis=1)[:, len(batch) - k]
-                    q, v = np.nonzero(np.round(score, 6) >= np.round(least, 6)[:, None])
-                else:
-                    q, v = (x.ravel() for x in np.indices(score.shape))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], id_type), pa.array([names[i] for i in v], key_type), pa.array(score[q, v])], names=["query_id", key, "score"])
-
-        part = vectors.select(key, "embedding").mapInArrow(run, f"query_id {id_kind}, {key} {kind}, score double")
+                rows = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float).reshape(len(batch), -1)
+                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+                names = batch.column(key)
+                for at in range(0, len(ids), QUERY_ROWS):
+                    score = np.round(asked[at : at + QUERY_ROWS] @ rows.T, 9)
+                    if len(batch) > k:  # all that tie with the k-th stay
+                        least = np.partition(score, len(batch) - k, axis=1)[:, len(batch) - k]
+                        q, v = np.nonzero(np.round(score, 6) >= np.round(least, 6)[:, None])
+                    else:
+                        q, v = (x.ravel() for x in np.indices(score.shape))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in q], id_type), names.take(pa.array(v)).cast(key_type), pa.array(score[q, v])], names=["query_id", key, "score"])
+
+        part = vectors.select(key, "embedding").where("embedding IS NOT NULL").mapInArrow(run, f"query_id {id_kind}, {key} {kind}, score double")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"query_id {id_kind}, {key} {kind}, score double")
     return top(out, k, key)

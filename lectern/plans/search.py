@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import fusion, lexical, vectors
-from ..operators.rerank import rerank
+from ..operators.rerank import Reranker, rerank
+
+
+#: Most queries whose results (a few times k rows each) and texts are sent to every executor.
+MOST_QUERIES = 2000
 
 
 def json_value(value) -> str:
@@ -28,13 +32,13 @@ def matches(wanted: dict | None, metadata: str = "metadata") -> Column:
     return out
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | None = None, config: Config | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | None = None, config: Config | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, embeddings: DataFrame | None = None, reranker: Reranker | None = None) -> DataFrame:
     """query_id, query, rank, score and the chunk's columns: the k best chunks of each query.
 
     `queries` has query_id, query and, for the vector and hybrid modes, vector. `index` and `stats` are
     the postings and the corpus row of `chunks` if they are at hand. With filter_stage "post" candidates
     (2k, or 3k of either side) are cut before the filter, so fewer than k may come back; "pre" filters first,
-    with the statistics of the whole corpus.
+    with the statistics of the whole corpus. With config.rerank the candidates go to `reranker` (the words' own if none is given).
     """
     config = config or Config()
     if k < 1:
@@ -46,8 +50,10 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | No
     keep = (lambda df: df.join(allowed, "chunk_id", "left_semi")) if pre else (lambda df: df)
     lexical_top = vector_top = None
     if config.mode != "vector":
-        index = lexical.postings(chunks) if index is None else index
-        stats = lexical.corpus_stats(chunks) if stats is None else stats
+        if index is None:
+            index, stats = lexical.matching(chunks, lexical.query_terms(queries)), None
+        elif stats is None:
+            stats = lexical.corpus_stats(chunks)
         scored = keep(lexical.scores(index, stats, queries))
         lexical_top = lexical.top(scored, (3 if config.mode == "hybrid" else 2) * k, "chunk_id")
     if config.mode != "bm25":
@@ -57,8 +63,9 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | No
     else:
         found = lexical_top if vector_top is None else vector_top
     found = found.select("query_id", "chunk_id", "score", F.col("rank").alias("place"))
-    rows = found.join(chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES  # then so are the found rows, and chunks needn't move to them
+    rows = chunks.join(F.broadcast(found) if few else found, "chunk_id").join(F.broadcast(queries.select("query_id", "query")) if few else queries.select("query_id", "query"), "query_id")
     if wanted:
         rows = rows.where(matches(wanted))
-    out = rerank(rows, k, "document_path", "chunk_index") if config.rerank else lexical.top(rows, k, "place", digits=8)
+    out = (reranker or rerank)(rows, k, "document_path", "chunk_index") if config.rerank else lexical.top(rows, k, "place", digits=8)
     return out.drop("place")

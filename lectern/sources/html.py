@@ -16,6 +16,8 @@ from ..functions.text import SPACES
 DROPPED = ("script", "style", "nav", "footer", "header")
 DROPPED_IN_PAGES = (*DROPPED, "iframe", "noscript")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that may stand in a head; any other one ends it.
+OF_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 MOST_LINKS = 100
 _SPACE = re.compile(f"[{SPACES}]+")
 
@@ -29,6 +31,8 @@ class _Reader(HTMLParser):
         self.in_title = self.in_head = False
 
     def handle_starttag(self, tag, attrs):
+        if self.in_head and not self.open and tag not in OF_HEAD:
+            self.in_head = False
         if tag == "head":
             self.in_head = True
         elif tag == "body":
@@ -57,8 +61,11 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title += data
-        elif not self.open and not self.in_head:
-            self.text.append(data)
+        elif not self.open:
+            if self.in_head and data.strip(SPACES):  # text ends a head as well
+                self.in_head = False
+            if not self.in_head:
+                self.text.append(data)
 
 
 def read(html: str, url: str | None = None, page: bool = False, separator: str = "") -> dict:
