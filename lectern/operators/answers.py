@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -68,7 +69,8 @@ def hypothetical(question: str, model: LanguageModel) -> str:
     """The question and a made-up passage that answers it, as text to search with; a failing model adds nothing."""
     try:
         return f"{question}\n{model.generate(f'Write a short passage that answers: {question}')}"
-    except Exception:
+    except Exception as e:
+        warnings.warn(f"the model failed: {e}", stacklevel=2)
         return question
 
 

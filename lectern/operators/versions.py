@@ -12,15 +12,20 @@ MOST_LINES, MOST_CHARS = 50, 200
 
 def changed(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of `incoming` (path, content) whose path is new or whose content differs from that path's last version in `known`."""
-    last = known.groupBy("path").agg(F.max_by(F.sha2("content", 256), "version").alias("digest"))
+    digest = F.col("digest") if "digest" in known.columns else F.sha2("content", 256)  # a stored digest spares reading all texts
+    last = known.groupBy("path").agg(F.max_by(digest, "version").alias("digest"))
     return incoming.withColumn("digest", F.sha2("content", 256)).join(last, ["path", "digest"], "left_anti").drop("digest")
 
 
+def next_versions(known: DataFrame, incoming: DataFrame, ts: Column) -> DataFrame:
+    """A next version of each path in `incoming`, after those in `known`."""
+    last = known.groupBy("path").agg(F.max("version").alias("last"))
+    return incoming.join(last, "path", "left").select("path", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("version"), "content", ts.cast("long").alias("ts"))
+
+
 def append_versions(known: DataFrame, incoming: DataFrame, ts: Column) -> DataFrame:
     """`known` and a next version of each path in `incoming`."""
-    last = known.groupBy("path").agg(F.max("version").alias("last"))
-    new = incoming.join(last, "path", "left").select("path", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("version"), "content", ts.cast("long").alias("ts"))
-    return known.unionByName(new)
+    return known.unionByName(next_versions(known, incoming, ts))
 
 
 def lines(text: Column) -> Column:

@@ -1,7 +1,10 @@
 """The library: a catalog of documents, chunks, postings, versions and embeddings as Parquet tables.
 
-Every change writes a new generation of tables and then marks it; readers take the last marked one, so
-a failed change leaves nothing half done. Reads are lazy DataFrames.
+A change writes one generation: a folder with its new rows only and the paths that it replaces or removes
+(`gone`), and then a mark. Readers scan the marked generations as one table, without the rows of paths that a
+later generation names; a failed change leaves nothing half done. The cost of a change is that of what changes;
+`compact`, by itself after `MOST_GENERATIONS`, writes what is live as one generation. One writer at a time.
+Reads are lazy DataFrames.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -17,12 +21,19 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Config
-from ..functions.text import is_url
+from ..functions.text import is_url, terms
 from ..operators import answers, chunking, lexical, tables, vectors, versions
 from ..sources import files
 from . import search as searching
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "postings": schemas.POSTINGS, "versions": schemas.VERSIONS, "embeddings": schemas.EMBEDDINGS}
+#: Columns that are stored beside those: a chunk's number of terms, the document of a row, a text's digest.
+STORED = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS + ", dl bigint", "postings": schemas.POSTINGS + ", document_path string", "versions": schemas.VERSIONS + ", digest string", "embeddings": schemas.EMBEDDINGS + ", document_path string", "gone": "path string"}
+#: The column that names a row's document, in the tables that lose rows.
+PATHS = {"documents": "path", "chunks": "document_path", "postings": "document_path", "embeddings": "document_path"}
+MOST_GENERATIONS = 32
+#: Most errors of one batch that are given back one by one.
+MOST_ERRORS = 1000
 
 
 @dataclass(frozen=True)
@@ -36,8 +47,9 @@ class Indexed:
 
 
 class Library:
-    def __init__(self, spark: SparkSession, path: str | None = None, config: Config | None = None, embedder: vectors.Embedder | None = None, model: answers.LanguageModel | None = None, fetch: Callable[[str], str] | None = None, extractors: dict[str, files.Extractor] | None = None):
-        self.spark, self.config, self.embedder, self.model, self.fetch, self.extractors = spark, config or Config(), embedder, model, fetch, extractors
+    def __init__(self, spark: SparkSession, path: str | None = None, config: Config | None = None, embedder: vectors.Embedder | None = None, model: answers.LanguageModel | None = None, fetch: files.Fetch | None = None, extractors: dict[str, files.Extractor] | None = None, ocr: files.Ocr | None = None, reranker: searching.Reranker | None = None):
+        self.spark, self.config, self.embedder, self.model, self.fetch, self.ocr, self.reranker = spark, config or Config(), embedder, model, fetch, ocr, reranker
+        self.own_extractors = extractors
         self.path = (path or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")).rstrip("/") + ("" if path else f"/library-{time.time_ns()}")
         self.watches: list = []
 
@@ -47,32 +59,67 @@ class Library:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def generation(self) -> int:
+    def _generations(self) -> list[int]:
+        """The marked generations that count, ascending: the last complete one and those after it."""
         p, fs = self._fs(self.path)
         if not fs.exists(p):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(n[11:]) for n in done if n.startswith("generation-") and fs.exists(self._fs(f"{self.path}/{n}/_DONE")[0])), default=0)
-
-    def table(self, name: str, generation: int | None = None) -> DataFrame:
-        at = self.generation() if generation is None else generation
-        if not at:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/generation-{at}/{name}")
-
-    def _commit(self, new: dict[str, DataFrame]) -> None:
-        old = self.generation()
-        place = f"{self.path}/generation-{old + 1}"
+            return []
+        names = (f.getPath().getName() for f in fs.listStatus(p))
+        there = sorted(int(n[11:]) for n in names if n.startswith("generation-") and n[11:].isdigit())
+        marked = [n for n in there if fs.exists(self._fs(f"{self.path}/generation-{n}/_DONE")[0])]
+        whole = [n for n in marked if fs.exists(self._fs(f"{self.path}/generation-{n}/_WHOLE")[0])]
+        return [n for n in marked if n >= max(whole, default=0)]
+
+    def generation(self) -> int:
+        return max(self._generations(), default=0)
+
+    def _scan(self, name: str, generations: list[int]) -> DataFrame | None:
+        """The table's rows of all these generations in one scan, with their generation."""
+        fs = self._fs(self.path)[1]
+        found = [p for n in generations if fs.exists(self._fs(p := f"{self.path}/generation-{n}/{name}")[0])]
+        if not found:
+            return None
+        number = F.regexp_extract("_metadata.file_path", r"/generation-(\d+)/", 1).cast("long")
+        return self.spark.read.schema(STORED[name]).parquet(*found).select("*", number.alias("generation"))
+
+    def _live(self, name: str, generations: list[int] | None = None) -> DataFrame:
+        """The table's stored columns without the rows of paths that a later generation replaces or removes."""
+        generations = self._generations() if generations is None else generations
+        rows = self._scan(name, generations)
+        if rows is None:
+            return self.spark.createDataFrame([], STORED[name])
+        gone = self._scan("gone", generations) if name in PATHS else None
+        if gone is not None:
+            last = gone.groupBy(F.col("path").alias("gone_path")).agg(F.max("generation").alias("gone_at"))
+            rows = rows.join(last, (F.col(PATHS[name]) == F.col("gone_path")) & (F.col("generation") < F.col("gone_at")), "left_anti")
+        return rows.drop("generation")
+
+    def table(self, name: str, generations: list[int] | None = None) -> DataFrame:
+        return self._live(name, generations).select(*schemas.names(TABLES[name]))
+
+    def _commit(self, new: dict[str, DataFrame], whole: bool = False) -> None:
+        """Writes a generation; a `whole` one replaces all before it."""
+        old = self._generations()
+        at = max(old, default=0) + 1
+        place = f"{self.path}/generation-{at}"
         p, fs = self._fs(place)
         fs.delete(p, True)  # what a failed change left
-        for name in TABLES:
-            df = new.get(name, self.table(name, old))
+        for name, df in new.items():
             if name == "postings":
                 df = df.sortWithinPartitions("term")  # so that Parquet's statistics skip other terms
-            df.select(*schemas.names(TABLES[name])).write.parquet(f"{place}/{name}")
-        fs.create(self._fs(f"{place}/_DONE")[0]).close()
-        for n in range(1, old):
-            fs.delete(self._fs(f"{self.path}/generation-{n}")[0], True)
+            df.select(*schemas.names(STORED[name])).write.parquet(f"{place}/{name}")
+        for mark in (["_WHOLE"] if whole else []) + ["_DONE"]:
+            fs.create(self._fs(f"{place}/{mark}")[0]).close()
+        if whole:  # what came before the last whole one is no longer read by anyone
+            for n in range(1, min(old, default=1)):
+                fs.delete(self._fs(f"{self.path}/generation-{n}")[0], True)
+        elif len(old) >= MOST_GENERATIONS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes all live rows as one generation."""
+        generations = self._generations()
+        self._commit({n: self._live(n, generations) for n in TABLES}, whole=True)
 
     # ingest
 
@@ -84,10 +131,19 @@ class Library:
         if urls:
             if self.fetch is None:
                 raise ValueError("URLs need a fetch function")
-            pages = self.spark.createDataFrame([(u, self.fetch(u)) for u in urls], "url string, html string")
-            out = out.unionByName(files.extract_pages(pages))
+            out = out.unionByName(files.extract_pages(files.fetched(self.spark.createDataFrame([(u,) for u in urls], "url string"), self.fetch)))
         return out, missing
 
+    @property
+    def extractors(self) -> dict[str, files.Extractor]:
+        """The extractors in use; `ocr` reads images, and with the setting also scanned PDFs."""
+        out = dict(self.own_extractors or files.EXTRACTORS)
+        if self.ocr:
+            out["image"] = files.image_reader(self.ocr)
+            if self.config.ocr:
+                out["pdf"] = files.with_ocr(out["pdf"], self.ocr)
+        return out
+
     def index(self, inputs: str | Iterable[str], metadata: dict | None = None) -> Indexed:
         extracted, missing = self._extracted([inputs] if isinstance(inputs, str) else inputs)
         return self.add(extracted, metadata, missing)
@@ -102,10 +158,14 @@ class Library:
         stage = f"{self.path}/stage-{uuid.uuid4().hex}"  # every text is extracted and cut once
         try:
             extracted = self._staged(extracted, f"{stage}/extracted")
-            errors = tuple((r["path"], r["error"]) for r in extracted.where("error IS NOT NULL").select("path", "error").collect())
-            known = self.table("versions").join(self.table("documents").select("path"), "path", "left_semi")
+            failed = extracted.where("error IS NOT NULL").select("path", "error")
+            n_failed = failed.count()
+            errors = tuple((r["path"], r["error"]) for r in failed.limit(MOST_ERRORS).collect())
+            generations = self._generations()
+            versions_now = self._live("versions", generations)
+            known = versions_now.join(self.table("documents", generations).select("path"), "path", "left_semi")
             new = self._staged(versions.changed(extracted.where("error IS NULL"), known), f"{stage}/new")
-            done = lambda documents, chunks: Indexed(documents, chunks, len(errors), round(1000 * (time.time() - began)), errors, tuple(missing))
+            done = lambda documents, chunks: Indexed(documents, chunks, n_failed, round(1000 * (time.time() - began)), errors, tuple(missing))
             count = new.count()
             if not count:
                 return done(0, 0)
@@ -114,20 +174,21 @@ class Library:
             merged = F.map_concat(F.map_filter(given, lambda k, _: ~F.map_contains_key(own, k)), own)
             now = round(time.time() * 1000)
             texts = new.select("path", "format", tables.augmented(F.col("content")).alias("content"), merged.alias("metadata"))
-            chunks = self._staged(chunking.chunk(texts, self.config.strategy, self.config.size, self.config.overlap), f"{stage}/chunks")
+            cut = chunking.chunk(texts, self.config.strategy, self.config.size, self.config.overlap)
+            chunks = self._staged(cut.withColumn("dl", F.size(terms(F.col("content"))).cast("long")), f"{stage}/chunks")
             counts = chunks.groupBy(F.col("document_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
             size = F.coalesce(F.try_element_at("metadata", F.lit("size")).cast("long"), F.length("content").cast("long"))
             documents = new.join(counts, "path", "left").select("path", "format", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), size.alias("size"), F.lit(now).cast("long").alias("indexed_at"), given.alias("metadata"))
-            paths = new.select("path")
-            stale = self.table("chunks").join(paths, F.col("document_path") == F.col("path"), "left_semi").select("chunk_id")
+            of_chunk = chunks.select("chunk_id", "document_path")
             changes = {
-                "documents": self.table("documents").join(paths, "path", "left_anti").unionByName(documents),
-                "chunks": self.table("chunks").join(stale, "chunk_id", "left_anti").unionByName(chunks),
-                "postings": self.table("postings").join(stale, "chunk_id", "left_anti").unionByName(lexical.postings(chunks)),
-                "versions": versions.append_versions(self.table("versions"), new, F.lit(now)),
+                "gone": known.select("path").distinct().join(new.select("path"), "path", "left_semi"),
+                "documents": documents,
+                "chunks": chunks,
+                "postings": lexical.postings(chunks).join(of_chunk, "chunk_id"),
+                "versions": versions.next_versions(versions_now, new, F.lit(now)).withColumn("digest", F.sha2("content", 256)),
             }
             if self.embedder:
-                changes["embeddings"] = self.table("embeddings").join(stale, "chunk_id", "left_anti").unionByName(vectors.embed(chunks, self.embedder))
+                changes["embeddings"] = vectors.embed(chunks, self.embedder).join(of_chunk, "chunk_id")
             total = chunks.count()
             self._commit(changes)
             return done(count, total)
@@ -143,12 +204,11 @@ class Library:
         """Forgets a document; its versions stay. False if it isn't there."""
         if self.table("documents").where(F.col("path") == path).isEmpty():
             return False
-        gone = self.table("chunks").where(F.col("document_path") == path).select("chunk_id")
-        self._commit({"documents": self.table("documents").where(F.col("path") != path)} | {n: self.table(n).join(gone, "chunk_id", "left_anti") for n in ("chunks", "postings", "embeddings")})
+        self._commit({"gone": self.spark.createDataFrame([(path,)], STORED["gone"])})
         return True
 
     def clear(self) -> None:
-        self._commit({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})
+        self._commit({}, whole=True)
 
     # reads
 
@@ -181,22 +241,24 @@ class Library:
         return self.spark.createDataFrame(rows, "query_id int, query string")
 
     def search(self, queries: str | list[str] | DataFrame, k: int = 10, wanted: dict | None = None) -> DataFrame:
-        at = self.generation()
-        chunks = self.table("chunks", at)
-        return searching.search(chunks, self._queries(queries), k, wanted, self.config, self.table("postings", at), lexical.corpus_stats(chunks), self.table("embeddings", at) if self.embedder else None)
+        at = self._generations()
+        stats = self._live("chunks", at).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        return searching.search(self.table("chunks", at), self._queries(queries), k, wanted, self.config, self.table("postings", at), stats, self.table("embeddings", at) if self.embedder else None, self.reranker)
 
     def ask(self, question: str, k: int = 5, wanted: dict | None = None) -> dict:
         """answer, sources, time. Without a model: the best match in words."""
         began = time.time()
         found = self.search(question, k, wanted).persist()
-        rows = answers.contexts(found).collect()
-        if not rows:
-            return {"answer": answers.NOTHING_FOUND, "sources": [], "time": round(1000 * (time.time() - began))}
-        if self.model:
-            answer = self.model.generate(f"Excerpts:\n\n{rows[0]['context']}\n\nQuestion: {question}", answers.SYSTEM)
-        else:
-            answer = answers.fallbacks(found).first()["answer"]
-        found.unpersist()
+        try:
+            rows = answers.contexts(found).collect()
+            if not rows:
+                return {"answer": answers.NOTHING_FOUND, "sources": [], "time": round(1000 * (time.time() - began))}
+            if self.model:
+                answer = self.model.generate(f"Excerpts:\n\n{rows[0]['context']}\n\nQuestion: {question}", answers.SYSTEM)
+            else:
+                answer = answers.fallbacks(found).first()["answer"]
+        finally:
+            found.unpersist()
         return {"answer": answer, "sources": [s.asDict() for s in rows[0]["sources"]], "time": round(1000 * (time.time() - began))}
 
     def research(self, question: str, k: int = 3) -> dict:
@@ -211,7 +273,8 @@ class Library:
         sources = answers.union_sources(found.withColumnRenamed("query_id", "sub")).orderBy("sub", "rank").select("document_path", "score", F.substring("content", 1, answers.SOURCE_CHARS).alias("content"), "heading").collect()
         try:
             answer = self.model.generate(f"Excerpts:\n\n{context}\n\nQuestion: {question}", answers.SYSTEM)
-        except Exception:
+        except Exception as e:  # the best match is an answer as well
+            warnings.warn(f"the model failed: {e}", stacklevel=2)
             answer = (answers.fallbacks(found).first() or {"answer": answers.NOTHING_FOUND})["answer"]
         found.unpersist()
         return {"answer": answer, "sources": [s.asDict() for s in sources], "questions": parts, "time": round(1000 * (time.time() - began))}

@@ -16,7 +16,12 @@ from . import html, office
 
 #: A format's extractor takes a file's bytes and gives its text and metadata.
 Extractor = Callable[[bytes], tuple[str, dict]]
+#: Gives the words of a picture or of a scanned document.
+Ocr = Callable[[bytes], str | None]
+#: Gives a URL's text, alone or with its content type.
+Fetch = Callable[[str], "str | tuple[str, str]"]
 OCR_UNDER = 50
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def headings(text: str) -> list[dict]:
@@ -68,7 +73,12 @@ def _missing(kind: str) -> Extractor:
 EXTRACTORS: dict[str, Extractor] = {"txt": _text, "md": _markdown, "html": _html, "docx": office.docx, "xlsx": office.xlsx, "pptx": office.pptx, "pdf": _missing("pdf"), "image": _missing("image")}
 
 
-def with_ocr(pdf: Extractor, ocr: Callable[[bytes], str | None]) -> Extractor:
+def image_reader(ocr: Ocr) -> Extractor:
+    """An extractor of pictures: what the OCR reads."""
+    return lambda data: (ocr(data) or "", {"ocr": True, "size": len(data)})
+
+
+def with_ocr(pdf: Extractor, ocr: Ocr) -> Extractor:
     """A PDF extractor that reads scans: a document of several pages and hardly any text gets the OCR's text if that is longer."""
 
     def read(data: bytes) -> tuple[str, dict]:
@@ -85,7 +95,8 @@ def with_ocr(pdf: Extractor, ocr: Callable[[bytes], str | None]) -> Extractor:
 def scan(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame, list[str]]:
     """(path, content bytes, modification time and length of each supported file, paths that aren't there).
 
-    Directories are read as deep as they go. A single file also counts if it has no extension.
+    Directories are read as deep as they go. A single file also counts if it has no extension. Content is read only
+    if it is asked for.
     """
     out, missing = None, []
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -100,7 +111,7 @@ def scan(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame, list[str
             found = found.where(supported(F.col("path")))
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+        out = spark.createDataFrame([], FILES)
     return out.dropDuplicates(["path"]), missing
 
 
@@ -122,11 +133,30 @@ def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None) ->
     return files.select("path", detect_format(F.col("path")).alias("format"), "content").mapInPandas(run, schemas.EXTRACTED)
 
 
+def fetched(urls: DataFrame, fetch: Fetch, at_once: int = 64) -> DataFrame:
+    """url, html, content_type, error of each URL, fetched by the workers, `at_once` tasks at most."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for url in frame["url"]:
+                try:
+                    got = fetch(url)
+                    rows.append((url, *((got, None) if isinstance(got, str) else got), None))
+                except Exception as e:  # one bad page doesn't fail the batch; it is reported
+                    rows.append((url, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "html", "content_type", "error"])
+
+    return urls.select("url").repartition(at_once).mapInPandas(run, "url string, html string, content_type string, error string")
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """Fetched pages (url, html) -> extracted documents. Fetching itself is the caller's."""
-    parsed = html.parse_pages(pages.select("url", "html").where(is_url(F.col("url"))))
-    metadata = F.create_map(*(x for k, v in {"url": F.col("url"), "title": F.col("title"), "links": F.col("links"), "contentType": F.lit("text/html"), "charset": F.lit("utf-8")}.items() for x in (F.lit(k), _json(v))), F.lit("size"), F.length("content").cast("string"))
-    return parsed.select(F.col("url").alias("path"), F.lit("url").alias("format"), "content", metadata.alias("metadata"), F.lit(None).cast("string").alias("error"))
+    """Fetched pages (url, html and, if at hand, content_type and error) -> extracted documents."""
+    kind = F.coalesce("content_type", F.lit("text/html")) if "content_type" in pages.columns else F.lit("text/html")
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    parsed = html.parse_pages(pages.select("url", "html", kind.alias("kind"), error.alias("error")).where(is_url(F.col("url"))))
+    metadata = F.create_map(*(x for k, v in {"url": F.col("url"), "title": F.col("title"), "links": F.col("links"), "contentType": F.col("kind"), "charset": F.lit("utf-8")}.items() for x in (F.lit(k), _json(v))), F.lit("size"), F.length("content").cast("string"))
+    return parsed.select(F.col("url").alias("path"), F.lit("url").alias("format"), "content", metadata.alias("metadata"), "error")
 
 
 def _json(value):

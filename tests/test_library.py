@@ -1,7 +1,9 @@
 import io
+import time
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.operators.export import write_csv, write_json
@@ -91,6 +93,70 @@ def test_watch(spark, folder):
     library.unwatch()
 
 
+def test_running_watch_reads_changed_files_only(spark, folder, monkeypatch):
+    read, seen = [], []
+    original = files.extract
+    monkeypatch.setattr(files, "extract", lambda found, extractors=None: (read.append(sorted(r.path.rsplit("/", 1)[1] for r in found.select("path").collect())), original(found, extractors))[1])
+    library = Library(spark, f"file://{folder}/index")
+    library.watch(str(folder / "in"), seen.append)
+    for n in (1, 2):
+        for _ in range(60):
+            if len(seen) == n:
+                break
+            time.sleep(0.5)
+        if n == 1:
+            (folder / "in/more.txt").write_text("more words")
+    library.unwatch()
+    assert read == [["sample.md", "sample.txt"], ["more.txt"]] and library.search("more").count() == 1
+
+
+def test_a_change_writes_only_what_changes(spark, folder):
+    library = Library(spark, f"file://{folder}/index")
+    library.index(str(folder / "in"))
+    first = {f: f.stat().st_mtime_ns for f in (folder / "index/generation-1").rglob("*.parquet")}
+    (folder / "in/sample.txt").write_text("other words")
+    library.index(str(folder / "in"))
+    assert {f: f.stat().st_mtime_ns for f in (folder / "index/generation-1").rglob("*.parquet")} == first
+    assert spark.read.parquet(f"file://{folder}/index/generation-2/documents").count() == 1
+    assert library.search("thirty").where("document_format = 'txt'").count() == 0 and library.search("other words").count() == 1
+    rows = lambda: {n: sorted(map(str, library.table(n).collect())) for n in ("documents", "chunks", "postings", "versions")}
+    before = rows()
+    library.compact()
+    assert rows() == before and library._generations() == [3]
+    library.remove([r.path for r in library.documents().collect() if r.format == "md"][0])
+    assert library.stats()["documents"] == 1 and library.table("postings").where("term = 'sample'").count() == 0
+
+
+def test_many_changes_are_compacted(spark, folder, monkeypatch):
+    monkeypatch.setattr("lectern.plans.library.MOST_GENERATIONS", 2)
+    library = Library(spark, f"file://{folder}/index")
+    for k in range(4):
+        (folder / "in/sample.txt").write_text(f"words number{k}")
+        library.index(str(folder / "in/sample.txt"))
+    assert len(library._generations()) <= 3 and library.search("number3").count() == 1 and library.search("number2").count() == 0
+    assert library.table("versions").count() == 4
+
+
+def test_plugins(spark, folder):
+    (folder / "in/scan.pdf").write_bytes(b"xx")
+    (folder / "in/photo.png").write_bytes(b"png")
+    table = files.EXTRACTORS | {"pdf": lambda data: (" ", {"pages": len(data)})}
+    ocr = lambda data: "words of a picture"
+    library = Library(spark, f"file://{folder}/index", Config(ocr=True, rerank=True), fetch=lambda url: ("<title>T</title><p>fetched words", "text/html; charset=x"), extractors=table, ocr=ocr, reranker=lambda rows, k, *ties: rows.withColumn("score", F.lit(7.0)).withColumn("rank", F.lit(1)))
+    done = library.index([str(folder / "in"), "https://e.org/p"])
+    assert (done.documents, done.failed) == (5, 0)
+    found = library.search("picture").collect()
+    assert {r.document_path.rsplit("/", 1)[1] for r in found} == {"scan.pdf", "photo.png"} and {r.score for r in found} == {7.0}
+    page = library.search("fetched").first()
+    assert page.metadata["contentType"] == '"text/html; charset=x"' and page.document_path == "https://e.org/p"
+
+    def fail(url):
+        raise OSError("no route")
+
+    library.fetch = fail
+    assert library.index("https://e.org/q").errors[0] == ("https://e.org/q", "OSError: no route")
+
+
 def test_export(spark, folder):
     library = Library(spark, f"file://{folder}/index")
     library.index(str(folder / "in/sample.txt"))
@@ -109,6 +175,9 @@ def test_html():
     assert page["content"] == "Title a & bclm" and page["links"] == ["https://e.org/x#y"]
     assert html.read("<p>a<br>b", "https://e.org", True) == {"content": "ab", "title": "https://e.org", "links": []}
     assert html.read("<p>a</p><p>b</p>", separator=" ")["content"] == "a b"
+    assert html.read("<html><head><title>T</title><p>hello world</p>")["content"] == "hello world"
+    assert html.read("<head><meta x><style>s</style> \n<title>T</title> loose <b>words</b></head> end")["content"] == "loose words end"
+    assert html.read("<head><title>T</title></head><body>b")["content"] == "b"
 
 
 def test_markdown_headings():

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -177,3 +178,35 @@ def test_plans_and_fields(spark):
 def test_snippet_and_highlight(spark):
     assert one(spark, T.snippet(F.col("t")), t="a\n" * 150) == "a " * 100 + "..."
     assert one(spark, T.highlight(F.col("t"), "Term of termination"), t="TERMs and termination") == "<mark>TERM</mark>s and <mark>termination</mark>"
+
+
+def test_nearest_without_queries_and_with_nulls(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0])], "chunk_id string, embedding array<float>")
+    none = spark.createDataFrame([], "query_id long, vector array<double>")
+    assert vectors.nearest(rows, none).collect() == [] and vectors.nearest(rows, none).columns == ["query_id", "chunk_id", "score", "rank"]
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, None)], "query_id long, vector array<double>")
+    assert [(r.query_id, r.chunk_id, r.score) for r in vectors.nearest(rows, asked).collect()] == [(1, "a", 1.0), (1, "c", 0.0)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    draw = random.Random(3)
+    data = [(k, [draw.random() for _ in range(4)]) for k in range(60)]
+    rows = spark.createDataFrame(data, "chunk_id long, embedding array<double>")
+    asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    whole = sorted(map(tuple, vectors.nearest(rows, asked, 3).collect()))
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vectors.query_blocks, "__defaults__", (8 * 4 * 25,))
+    assert len(list(vectors.query_blocks(asked))) == 3 and sorted(map(tuple, vectors.nearest(rows, asked, 3).collect())) == whole
+
+
+def test_bm25_reads_texts_once_and_prunes_before_its_shuffle(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} common words") for k in range(50)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(0, "common word3")], "query_id long, query string")
+    found = lexical.bm25(docs, asked)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "ReusedExchange" in plan
+    aggregate = plan.index("partial_count(1)")
+    assert "BroadcastHashJoin [term" in plan[aggregate:]  # below the first aggregate
+    plain = lexical.top(lexical.scores(lexical.postings(docs), lexical.corpus_stats(docs), asked), 10, "chunk_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
