@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import labelled, lm, quality, toxicity
 
@@ -188,38 +189,70 @@ def test_edges(spark):
             assert module.digest(documents(spark, []), labels).count() == 0
 
 
-def test_language_model_scores(spark):
+def test_language_model_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm.vocabulary, "__defaults__", (300,))  # so that some words are beyond it
     docs = [(i, prose(i % 40, 120), "s") for i in range(200)] + [(900, " ".join(f"zq{k}x" for k in range(100)), "s")]
     table = documents(spark, docs)
-    words = lm.vocabulary(table)
-    weights = lm.train(table, words)
-    total = lambda w: sum(r.log_likelihood for r in lm.score(table, words, w).collect())
+    counts = lm.materialize(lm.word_counts(table, "text"), "words")
+    words = lm.vocabulary(counts)
+    rows = lm.read(table, words)
+    weights = lm.train(rows, words, per_shard=8000)
+    total = lambda w: sum(r.log_likelihood for r in lm.score(rows, counts, w).collect())
     assert total(weights) > total(lm.Network.start(words.classes))  # it has learned
-    got = {r.doc_id: r for r in lm.score(table, words, weights).collect()}
+    again = lm.train(lm.read(table.repartition(7), words), words, per_shard=8000)
+    assert np.allclose(weights, again, atol=1e-5)  # whatever the partitions
+    got = {r.doc_id: r for r in lm.score(rows, counts, weights).collect()}
     assert got[900].score < min(r.score for i, r in got.items() if i != 900)
     # by hand: one document, one token at a time, in double precision
-    net, text = lm.Network(weights), docs[3][1]
-    found = [words.find(t) for t in lm.tokens(text)]
-    classes = [lm.CLASSES] * 2 + [c for c, _ in found] + [lm.CLASSES] * 2
-    sum_ = 0.0
-    for k, (c, share) in enumerate(found):
-        h = np.tanh(sum(net.embed[j, classes[k + 2 + s]].astype(float) for j, s in enumerate(lm.SIDE)) + net.bias)
-        z = h @ net.out.astype(float) + net.out_bias
-        sum_ += z[c] - np.log(np.exp(z).sum()) + share
-    assert got[3].log_likelihood == pytest.approx(sum_, rel=1e-4) and got[3].n_tokens == len(found)
+    n = {r.word: r.n for r in counts.collect()}
+    for i in (3, 900):
+        net, text = lm.Network(weights), dict((i, t) for i, t, _ in docs)[i]
+        found = [words.find(t, n[t]) for t in lm.tokens(text)]
+        classes = [lm.CLASSES] * 2 + [c for c, _ in found] + [lm.CLASSES] * 2
+        sum_ = 0.0
+        for k, (c, share) in enumerate(found):
+            h = np.tanh(sum(net.embed[j, classes[k + 2 + s]].astype(float) for j, s in enumerate(lm.SIDE)) + net.bias)
+            z = h @ net.out.astype(float) + net.out_bias
+            sum_ += z[c] - np.log(np.exp(z).sum()) + share
+        assert got[i].log_likelihood == pytest.approx(sum_, rel=1e-4) and got[i].n_tokens == len(found)
 
 
 def test_shares_of_a_class_sum_to_one(spark):
     table = documents(spark, [(i, prose(i, 50), "s") for i in range(20)])
-    counts = {r.word: r.n for r in lm.word_counts(table, "text").collect()}
-    words = lm.vocabulary(table, size=150)
+    counts = lm.materialize(lm.word_counts(table, "text"), "words")
+    words = lm.vocabulary(counts, size=150)
     sums = np.zeros(lm.CLASSES)
-    for w in counts:
-        c, share = words.find(w)
+    for r in counts.collect():
+        c, share = words.find(r.word, r.n)
         sums[c] += np.exp(share)
     assert np.allclose(sums[sums > 0], 1)
 
 
+def test_language_model_gradients_equal_numeric_derivatives():
+    draw = np.random.default_rng(4)
+    classes = np.concatenate([[lm.CLASSES] * 2, draw.integers(0, lm.CLASSES, 50), [lm.CLASSES] * 2]).astype(np.uint8)
+    at = np.arange(2, 52)
+    flat = draw.normal(0, 0.3, len(lm.Network.start(np.zeros(lm.CLASSES))))
+    got = np.concatenate([g.ravel() for g in lm.Network(flat).gradients(classes, at)])
+
+    def loss(w):
+        net = lm.Network.__new__(lm.Network)
+        ends = np.cumsum([int(np.prod(s)) for s in lm.Network.SHAPES])
+        net.embed, net.bias, net.out, net.out_bias = (x.reshape(s) for x, s in zip(np.split(w, ends[:-1]), lm.Network.SHAPES, strict=True))
+        return -net.log_probabilities(classes, at).mean()
+
+    for i in [*np.argsort(-np.abs(got))[:20], *draw.integers(0, len(flat), 20)]:
+        step = np.zeros(len(flat))
+        step[i] = 1e-5
+        assert got[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-5, abs=2e-5, rel=1e-3)
+
+
+def test_word_hash_is_sparks(spark):
+    words = ["", "a", "naïve", "x" * 40, "😀word"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()
+    assert [r[0] for r in got] == [lm.word_hash(w) for w in words]
+
+
 def test_language_model_edges(spark):
     got = lm.digest(documents(spark, edge_rows())).collect()
     assert len(got) == len(edge_rows())
