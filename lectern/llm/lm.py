@@ -51,8 +51,6 @@ RATE = 0.1
 TOKENS_PER_SHARD = 1_000_000
 #: Bytes of classes that a worker handles at once.
 CLASS_BLOCK = 200_000
-#: The bit of a word's number that tells that its share lacks its count.
-RARE = 1 << 60
 #: Different words that a task holds before it passes their counts on.
 MOST_COUNTED = 400_000
 #: Tokens scored at once.
@@ -69,7 +67,7 @@ def hashed_class(word: str) -> int:
 
 def word_hash(word: str) -> int:
     """That of Spark's xxhash64, signed."""
-    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    h = xxhash.xxh64_intdigest(word, 42)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -190,6 +188,13 @@ def packed(number: int, share: float) -> int:
     return number << 48 | round(-share * 2**40)
 
 
+class Frequent(dict):
+    """The numbers of the frequent words; others have -1."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 def read(docs: DataFrame, words: Vocabulary, text: str = "text") -> DataFrame:
     """row (a number), doc_id, ord (a hash of id and text), classes (a byte a token), share (sum of the tokens' log
     shares, but for the counts of the rarer ones) and rare (the hashes of those) of every text, materialized."""
@@ -197,18 +202,19 @@ def read(docs: DataFrame, words: Vocabulary, text: str = "text") -> DataFrame:
     table = spark.sparkContext.broadcast((words.words, words.sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = Vocabulary(*table.value)
-        known = Remembered(lambda w: packed(*here.find(w)) | (0 if w in here.words else RARE))
-        hashed = Remembered(word_hash)
+        words, of_classes = table.value
+        known = Frequent((w, packed(*x)) for w, x in words.items())
+        ending = Remembered(lambda t: packed(hashed_class(t), -of_classes[hashed_class(t) - (CLASSES - HASHED)]))
         for batch, texts in blocks(batches, "text", 1_000_000):
             found = [tokens(t) for t in texts]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             begins = np.append(0, np.cumsum(sizes))
             flat = list(chain.from_iterable(found))
             numbers = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-            rare = np.flatnonzero(numbers & RARE)
-            hashes = np.fromiter(map(hashed.__getitem__, [flat[i] for i in rare.tolist()]), np.int64, len(rare))
-            numbers &= RARE - 1
+            rare = np.flatnonzero(numbers < 0)
+            others = [flat[i] for i in rare.tolist()]
+            numbers[rare] = np.fromiter(map(ending.__getitem__, [w[-2:] for w in others]), np.int64, len(rare))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in others), np.uint64, len(rare)).view(np.int64)
             classes = (numbers >> 48).astype(np.uint8)
             share = per_text((numbers & (1 << 48) - 1) * -(2.0**-40), begins)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, begins), pa.int32()), pa.array(hashes))
