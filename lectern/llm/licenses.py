@@ -67,6 +67,51 @@ NAMES = {
     "cc-by-nc-sa": ("cc by", "cc by nc sa(?: [1-4](?: [05])?)?"),
     "cc-by-nc-nd": ("cc by", "cc by nc nd(?: [1-4](?: [05])?)?"),
 }
+#: More licenses by name: the same as NAMES.
+MORE_NAMES = {
+    "0bsd": ("bsd", "(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)"),
+    "afl-3": ("academic free|afl", "(?:academic free licen[sc]e|afl)(?: version)? v?3(?: 0)?"),
+    "apl-1": ("adaptive public", "adaptive public licen[sc]e(?: version)?(?: v?1(?: 0)?)?"),
+    "apsl-2": ("apple public", "apple public source licen[sc]e(?: version)?(?: v?2(?: 0)?)?"),
+    "blueoak-1": ("blue oak", "blue oak model(?: licen[sc]e)?(?: version)?(?: v?1(?: 0 0)?)?"),
+    "bsd-3-clause-clear": ("clear bsd", "clear bsd"),
+    "bsd-3-clause-lbnl": ("lawrence berkeley", "lawrence berkeley national labs bsd"),
+    "cecill-2.1": ("cecill", "cecill(?: free software)?(?: licen[sc]e)?(?: agreement)?(?: version)?(?: v?2 1)?"),
+    "cern-ohl-2": ("cern open", "cern open hardware licen[sc]e(?: version)?(?: v?2)?"),
+    "ecl-2": ("educational community", "educational community licen[sc]e(?: version)?(?: v?2(?: 0)?)?"),
+    "efl-2": ("eiffel forum", "eiffel forum licen[sc]e(?: version)?(?: v?2)?"),
+    "elastic-2": ("elastic", "elastic licen[sc]e(?: version)? v?2(?: 0)?"),
+    "fair": ("fair license", "fair license"),
+    "ftl": ("freetype", "freetype(?: project)? license"),
+    "hpnd": ("historical permission", "historical permission notice and disclaimer"),
+    "icu": ("icu license", "icu license"),
+    "ijg": ("independent jpeg", "independent jpeg group(?: license)?"),
+    "ipl-1": ("ibm public", "ibm public licen[sc]e(?: version)?(?: v?1(?: 0)?)?"),
+    "lppl-1.3": ("latex project", "latex project public licen[sc]e(?: version)?(?: v?1 3[ac]?)?"),
+    "mit-cmu": ("cmu license", "cmu license"),
+    "ms-pl": ("microsoft public", "microsoft public licen[sc]e"),
+    "ms-rl": ("microsoft reciprocal", "microsoft reciprocal licen[sc]e"),
+    "mulan-2": ("mulan", "mulan(?: permissive software)?(?: licen[sc]e)?(?: version)?(?: v?2)?"),
+    "ncsa": ("ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
+    "npl-1.1": ("netscape public", "netscape public licen[sc]e(?: version)?(?: v?1 1)?"),
+    "oldap-2.8": ("openldap", "openldap(?: public)?(?: licen[sc]e)?(?: version)?(?: v?2 8)?"),
+    "openssl": ("openssl", "openssl"),
+    "osl-3": ("open software|osl", "(?:open software licen[sc]e|osl)(?: version)? v?3(?: 0)?"),
+    "pddl-1": ("public domain dedication", "public domain dedication and licen[sc]e(?: version)?(?: v?1(?: 0)?)?"),
+    "qpl-1": ("q public", "q public licen[sc]e(?: version)?(?: v?1(?: 0)?)?"),
+    "rpl-1.5": ("reciprocal public", "reciprocal public licen[sc]e(?: version)?(?: v?1 5)?"),
+    "ruby": ("ruby license", "ruby license"),
+    "sleepycat": ("sleepycat", "sleepycat"),
+    "spl-1": ("sun public", "sun public licen[sc]e(?: version)?(?: v?1(?: 0)?)?"),
+    "sspl-1": ("server side public|sspl", "(?:server side public licen[sc]e|sspl)(?: version)?(?: v?1)?"),
+    "tcl": ("tcl", "tcl(?: tk)? license"),
+    "unicode": ("unicode", "unicode(?: terms of use| license agreement)"),
+    "upl-1": ("universal permissive", "universal permissive licen[sc]e(?: version)?(?: v?1(?: 0)?)?"),
+    "vim": ("vim license", "vim license"),
+    "w3c": ("w3c software", "w3c software(?: notice)?(?: and)?(?: document)?(?: licen[sc]e)?"),
+    "zpl-2.1": ("zope public", "zope public licen[sc]e(?: version)?(?: v?2 1)?"),
+}
+NAMES |= MORE_NAMES
 #: Creative Commons licenses written out, by the words for their terms.
 LONG_NAMES = {
     "cc-by": "attribution",
@@ -87,16 +132,107 @@ FORMS = {
 #: Names that stand for a license without any word around them, and the confidence then.
 ALONE = {"gpl-3", "gpl-2", "lgpl-3", "lgpl-2.1", "agpl-3", "apache-2", "mpl-2", "bsd-2-clause", "bsd-3-clause", "cc0-1", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "unlicense", "wtfpl"}
 ALONE_CONFIDENCE = 0.5
-#: Other signatures: (tier, confidence, label, keyword, pattern).
+#: Signatures of licenses' own texts and notices: (tier, confidence, label, keyword, pattern).
 OTHERS = [
     (2, 0.9, "public-domain", "public domain", "(?:dedicated to|released (?:in)?to|placed in|in) the public domain"),
+    (2, 0.9, "public-domain", "waived all copyright", "has waived all copyright and related or neighboring rights"),
+    (2, 0.9, "public-domain", "no copyright is claimed", "no copyright is claimed"),
     (2, 0.9, "proprietary", "all rights reserved", "all rights reserved"),
+    (2, 0.9, "proprietary", "proprietary and confidential", "proprietary and confidential"),
+    (2, 0.9, "proprietary", "trade secret", "(?:contains|constitutes) (?:the )?(?:valuable )?trade secrets? (?:of|and)"),
+    (2, 0.9, "proprietary", "unauthorized copying", "unauthorized copying of this (?:file|work|document)"),
+    (2, 0.9, "proprietary", "without prior written permission", "may not be reproduced (?:or transmitted )?without prior written permission"),
+    (2, 0.9, "proprietary", "for internal use only", "for internal use only"),
     (2, 0.9, "mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
+    (2, 0.9, "mit", "without restriction including", "to deal in the software without restriction including without limitation the rights"),
+    (2, 0.9, "mit", "substantial portions of the software", "shall be included in all copies or substantial portions of the software"),
+    (2, 0.9, "mit", "software is provided as is", "the software is provided as is without warranty of any kind express or implied"),
     (2, 0.9, "isc", "permission to use", "permission to use copy modify and or distribute this software"),
+    (2, 0.9, "isc", "software is provided as is and the author", "the software is provided as is and the author disclaims all warranties"),
     (2, 0.9, "bsd", "redistribution and use", "redistribution and use in source and binary forms"),
+    (2, 0.9, "bsd", "redistributions of source", "redistributions of source code must retain the above copyright notice"),
+    (2, 0.9, "bsd", "redistributions in binary", "redistributions in binary form must reproduce the above copyright notice"),
+    (2, 0.9, "bsd-3-clause", "endorse or promote", "may be used to endorse or promote products derived from this software"),
+    (2, 0.9, "bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software"),
+    (2, 0.9, "bsd", "copyright holders and contributors", "this software is provided by the copyright holders and contributors as is"),
     (2, 0.9, "zlib", "as is without any express", "provided as is without any express or implied warranty"),
+    (2, 0.9, "zlib", "altered source versions", "altered source versions must be plainly marked as such"),
+    (2, 0.9, "zlib", "must not be misrepresented", "the origin of this software must not be misrepresented"),
     (2, 0.9, "wtfpl", "do what the f", "do what the fuck you want to public license"),
     (2, 0.9, "unlicense", "free and unencumbered", "free and unencumbered software released into the public domain"),
+    (2, 0.9, "unlicense", "unlicense org", "please refer to (?:http|https) unlicense org"),
+    (2, 0.9, "apache-2", "apache org licenses", "www apache org licenses license 2 0"),
+    (2, 0.9, "apache-2", "except in compliance with the license", "you may not use this file except in compliance with the license"),
+    (2, 0.9, "apache-2", "specific language governing", "see the license for the specific language governing permissions and limitations"),
+    (2, 0.9, "apache-2", "contributor license agreements", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    (2, 0.9, "apache-2", "terms and conditions for use reproduction", "terms and conditions for use reproduction and distribution"),
+    (2, 0.9, "apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
+    (2, 0.9, "gpl", "gnu general public", "terms of the gnu general public licen[sc]e as published by the free software foundation"),
+    (2, 0.9, "gpl-2", "either version 2", "either version 2 of the licen[sc]e or at your option any later version"),
+    (2, 0.9, "gpl-3", "either version 3", "either version 3 of the licen[sc]e or at your option any later version"),
+    (2, 0.9, "gpl", "copy of the gnu general", "you should have received a copy of the gnu general public licen[sc]e"),
+    (2, 0.9, "lgpl", "copy of the gnu lesser", "you should have received a copy of the gnu lesser general public licen[sc]e"),
+    (2, 0.9, "agpl-3", "copy of the gnu affero", "you should have received a copy of the gnu affero general public licen[sc]e"),
+    (2, 0.9, "gpl", "free software you can redistribute", "is free software you can redistribute it and or modify it"),
+    (2, 0.9, "gpl", "freedom to share and change", "designed to take away your freedom to share and change it"),
+    (2, 0.9, "gpl", "gnu org licenses gpl", "www gnu org licenses gpl(?: 2 0| 3 0)?"),
+    (2, 0.9, "lgpl", "gnu org licenses lgpl", "www gnu org licenses lgpl(?: 2 1| 3 0)?"),
+    (2, 0.9, "agpl-3", "gnu org licenses agpl", "www gnu org licenses agpl(?: 3 0)?"),
+    (2, 0.9, "lgpl", "gnu library general", "gnu library general public licen[sc]e"),
+    (2, 0.9, "gfdl", "invariant sections", "with no invariant sections(?: no front cover texts)?(?: and no back cover texts)?"),
+    (2, 0.9, "gfdl", "gnu org licenses fdl", "www gnu org licenses fdl(?: 1 3)?"),
+    (2, 0.9, "mpl-2", "subject to the terms of the mozilla", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
+    (2, 0.9, "mpl-2", "mozilla org mpl", "mozilla org mpl 2 0"),
+    (2, 0.9, "mpl-1.1", "subject to the mozilla", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    (2, 0.9, "epl-2", "eclipse org legal", "www eclipse org legal epl 2 0"),
+    (2, 0.9, "epl-1", "eclipse org legal", "www eclipse org legal epl v10"),
+    (2, 0.9, "epl-1", "accompanying materials are made available", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e v1 0"),
+    (2, 0.9, "eupl-1.2", "joinup ec europa", "joinup ec europa eu (?:software page|collection) eupl"),
+    (2, 0.9, "cddl-1", "common development and distribution", "common development and distribution licen[sc]e"),
+    (2, 0.9, "cc0-1", "creativecommons org publicdomain zero", "creativecommons org publicdomain zero 1 0"),
+    (2, 0.9, "cc0-1", "no rights reserved", "no rights reserved"),
+    (2, 0.9, "public-domain", "creativecommons org publicdomain mark", "creativecommons org publicdomain mark 1 0"),
+    (2, 0.9, "cc-by", "creativecommons org licenses", "creativecommons org licenses by [1-4] [05]"),
+    (2, 0.9, "cc-by-sa", "creativecommons org licenses", "creativecommons org licenses by sa [1-4] [05]"),
+    (2, 0.9, "cc-by-nd", "creativecommons org licenses", "creativecommons org licenses by nd [1-4] [05]"),
+    (2, 0.9, "cc-by-nc", "creativecommons org licenses", "creativecommons org licenses by nc [1-4] [05]"),
+    (2, 0.9, "cc-by-nc-sa", "creativecommons org licenses", "creativecommons org licenses by nc sa [1-4] [05]"),
+    (2, 0.9, "cc-by-nc-nd", "creativecommons org licenses", "creativecommons org licenses by nc nd [1-4] [05]"),
+    (3, 0.85, "cc-by", "share copy and redistribute", "you are free to share copy and redistribute the material in any medium or format"),
+    (3, 0.85, "cc-by-nc", "noncommercial you may not", "noncommercial you may not use the material for commercial purposes"),
+    (3, 0.85, "cc-by-sa", "sharealike if you remix", "sharealike if you remix transform or build upon the material"),
+    (3, 0.85, "cc-by-nd", "may not distribute the modified", "if you remix transform or build upon the material you may not distribute the modified material"),
+    (2, 0.9, "ofl-1.1", "reserved font name", "with reserved font names?"),
+    (2, 0.9, "ofl-1.1", "scripts sil org", "scripts sil org ofl"),
+    (2, 0.9, "bsl-1", "boost org license", "www boost org license 1 0(?: txt)?"),
+    (2, 0.9, "bsl-1", "machine executable object code", "machine executable object code generated by a source language processor"),
+    (2, 0.9, "busl-1.1", "change license apache", "change license apache"),
+    (2, 0.9, "postgresql", "without a written agreement", "without fee and without a written agreement is hereby granted"),
+    (2, 0.9, "python-2", "psf hereby grants", "psf hereby grants licensee a nonexclusive royalty free"),
+    (2, 0.9, "php-3", "includes php software", "this product includes php software freely available from"),
+    (2, 0.9, "openssl", "openssl project for use", "developed by the openssl project for use in the openssl toolkit"),
+    (2, 0.9, "openssl", "cryptographic software written by eric", "this product includes cryptographic software written by eric young"),
+    (2, 0.9, "ncsa", "deal with the software without restriction", "to deal with the software without restriction"),
+    (2, 0.9, "w3c", "org consortium legal", "www w3 org consortium legal"),
+    (2, 0.9, "hpnd", "provided that the above copyright notice", "for any purpose and without fee is hereby granted provided that the above copyright notice"),
+    (2, 0.9, "x11", "x consortium", "except as contained in this notice the name of the x consortium shall not be used"),
+    (2, 0.9, "artistic", "artistic license", "the artistic license preamble"),
+    (2, 0.9, "artistic-2", "standard version", "you may distribute (?:verbatim copies of )?the source form of the standard version"),
+    (2, 0.9, "elastic-2", "hosted or managed service", "provide the software to third parties as a hosted or managed service"),
+    (2, 0.9, "sspl-1", "functionality of the program", "make the functionality of the program (?:or a modified version )?available to third parties as a service"),
+    (2, 0.9, "commons-clause", "commons clause", "commons clause (?:license condition|restriction)"),
+    (2, 0.9, "json", "good not evil", "the software shall be used for good not evil"),
+    (2, 0.9, "beerware", "buy me a beer", "you can buy me a beer in return"),
+    (2, 0.9, "odbl-1", "opendatacommons org licenses odbl", "opendatacommons org licenses odbl(?: 1 0)?"),
+    (2, 0.9, "odc-by-1", "opendatacommons org licenses by", "opendatacommons org licenses by(?: 1 0)?"),
+    (2, 0.9, "pddl-1", "opendatacommons org licenses pddl", "opendatacommons org licenses pddl(?: 1 0)?"),
+    (2, 0.9, "ogl-uk-3", "open government", "open government licen[sc]e(?: v?3(?: 0)?)?"),
+    (2, 0.9, "openrail", "responsible ai", "open responsible ai licen[sc]e"),
+    (2, 0.9, "llama-community", "llama", "llama [2-4](?: [0-9])? community license(?: agreement)?"),
+    (2, 0.9, "gemma", "gemma terms", "gemma terms of use"),
+    (2, 0.9, "nasa-1.3", "nasa open source", "nasa open source agreement(?: version)?(?: v?1 3)?"),
+    (2, 0.9, "cdla-permissive-2", "community data license", "community data license agreement permissive(?: version)?(?: v?2(?: 0)?)?"),
+    (2, 0.9, "cdla-sharing-1", "community data license", "community data license agreement sharing(?: version)?(?: v?1(?: 0)?)?"),
 ]
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

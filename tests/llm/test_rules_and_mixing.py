@@ -1,4 +1,5 @@
 import os
+import random
 import re
 from pathlib import Path
 
@@ -165,6 +166,64 @@ def test_each_alternative_of_a_license_name_is_found(spark):
     assert all(label in got[k] for k, label in enumerate(texts.values())), got
 
 
+def example(pattern, draw):
+    """A text that a rule's pattern matches, with random choices."""
+
+    def made(parsed):
+        out = ""
+        for op, value in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(value)
+            elif op == "IN":
+                choices = [chr(c) for kind, v in value for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])]
+                out += draw.choice(choices)
+            elif op == "BRANCH":
+                out += made(draw.choice(value[1]))
+            elif op == "SUBPATTERN":
+                out += made(value[3])
+            elif op == "MAX_REPEAT":
+                out += "".join(made(value[2]) for _ in range(draw.randint(value[0], value[1])))
+            else:
+                raise ValueError(op)
+        return out
+
+    return made(re._parser.parse(pattern))
+
+
+def plain_scan(text):
+    """All rules' matches by intervals of words, without keywords or gates, and which of them stay."""
+    words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))) + " "
+    found = []
+    for tier, confidence, label, _, pattern in licenses.rules():
+        for m in re.finditer(f" (?:{pattern})(?= )", words):
+            start = words[: m.start()].count(" ")
+            found.append((start, start + m[0].count(" "), tier, label, confidence))
+    kept: list = []
+    for s, e, tier, label, confidence in sorted(found, key=lambda m: (m[0], -m[1], *m[2:])):
+        if not any(a <= s and e <= b and u <= tier for a, b, u, _, _ in kept):
+            kept.append((s, e, tier, label, confidence))
+    return sorted(kept)
+
+
+def test_every_rule_against_a_plain_scan(spark):
+    """Three random examples of each rule between other words, against a scan without gate and keywords."""
+    draw, rows, wanted = random.Random(5), [], {}
+    for k, (_, _, label, _, pattern) in enumerate(licenses.rules()):
+        for j in range(3):
+            text = f"Begin, {example(pattern, draw)}; end {prose(k, 4)}".title()
+            if j == 2:  # two rules in one text
+                text += " " + example(licenses.rules()[draw.randrange(len(licenses.rules()))][4], draw)
+            rows.append((3 * k + j, text, "a"))
+            wanted[3 * k + j] = plain_scan(text)
+            assert any(s <= 1 for s, _, _, _, _ in wanted[3 * k + j]), (label, text)
+    got = {r.doc_id: sorted((f.s, f.e, f.tier, f.label, f.confidence) for f in r.found) for r in licenses.scan(documents(spark, rows)).collect()}
+    wrong = [(text, got[i], wanted[i]) for i, text, _ in rows if got[i] != wanted[i]]
+    assert not wrong, (len(wrong), wrong[:4])
+    hand = {(x[3], x[4]) for x in licenses.OTHERS} | {tuple(v) for v in licenses.NAMES.values()}
+    assert len(licenses.rules()) >= 400 and len(hand) >= 180
+
+
 def test_licenses_stay_in_the_jvm(spark):
     plan = licenses.digest(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
