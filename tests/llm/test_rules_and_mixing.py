@@ -156,7 +156,7 @@ def test_license_gate_lets_every_form_through(spark):
     rows = [(k, f"{verbs[k % 6]} under\tthe {n}.", "a") for k, n in enumerate(names)]
     got = {r.doc_id: r.labels for r in licenses.digest(documents(spark, rows)).collect()}
     assert [got[k] for k in range(len(names))] == list(names.values())
-    assert all(re.search(licenses.gate(), k) for k in licenses.BASE)
+    assert all(set(k.split()) & set(licenses.gate()) for k in licenses.BASE)
 
 
 def test_each_alternative_of_a_license_name_is_found(spark):
@@ -220,7 +220,7 @@ def test_every_rule_against_a_plain_scan(spark):
     got = {r.doc_id: sorted((f.s, f.e, f.tier, f.label, f.confidence) for f in r.found) for r in licenses.scan(documents(spark, rows)).collect()}
     wrong = [(text, got[i], wanted[i]) for i, text, _ in rows if got[i] != wanted[i]]
     assert not wrong, (len(wrong), wrong[:4])
-    hand = {(x[3], x[4]) for x in licenses.OTHERS} | {tuple(v) for v in licenses.NAMES.values()}
+    hand = {x[3] for x in licenses.OTHERS} | set(licenses.NAMES.values())
     assert len(licenses.rules()) >= 400 and len(hand) >= 180
 
 
