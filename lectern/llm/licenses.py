@@ -265,8 +265,8 @@ def phrases(pattern: str) -> set[str]:
 
 
 def keywords(pattern: str) -> list[str]:
-    """Words of which every text that the pattern matches has one: the longest of each."""
-    return sorted({max(p.split(), key=lambda w: (len(w), w)) for p in phrases(pattern)})
+    """Words of which every text that the pattern matches has one: the first longest of each."""
+    return sorted({max(p.split(), key=len) for p in phrases(pattern)})
 
 
 def rules() -> list[tuple[int, float, str, list[str], str]]:
