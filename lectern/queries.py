@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,7 +146,8 @@ def table_candidates(spark, sf_dir):
 
 
 def table_extract(spark, sf_dir):
-    return tables.extract_tables(_table(spark, sf_dir, "documents").withColumnRenamed("text", "content"))
+    found = tables.extract_tables(_table(spark, sf_dir, "documents").withColumnRenamed("text", "content"))
+    return found.select("doc_id", "table_index", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"))
 
 
 def html_text(spark, sf_dir):
@@ -228,16 +226,37 @@ def highlights(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", T.highlight(F.col("text"), "the and thing").alias("marked"))
 
 
-def watch_ingest(spark, sf_dir):
-    """A folder that a watch sees, its documents and chunks."""
+def _chunk_vectors(spark, sf_dir):
+    """The vectors as those of the first chunks of the documents with their numbers."""
+    return _vectors(spark, sf_dir).select(F.concat(F.lpad(F.col("vec_id").cast("string"), 12, "0"), F.lit("#00000000")).alias("chunk_id"), "embedding")
+
+
+def _searched(spark, sf_dir, mode):
+    asked = _vectors(spark, sf_dir).where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.lit(QUERY).alias("query"), F.col("embedding").alias("vector"))
+    found = search(_chunks(spark, sf_dir), asked, 10, config=Config(mode=mode), embeddings=_chunk_vectors(spark, sf_dir))
+    return found.select("chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+def search_vector(spark, sf_dir):
+    return _searched(spark, sf_dir, "vector")
+
+
+def search_hybrid(spark, sf_dir):
+    return _searched(spark, sf_dir, "hybrid")
+
+
+def library_lifecycle(spark, sf_dir):
+    """All documents indexed, indexed again with two in three of them edited, and one removed: what the library then holds."""
     from .plans.library import Library
 
-    folder = Path(tempfile.mkdtemp(prefix="lectern-watch-"))
-    (folder / "a.txt").write_text("termination clause agreement")
-    (folder / "b.md").write_text("# Title\n\npayment terms\n")
-    library = Library(spark, f"file://{tempfile.mkdtemp(prefix='lectern-index-')}")
-    library.watch(str(folder), once=True).awaitTermination()
-    return library.documents().select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "format", "chunk_count", "size")
+    library = Library(spark)
+    old, new = _edited(spark, sf_dir)
+    for docs in (old, new):
+        library.add(docs.select("path", F.lit("txt").alias("format"), "content", F.create_map().cast("map<string,string>").alias("metadata"), F.lit(None).cast("string").alias("error")))
+    library.remove("7")
+    held = library.table("versions").groupBy("path").agg(F.max("version").alias("versions"))
+    found = library.table("chunks").groupBy(F.col("document_path").alias("path")).agg(F.count(F.lit(1)).alias("chunks"))
+    return library.documents().join(held, "path").join(found, "path", "left").select("path", "size", "versions", (F.col("chunk_count") == F.coalesce("chunks", F.lit(0))).alias("counted"))
 
 
 # SQL
@@ -286,7 +305,61 @@ def _only(a: str, b: str) -> str:
     return f"array_to_string(list_transform(list_filter(list_transform({a}, lambda x, i: CASE WHEN list_position({a}, x) = i AND NOT list_contains({b}, x) THEN substr(x, 1, 200) END), lambda x: x IS NOT NULL)[1:50], lambda x: x), '|')"
 
 
+def _headings(kinds: str) -> str:
+    """Parts of the documents that the lines of kind 2, and those of kind 1 after more than two lines, begin."""
+    return f"""WITH l AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS path, string_split(text, chr(10)) AS lines, list_transform(string_split(text, chr(10)), lambda x: {_trim('x')}) AS bare FROM documents),
+k AS (SELECT *, {kinds} AS kind FROM l),
+s AS (SELECT *, list_reduce(list_concat([[0]], list_transform(range(1, len(lines) + 1), lambda i: [i])), lambda acc, x: CASE WHEN kind[x[1]] = 2 OR kind[x[1]] = 1 AND x[1] - 1 - acc[len(acc)] > 2 THEN list_concat(acc, [x[1] - 1]) ELSE acc END) AS starts FROM k),
+p AS (SELECT path, j, CASE WHEN j > 1 THEN CASE WHEN kind[starts[j] + 1] = 2 THEN regexp_extract(bare[starts[j] + 1], '^(?s:#+{_SPACE}+(.+))$', 1) ELSE bare[starts[j] + 1] END END AS heading,
+  {_trim("array_to_string(lines[starts[j] + 1 : coalesce(starts[j + 1], len(lines))], chr(10))")} AS content FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS j FROM s))
+SELECT path AS document_path, (row_number() OVER (PARTITION BY path ORDER BY j) - 1)::INT AS chunk_index, heading, """
+
+
+_MARK = f"regexp_full_match(x, '(?s)#{{1,6}}{_SPACE}+.+')"
+_PLAIN_KINDS = f"""list_transform(bare, lambda x, i: CASE WHEN x = '---' OR len(list_filter(bare[1:i], lambda y: y = '---')) % 2 = 1 THEN 0 WHEN {_MARK} THEN 2
+  WHEN regexp_matches(x, '^\\d+(\\.\\d+)*{_SPACE}+[A-Z]') OR length(x) > 2 AND length(x) < 120 AND x = upper(x) AND regexp_matches(x, '[A-Z]([A-Z]|{_SPACE}){{2,}}') THEN 1 ELSE 0 END)"""
+_MARKDOWN_KINDS = f"""list_transform(bare, lambda x, i: CASE WHEN bare[1] = '---' AND (len(list_filter(bare[1:i], lambda y: y = '---')) < 2 OR x = '---') THEN 0 WHEN {_MARK} THEN 2 ELSE 0 END)"""
+
+_RULE_SQL = _SPACE[:-1] + "|:-]+"
+_GAP_SQL = _SPACE + "{2,}"
+
+
+def _without(html: str, *tags: str) -> str:
+    for tag in tags:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    return html
+
+
+_BODY = _without("regexp_replace(html, '(?is)<!--.*?-->', '', 'g')", "script", "style", "nav", "footer", "header", "iframe", "noscript", "head")
+_UNESCAPED = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+_BOOSTED = f"score * (1 + 0.2::DOUBLE * len(held) + coalesce(CASE WHEN gap < 500 THEN 0.3::DOUBLE * (1 - gap / 500.0::DOUBLE) END, 0) + CASE WHEN contains(t, '{LICENSE_QUERY}') THEN 0.4::DOUBLE ELSE 0 END)"
+
+
 SQL = {
+    "table_extract": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+g AS (SELECT *, coalesce(length(x) >= 40 AND (n >= 2 OR CASE WHEN n > 0 THEN 15.0 * n ELSE 20.0 * len(regexp_extract_all(x, ' +')) END / length(x) > 0.6), FALSE) AS good FROM (SELECT *, {_trim('line')} AS x, length(line) - length(replace(line, '|', '')) AS n FROM l)),
+b AS (SELECT doc_id, min(i) AS first, list(line ORDER BY i) AS lines FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, good ORDER BY i) AS block FROM g) WHERE good GROUP BY doc_id, block HAVING count(*) >= 3),
+p AS (SELECT *, list_filter(lines, lambda x: contains(x, '|')) AS piped FROM b),
+r AS (SELECT doc_id, first, len(piped) >= 2 AS pipes, CASE WHEN len(piped) >= 2 THEN list_transform(list_filter(piped, lambda x: NOT regexp_full_match(x, '{_RULE_SQL}')), lambda x: list_filter(list_transform(string_split(x, '|'), lambda c: {_trim('c')}), lambda c: c <> ''))
+  ELSE list_transform(lines, lambda x: regexp_split_to_array({_trim('x')}, '{_GAP_SQL}')) END AS rows FROM p),
+m AS (SELECT *, list_sort(list_transform(rows, lambda r: len(r)))[len(rows) // 2 + 1] AS middle FROM r)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS table_index, coalesce(array_to_string(rows[1], '|'), '') AS headers,
+  array_to_string(list_transform(list_filter(rows[2:], lambda r: pipes OR len(r) >= middle - 1), lambda r: array_to_string(r, '|')), chr(10)) AS rows FROM m WHERE pipes OR middle >= 2""",
+    "chunk_by_heading": _headings(_PLAIN_KINDS) + "content FROM p WHERE content <> ''",
+    "chunk_by_heading_markdown": _headings(_MARKDOWN_KINDS) + "md5(content) AS digest FROM p WHERE content <> ''",
+    "search_reranked": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", f"SELECT 0::BIGINT AS query_id, '{LICENSE_QUERY}' AS query", 10)
+    + f""", t AS (SELECT key, score, path, chunk_index, lower(content) AS t, list_filter(string_split('{LICENSE_QUERY}', ' '), lambda w: contains(lower(content), w)) AS held FROM found JOIN c ON key = chunk_id),
+g AS (SELECT *, list_sort(flatten(list_transform(held, lambda w: list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(w)) = w)))) AS p FROM t),
+b AS (SELECT *, list_min(list_transform(range(2, len(p) + 1), lambda i: p[i] - p[i - 1])) AS gap FROM g)
+SELECT key AS chunk_id, round({_BOOSTED}, 6) AS score, row_number() OVER (ORDER BY round({_BOOSTED}, 6) DESC, path, chunk_index)::INT AS rank FROM b QUALIFY rank <= 5""",
+    "search_vector": "WITH " + _windows(1500, 1300) + f", v AS ({_NEAREST.format('vec_id = 0', 20)}) SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, v.rank)::INT AS rank FROM v JOIN c ON chunk_id = lpad(vec_id::VARCHAR, 12, '0') || '#00000000' QUALIFY row_number() OVER (ORDER BY score DESC, v.rank) <= 10",
+    "search_hybrid": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 30)
+    + f""", v AS (SELECT lpad(vec_id::VARCHAR, 12, '0') || '#00000000' AS id, rank FROM ({_NEAREST.format('vec_id = 0', 30)})), f AS (SELECT coalesce(key, id) AS chunk_id, round(coalesce(0.5::DOUBLE / (60 + found.rank), 0) + coalesce(0.5::DOUBLE / (60 + v.rank), 0), 8) AS score, coalesce(found.rank, 2147483647) AS a, coalesce(v.rank, 2147483647) AS b FROM found FULL JOIN v ON key = id),
+h AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b, chunk_id) AS place FROM f QUALIFY place <= 10)
+SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY h.score DESC, place)::INT AS rank FROM h JOIN c USING (chunk_id)""",
+    "library_lifecycle": f"""WITH d AS (SELECT doc_id::VARCHAR AS path, text, {_EDIT} AS n FROM documents)
+SELECT path, length(n) AS size, CASE WHEN n <> text THEN 2 ELSE 1 END::INT AS versions, TRUE AS counted FROM d WHERE path <> '7'""",
+    "html_text": rf"SELECT page_id, trim(regexp_replace({_UNESCAPED.format("regexp_replace(" + _BODY + ", '(?s)<[^>]*>', '', 'g')")}, '{_SPACE}+', ' ', 'g'), ' ') AS content FROM pages",
     "detect_format": r"""SELECT page_id, CASE e WHEN 'md' THEN 'md' WHEN 'markdown' THEN 'md' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'xlsx' THEN 'xlsx' WHEN 'pptx' THEN 'pptx' ELSE CASE WHEN e IN ('png','jpg','jpeg','tiff','tif','bmp','gif','webp') THEN 'image' ELSE 'txt' END END AS format,
 regexp_matches(url, '^\s*(?i:https?):/*[^/\s]') AS is_url, e IN ('md','markdown','html','htm','pdf','docx','xlsx','pptx','png','jpg','jpeg','tiff','tif','bmp','gif','webp','txt','csv','json','log','xml') AS supported
 FROM (SELECT page_id, url, lower(regexp_extract(url, '[^/.][^/]*\.([^./]*)$', 1)) AS e FROM pages)""",
@@ -328,6 +401,6 @@ QUERIES = {
         detect_format, chunk_sliding, chunk_by_heading, chunk_by_heading_markdown, term_stats, corpus_stats, bm25_top, bm25_batch, bm25_conversations, bm25_chunks,
         vector_top, vector_batch, cosine_pairs, hybrid_rrf, search_filter_after, search_filter_before, search_reranked, rerank_boost, table_candidates, table_extract,
         html_text, html_title, html_links, dedupe_exact, upsert_changed, document_diff, remove_document_stats, ask_context, fallback_answer, agentic_sources,
-        schema_batches, export_rows, snippets, highlights, watch_ingest,
+        schema_batches, export_rows, snippets, highlights, search_vector, search_hybrid, library_lifecycle,
     )
 }
