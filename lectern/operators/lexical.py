@@ -25,6 +25,11 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def document_frequencies(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """term, df straight from texts: each chunk's different terms, summed in each task before the one shuffle."""
+    return chunks.select(F.explode(F.array_distinct(terms(F.col(content)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
     """One row: n chunks, empty ones included, and their average length (1 if there's none)."""
     return chunks.select(F.size(terms(F.col(content))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))

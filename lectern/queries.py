@@ -65,8 +65,7 @@ def chunk_by_heading_markdown(spark, sf_dir):
 
 
 def term_stats(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return lexical.term_stats(lexical.postings(docs, "doc_id", "text"))
+    return lexical.document_frequencies(_table(spark, sf_dir, "documents"), "text")
 
 
 def corpus_stats(spark, sf_dir):
