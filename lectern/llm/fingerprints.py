@@ -10,7 +10,10 @@ another empty one only.
 The comparison with each document's successor sorts by id without a global sort of texts: ids alone
 give the bounds of many small ranges, each text moves once, to its range, and the first document of a
 range moves to the range before it as well. Null ids come last, as the largest descending rank; rows
-with one id stand in the order of their texts, descending, null last. Null text: empty.
+with one id stand in the order of their texts, descending, null last; equal rows follow each other. Null text:
+empty. A very long text is parsed whole, in time and memory in proportion to its length. A single document is its own
+next one. Columns of other names aren't read. An empty table gives no rows. Rows of one id, null among them, share
+a range and so a task, as each is compared with the next.
 """
 
 from __future__ import annotations

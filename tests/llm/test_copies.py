@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -147,6 +148,39 @@ def test_likeness_is_the_jaccard_of_phrases():
     assert far > 0.7 and fingerprints.likeness(fingerprints.fingerprint(""), fingerprints.fingerprint(None)) == 1
 
 
+def plain_fingerprint(text):
+    """Phrases by another parse, their checksums, mixed with Python's own integers, and the 128 smallest."""
+    found, at = set(), 0
+    while at < len(text):
+        size = 1
+        while at + size <= len(text) and text[at : at + size] in found:
+            size += 1
+        if at + size <= len(text):
+            found.add(text[at : at + size])
+        at += size
+    out = set()
+    for phrase in found:
+        h = zlib.crc32(phrase.encode())
+        h = ((h ^ h >> 16) * 0x85EBCA6B) & 0xFFFFFFFF
+        h = ((h ^ h >> 13) * 0xC2B2AE35) & 0xFFFFFFFF
+        out.add(h ^ h >> 16)
+    return sorted(out)[:128]
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rows = [(i, prose(i, 1 + 41 * i % 700), "s") for i in range(25)] + [(90, None, "s"), (91, "aaaaaaaa", "s"), (92, "é中😀" * 40, "s")]
+    got = {r.doc_id: r for r in fingerprints.compare(documents(spark, rows)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    for k, (i, t, _) in enumerate(order):
+        t, other = t or "", order[(k + 1) % len(order)][1] or ""
+        a, b, c = (plain_fingerprint(x) for x in (t, t[: len(t) - len(t) // 2] + other[: len(t) // 2], other))
+        for mark, hexed in ((a, got[i].fingerprint), (b, got[i].edited_fingerprint)):
+            assert hexed == "".join(f"{h:08x}" for h in mark)
+        for pair, near in (((a, b), got[i].near_edited), ((a, c), got[i].near_next)):
+            both = sorted(set(pair[0]) | set(pair[1]))[:128]
+            assert near == pytest.approx(sum(h in pair[0] and h in pair[1] for h in both) / len(both) if both else 1.0)
+
+
 @pytest.mark.parametrize("n", [1, 2, 60])
 def test_compare(spark, n):
     rows = [(7 * i, prose(i, 3 + 5 * i % 90), "s") for i in range(n)]
