@@ -205,7 +205,7 @@ def test_bm25_reads_texts_once_and_prunes_before_its_shuffle(spark):
     found = lexical.bm25(docs, asked)
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "NestedLoop" not in plan and "Cartesian" not in plan and "ReusedExchange" in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "ReusedExchange" in plan and "WindowGroupLimit" in plan
     aggregate = plan.index("partial_count(1)")
     assert "BroadcastHashJoin [term" in plan[aggregate:]  # below the first aggregate
     plain = lexical.top(lexical.scores(lexical.postings(docs), lexical.corpus_stats(docs), asked), 10, "chunk_id")
