@@ -10,10 +10,11 @@ another empty one only.
 The comparison with each document's successor sorts by id without a global sort of texts: ids alone
 give the bounds of many small ranges, each text moves once, to its range, and the first document of a
 range moves to the range before it as well. Null ids come last, as the largest descending rank; rows
-with one id stand in the order of their texts, descending, null last; equal rows follow each other. Null text:
-empty. A very long text is parsed whole, in time and memory in proportion to its length. A single document is its own
-next one. Columns of other names aren't read. An empty table gives no rows. Rows of one id, null among them, share
-a range and so a task, as each is compared with the next.
+with one id stand in the order of a hash of their texts, then of the texts, descending, null last; equal rows follow
+each other. An id of more rows than two ranges should hold, null among them, is cut into ranges by that hash, so a
+third of all rows may have one id. Null text: empty. A very long text is parsed whole, in time and memory in
+proportion to its length. A single document is its own next one. Columns of other names aren't read. An empty table
+gives no rows. Rows that are equal in id and text share a range and so a task.
 """
 
 from __future__ import annotations
@@ -98,33 +99,58 @@ class Parsed:
 
 
 def in_ranges(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, text, range, carried: rows of a range and after them (carried) the first of the next one."""
+    """doc_id, text, range (a number), carried: rows of a range and after them (carried) the first of the next one.
+
+    Ranges ascend with ids, 0 without one. An id with more rows than two even ranges has a range of its own, in parts by `tie`."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, parts * RANGES)
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL")
-    found = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    bounds = np.unique(np.array(found, np.int64))
-    held = spark.sparkContext.broadcast(bounds)  # at most n numbers
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(held.value, ids.fillna(0).to_numpy(np.int64), "left") + 1
-        return pd.Series(np.where(ids.isna(), 0, at).astype(np.int32))
-
-    firsts = docs.select(F.col("doc_id").cast("long").alias("id")).withColumn("range", range_of("id")).groupBy("range").agg(F.max("id").alias("id")).collect()
-    order = sorted(((r["range"], r["id"]) for r in firsts), key=lambda x: -x[0])  # descending ids; at most n + 1 ranges
-    to = {order[i][1]: order[i - 1][0] for i in range(len(order))}
-    carry_ids = spark.sparkContext.broadcast(to)
-
-    @F.pandas_udf("int")
-    def carried_to(ids: pd.Series) -> pd.Series:
-        table = carry_ids.value
-        return pd.Series([table.get(None if pd.isna(i) else int(i), -1) for i in ids], dtype="int32")
-
-    slim = docs.select("doc_id", F.col(text).alias("text")).withColumn("range", range_of(F.col("doc_id").cast("long"))).withColumn("to", carried_to(F.col("doc_id").cast("long")))
-    places = F.array(F.struct(F.col("range"), F.lit(0).alias("carried")), F.struct(F.col("to").alias("range"), F.lit(1).alias("carried")))
-    return slim.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.range", "place.carried").where("range >= 0").repartition("range").sortWithinPartitions("range", "carried", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES)
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 33)  # 31 bits
+    known = docs.select("doc_id", F.col(text).alias("text"), F.col("doc_id").cast("long").alias("id"))
+    span = known.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("rows")).first()
+    start = span["low"] if span["low"] is not None and span["high"] - span["low"] < 1 << 62 else 0  # as percentiles are found among doubles
+    shares = [k / n for k in range(1, n)] or [0.5]
+    found = known.where("id IS NOT NULL").select((F.col("id") - F.lit(start)).alias("id")).agg(F.percentile_approx("id", shares, 20 * n)).first()[0] or []
+    often = known.groupBy("id").count().where(F.col("count") > max(1, 2 * span["rows"] // n)).collect()  # n / 2 ids at most
+    alone = {r["id"]: r["count"] for r in often}
+    ends = np.unique(np.array([x + start for x in found] + [x for i in alone if i is not None for x in (i, max(i - 1, -(2**63)))], np.int64))
+    parts = np.ones(len(ends) + 2, np.int64)
+    for i, rows in alone.items():
+        parts[0 if i is None else np.searchsorted(ends, i) + 1] = -(-rows * n // span["rows"])
+    offsets = np.cumsum(parts) - parts
+    held = spark.sparkContext.broadcast((ends, parts, offsets))  # at most 6 n numbers
+
+    def places(ids: pd.Series, none: pd.Series, ties: pd.Series) -> np.ndarray:
+        ends, parts, offsets = held.value
+        at = np.where(none.to_numpy(bool), 0, np.searchsorted(ends, ids.to_numpy(np.int64), "left") + 1)
+        return offsets[at] + (ties.to_numpy(np.int64) * parts[at] >> 31)
+
+    @F.pandas_udf("long")
+    def place_of(ids: pd.Series, none: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(places(ids, none, ties))
+
+    asked = (F.coalesce("id", F.lit(0).cast("long")), F.col("id").isNull())
+    is_alone = F.when(F.col("id").isNull(), F.lit(None in alone)).otherwise(F.col("id").isin([i for i in alone if i is not None]))
+    firsts = known.where(~is_alone).select("id", place_of(*asked, F.lit(0).cast("long")).alias("place")).groupBy("place").agg(F.max("id").alias("id"), F.lit(-1).cast("long").alias("tie"))
+    if alone:
+        cut = known.where(is_alone).select("id", tie.alias("tie")).withColumn("place", place_of(*asked, "tie"))
+        firsts = firsts.unionByName(cut.groupBy("place").agg(F.max("id").alias("id"), F.max("tie").alias("tie")))
+    first_id, first_tie, to = (np.full(parts.sum(), x, np.int64) for x in (0, -1, -1))
+    order = sorted((r["place"], r["id"] or 0, r["tie"]) for r in firsts.collect())  # 4 n places at most
+    for k, (place, i, t) in enumerate(order):
+        first_id[place], first_tie[place], to[place] = i, t, order[(k + 1) % len(order)][0]
+    plan = spark.sparkContext.broadcast((first_id, first_tie, to))
+
+    @F.pandas_udf("range long, to long")
+    def placed(ids: pd.Series, none: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        first_id, first_tie, to = plan.value
+        at = places(ids, none, ties)
+        first = (first_id[at] == ids.to_numpy(np.int64)) & ((first_tie[at] < 0) | (first_tie[at] == ties.to_numpy(np.int64)))
+        return pd.DataFrame({"range": at, "to": np.where(first, to[at], -1)})
+
+    slim = known.withColumn("tie", tie).withColumn("p", placed(*asked, "tie"))
+    both = F.array(F.struct(F.col("p.range"), F.lit(0).alias("carried")), F.struct(F.col("p.to").alias("range"), F.lit(1).alias("carried")))
+    moved = slim.select("doc_id", "text", "tie", F.explode(both).alias("place")).select("doc_id", "text", "tie", "place.range", "place.carried").where("range >= 0")
+    return moved.repartition("range").sortWithinPartitions("range", "carried", F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc_nulls_last()).drop("tie")
 
 
 def compare(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from lectern.llm import fingerprints, neardup
 from lectern.llm.tokens import Remembered
@@ -196,6 +197,30 @@ def test_compare(spark, n):
         assert got[i].near_edited == fingerprints.likeness(fingerprints.fingerprint(t), mark) and got[i].near_next == fingerprints.likeness(fingerprints.fingerprint(t), fingerprints.fingerprint(other))
 
 
+def test_rows_of_one_id_are_cut_into_ranges(spark):
+    """A third of the rows without an id, a third with one id: the next one is that of the stated order, and no range holds them all."""
+    rows = [(None, prose(k, 3 + k % 40), "s") for k in range(60)] + [(2**60 + 1, prose(500 + k, 3 + k % 40), "s") for k in range(60)] + [(2**60 + 30 - k, prose(900 + k, 30), "s") for k in range(60)]
+    tie = lambda t: xxhash.xxh64_intdigest(t, 42) >> 33
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1])))
+    want = []
+    for k, (i, t, _) in enumerate(order):
+        other = order[(k + 1) % len(order)][1]
+        want.append((i, hashlib.sha256((t[: len(t) - len(t) // 2] + other[: len(t) // 2]).encode()).hexdigest()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    docs = documents(spark, rows)
+    got = [(r.doc_id, r.edited_sha256) for r in fingerprints.compare(docs).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    sizes = fingerprints.in_ranges(docs, "text").where("carried = 0").groupBy("doc_id", "range").count()
+    assert max(r["count"] for r in sizes.collect()) < 15  # 180 rows in 64 ranges
+    unknown = [r for r in rows if r[0] is None]
+    order = sorted((t for _, t, _ in unknown), key=lambda t: -tie(t))
+    want = sorted((t[: len(t) - len(t) // 2] + o[: len(t) // 2]) for t, o in zip(order, order[1:] + order[:1], strict=True))
+    got = {r.edited_sha256 for r in fingerprints.compare(documents(spark, unknown)).collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest() for t in want}
+    far = [(i, prose(abs(i) % 97, 20), "s") for i in (-(2**63), -(2**63), -(2**63), 2**63 - 1, 0, 0)]
+    assert fingerprints.compare(documents(spark, far)).count() == 6
+
+
 def test_fingerprint_edges(spark):
     got = fingerprints.compare(documents(spark, edge_rows())).collect()
     assert len(got) == len(edge_rows()) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
