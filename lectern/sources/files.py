@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import SPACES, detect_format, is_url, supported
-from . import html, office
+from . import html, office, pdf
 
 #: A format's extractor takes a file's bytes and gives its text and metadata.
 Extractor = Callable[[bytes], tuple[str, dict]]
@@ -69,8 +69,8 @@ def _missing(kind: str) -> Extractor:
     return fail
 
 
-#: Format -> extractor. PDF and OCR need libraries of the user's choice: EXTRACTORS["pdf"] = ….
-EXTRACTORS: dict[str, Extractor] = {"txt": _text, "md": _markdown, "html": _html, "docx": office.docx, "xlsx": office.xlsx, "pptx": office.pptx, "pdf": _missing("pdf"), "image": _missing("image")}
+#: Format -> extractor. Reading pictures needs a library of the user's choice: EXTRACTORS["image"] = ….
+EXTRACTORS: dict[str, Extractor] = {"txt": _text, "md": _markdown, "html": _html, "docx": office.docx, "xlsx": office.xlsx, "pptx": office.pptx, "pdf": pdf.read, "image": _missing("image")}
 
 
 def image_reader(ocr: Ocr) -> Extractor:
