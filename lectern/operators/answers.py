@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.remote import ServiceModel
 from .chunking import windows
 
 NOTHING_FOUND = "No relevant documents found."
@@ -27,7 +28,7 @@ class LanguageModel(Protocol):
 
 
 #: Name -> maker of a language model; register your own.
-MODELS: dict[str, object] = {}
+MODELS: dict[str, object] = {"service": ServiceModel}
 
 
 def register(name: str, maker) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.remote import ServiceEmbedder
 from .lexical import top
 
 #: Bytes of query vectors that go to the workers at once, and how many of them meet a batch of vectors at once.
@@ -41,8 +42,8 @@ class HashingEmbedder:
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 
-#: Name -> maker of an embedder. Remote services are added by their users: register("name", maker).
-EMBEDDERS = {"hashing": HashingEmbedder}
+#: Name -> maker of an embedder; register your own.
+EMBEDDERS = {"hashing": HashingEmbedder, "service": ServiceEmbedder}
 
 
 def register(name: str, maker) -> None:

@@ -23,7 +23,7 @@ from .. import schemas
 from ..config import Config
 from ..functions.text import is_url, terms
 from ..operators import answers, chunking, lexical, tables, vectors, versions
-from ..sources import files
+from ..sources import files, remote
 from . import search as searching
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "postings": schemas.POSTINGS, "versions": schemas.VERSIONS, "embeddings": schemas.EMBEDDINGS}
@@ -48,7 +48,7 @@ class Indexed:
 
 class Library:
     def __init__(self, spark: SparkSession, path: str | None = None, config: Config | None = None, embedder: vectors.Embedder | None = None, model: answers.LanguageModel | None = None, fetch: files.Fetch | None = None, extractors: dict[str, files.Extractor] | None = None, ocr: files.Ocr | None = None, reranker: searching.Reranker | None = None):
-        self.spark, self.config, self.embedder, self.model, self.fetch, self.ocr, self.reranker = spark, config or Config(), embedder, model, fetch, ocr, reranker
+        self.spark, self.config, self.embedder, self.model, self.fetch, self.ocr, self.reranker = spark, config or Config(), embedder, model, fetch or remote.Get(), ocr, reranker
         self.own_extractors = extractors
         self.path = (path or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")).rstrip("/") + ("" if path else f"/library-{time.time_ns()}")
         self.watches: list = []
@@ -129,8 +129,6 @@ class Library:
         found, missing = files.scan(self.spark, [i for i in inputs if i not in urls])
         out = files.extract(found, self.extractors)
         if urls:
-            if self.fetch is None:
-                raise ValueError("URLs need a fetch function")
             out = out.unionByName(files.extract_pages(files.fetched(self.spark.createDataFrame([(u,) for u in urls], "url string"), self.fetch)))
         return out, missing
 
