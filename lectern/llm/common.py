@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -59,10 +60,19 @@ def tagged(df: DataFrame, prefix: str = "__lt") -> str:
     return prefix
 
 
+def trim() -> None:
+    """Gives memory that earlier work of this Python worker has freed back to the system: workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BYTES_PER_BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of about `size` bytes of text (one row at least), with their texts (null: empty).
 
-    The slices are cut by the texts' lengths before any of them becomes a Python string."""
+    The slices are cut by the texts' lengths before any of them becomes a Python string. What a worker freed before is
+    given back when a task begins and when its rows end."""
+    trim()
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
@@ -72,6 +82,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BY
             some = batch.slice(start, stop - start)
             yield some, [t or "" for t in some.column(text).to_pylist()]
             start = stop
+    trim()
 
 
 def fold(column) -> F.Column:

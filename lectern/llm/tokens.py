@@ -40,7 +40,7 @@ MAX_REMEMBERED = 1_000_000
 #: Characters in a chunk of the prefix scan.
 CHUNK = 256
 #: Characters of text handled at once.
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 #: Classes of characters. S, R, E, V and L are letters that matter after an apostrophe.
 LETTER, S, R, E, V, L, NUMBER, SPACE, BLANK, QUOTE, OTHER, END = range(12)
