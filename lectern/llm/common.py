@@ -52,6 +52,11 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def held_bytes(df: DataFrame, width: F.Column, most: int) -> DataFrame:
+    """`df`, marked to be sent to all executors if its rows, each of `width` bytes, have at most `most` bytes together."""
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
+
+
 def tagged(df: DataFrame, prefix: str = "__lt") -> str:
     """A column prefix that no column of `df` begins with, whatever its letter case."""
     names = [c.lower() for c in df.columns]

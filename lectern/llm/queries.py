@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, host_rules, licenses, lm, mixing, neardup, packing, quality, tokens, toxicity
+from . import decontamination, fingerprints, host_rules, licenses, lm, mixing, neardup, packing, quality, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = r"""
 WITH docs AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 15))::BIGINT AS key, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
@@ -86,10 +90,24 @@ FROM r JOIN verdicts ON r.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT row, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+hits AS (SELECT row, n, i, phrase FROM places WHERE phrase IN (SELECT phrase FROM windows)),
+covered AS (SELECT row, count(DISTINCT i + k) AS n_hit FROM (SELECT row, i, unnest(range(n)) AS k FROM hits) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, array_to_string(list(item ORDER BY encode(item)), ',') AS items FROM (SELECT DISTINCT row, item FROM hits JOIN windows USING (phrase)) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
+"""
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_licenses, op2_lm_scores, op3_quality, op4_token_counts, op5_near_duplicates, op6_packing, op7_fingerprints, op8_mixing, op9_toxicity, op10_host_rules)
+    found = (op1_licenses, op2_lm_scores, op3_quality, op4_token_counts, op5_near_duplicates, op6_packing, op7_fingerprints, op8_mixing, op9_toxicity, op10_host_rules, op11_decontamination)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL, "op10_host_rules": OP10_SQL}
+    return {"op8_mixing": OP8_SQL, "op10_host_rules": OP10_SQL, "op11_decontamination": OP11_SQL}
