@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, materialize, per_process
-from .tokens import BLOCK, MAX_REMEMBERED, Splitter, default_path
+from .tokens import BLOCK, MAX_REMEMBERED, MAX_REMEMBERED_BYTES, Splitter, default_path
 
 LENGTH = 1024
 END_ID = 2
@@ -47,18 +47,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.splitter = Splitter([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text begins, and the end)."""
         words, numbers, begins = self.splitter.split(texts)
-        if len(self.known) > MAX_REMEMBERED:
+        if len(self.known) > MAX_REMEMBERED or self.held > MAX_REMEMBERED_BYTES:
             self.known.clear()
+            self.held = 0
         known = self.known
         new = [w for w in words if w not in known]
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+                known[w] = ids = np.asarray(e.ids, "<u4").tobytes()
+                self.held += len(w) + len(ids)
         found = [known[w] for w in words]
         flat = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4

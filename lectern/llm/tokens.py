@@ -36,7 +36,11 @@ from .common import blocks, per_process
 LIMIT = 512
 #: Transducer states, and pre-tokens whose counts are remembered, before a worker starts anew.
 MAX_STATES = 200_000
-MAX_REMEMBERED = 1_000_000
+MAX_REMEMBERED = 200_000
+#: Bytes of remembered pre-tokens and what is known of them before a worker starts anew.
+MAX_REMEMBERED_BYTES = 16_000_000
+#: Pre-tokens of more characters are compared one by one.
+LONG = 64
 #: Characters in a chunk of the prefix scan.
 CHUNK = 256
 #: Characters of text handled at once.
@@ -143,8 +147,8 @@ class Splitter:
 
     def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(the different pre-tokens, the number of each pre-token of the texts in order, where each
-        text begins in these numbers, and the end). Equal pre-tokens are found by a 64-bit hash of
-        their characters, so only different ones become strings."""
+        text begins in these numbers, and the end). Pre-tokens meet by a 64-bit hash of their characters
+        and are then compared with the first of their hash, so only different ones become strings."""
         pieces, counts, whole = [], [], []
         for t in texts:
             parts = self.special.split(t) if self.special and self.special.search(t) else [t]
@@ -168,6 +172,11 @@ class Splitter:
         first = np.empty(len(different), np.int64)
         first[numbers[::-1]] = np.arange(len(numbers))[::-1]
         words = [stream[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        others: dict[str, int] = {}
+        for i in differing(points, start, stop, first[numbers]).tolist():  # one hash, other characters
+            word = stream[start[i] : stop[i]]
+            numbers[i] = others.setdefault(word, len(words) + len(others))
+        words += others
         text_ends = ends[np.cumsum(counts) - 1]
         return words, numbers, np.append(0, np.searchsorted(start, text_ends))
 
@@ -185,6 +194,27 @@ class Splitter:
         return (total[stop] - total[start]) * self.inverses[start]
 
 
+def differing(points: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The pre-tokens whose characters aren't those of the pre-token `first` names for them."""
+    size = stop - start
+    found = [np.flatnonzero(size != size[first])]
+    left = np.flatnonzero((size == size[first]) & (first != np.arange(len(first))))
+    for i in left[size[left] > LONG].tolist():
+        a, b = start[i], start[first[i]]
+        if (points[a : a + size[i]] != points[b : b + size[i]]).any():
+            found.append(np.array([i]))
+    left = left[size[left] <= LONG]
+    for k in range(LONG):  # one place of all that are as long
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        wrong = points[start[left] + k] != points[start[first[left]] + k]
+        if wrong.any():
+            found.append(left[wrong])
+            left = left[~wrong]
+    return np.concatenate(found)
+
+
 def per_text(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Sums of `values` between neighbouring `begins`."""
     total = np.append(0, np.cumsum(values))
@@ -299,16 +329,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """Word -> find(word), which forgets all when it holds too many."""
+    """Word -> find(word), which forgets all when it holds too many or too long words."""
 
-    def __init__(self, find: Callable[[str], object], most: int = MAX_REMEMBERED):
+    def __init__(self, find: Callable[[str], object], most: int = MAX_REMEMBERED, most_bytes: int = MAX_REMEMBERED_BYTES):
         super().__init__()
-        self.find, self.most = find, most
+        self.find, self.most, self.most_bytes, self.held = find, most, most_bytes, 0
 
     def __missing__(self, word: str):
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.held >= self.most_bytes:
             self.clear()
+            self.held = 0
         self[word] = found = self.find(word)
+        self.held += len(word)
         return found
 
 

@@ -30,6 +30,33 @@ def test_counts_equal_the_librarys(library):
     assert counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(k):
+    """Two words of 2**k letters whose polynomial hashes modulo 2**64 are equal for any base, if k is large."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_hash(library):
+    texts = [x for k in (10, 11, 12) for w in thue_morse(k) for x in (w, f"{w} {w}", f"a {w}!", w + "c")]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts(texts) == [len(ids) for ids in want]
+    ids, begins = packing.Encoder(tokens.default_path()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:], strict=False)] == want
+
+
+def test_one_hash_for_all(library, monkeypatch):
+    """Even if every pre-token has the same hash, each is told apart by its characters."""
+    monkeypatch.setattr(tokens.Splitter, "hashes", lambda self, points, start, stop: np.zeros(len(start), np.uint64))
+    draw = random.Random(4)
+    texts = ["".join(draw.choices(ODD, k=draw.randint(0, 14))) for _ in range(400)] + ["a" * 100 + " " + "a" * 99 + "b", "b" * 100]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts(texts) == [len(ids) for ids in want]
+    ids, begins = packing.Encoder(tokens.default_path()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:], strict=False)] == want
+
+
 def test_every_kind_of_character(library):
     chars = [chr(c) for c in range(1, 0x2FFF)] + [chr(c) for c in range(0x1F000, 0x1FFFF, 7)]
     texts = [f"a{c}{c} {c}1{c}" for c in chars]
