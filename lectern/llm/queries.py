@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, host_rules, licenses, lm, mixing, neardup, packing, quality, tokens, toxicity
+from . import decontamination, erasure, fingerprints, host_rules, licenses, lm, mixing, neardup, packing, quality, spelling, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,14 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.digest(*(table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines")))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH docs AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 15))::BIGINT AS key, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
@@ -105,7 +113,7 @@ FROM d LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_licenses, op2_lm_scores, op3_quality, op4_token_counts, op5_near_duplicates, op6_packing, op7_fingerprints, op8_mixing, op9_toxicity, op10_host_rules, op11_decontamination)
+    found = (op1_licenses, op2_lm_scores, op3_quality, op4_token_counts, op5_near_duplicates, op6_packing, op7_fingerprints, op8_mixing, op9_toxicity, op10_host_rules, op11_decontamination, op12_erasure, op13_spelling)
     return {f.__name__: f for f in found}
 
 
