@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
@@ -10,15 +10,23 @@ from ..functions.text import terms
 K1, B = 1.5, 0.75
 #: Most rows of short strings that are sent to every executor.
 MOST_BROADCAST = 200_000
-#: Stands for a chunk's own row among its terms, which have two characters at least.
+#: Stands for all chunks' own row among terms, which have two characters at least.
 MARK = ""
 
 
+def term_counts(text: Column) -> Column:
+    """Array of (term, tf) of a text: its terms sorted, and the length of each run of equal ones. No shuffle, one pass after the sort."""
+    runs = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    counted = lambda t: F.transform(F.array(runs(t)), lambda r: F.transform(r, lambda i, n: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(r, n + 1), F.size(t)) - i).cast("long").alias("tf"))))[0]
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.transform(F.array(F.array_sort(terms(text))), lambda t: F.when(F.size(t) > 0, counted(t)).otherwise(empty))[0]
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", content: str = "content") -> DataFrame:
     """term, <key>, tf, dl: one row per term and chunk."""
-    tokens = chunks.select(key, terms(F.col(content)).alias("tokens"))
-    exploded = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "dl")
+    counted = chunks.select(key, term_counts(F.col(content)).alias("counted"))
+    dl = F.aggregate("counted", F.lit(0).cast("long"), lambda n, x: n + x["tf"])
+    return counted.select(key, dl.alias("dl"), F.explode("counted").alias("x")).select("x.term", key, "x.tf", "dl")
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -45,28 +53,33 @@ def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 
 
 def matching(chunks: DataFrame, asked: DataFrame, key: str = "chunk_id", content: str = "content") -> DataFrame:
-    """term, <key>, dl, tf of the asked terms only, and one row with the term MARK for each chunk, which the statistics need.
+    """term, <key>, dl, tf of the asked terms only, and one row with the term MARK: the sum of lengths as tf and the number
+    of chunks as n, which the statistics need.
 
-    Every text is read and cut once; tokens of other terms end before any shuffle."""
+    Every text is read and cut once. Terms are counted within a text's row, others than the asked ones end before any
+    shuffle, and what all chunks add to the statistics is summed in each task."""
     some = broadcast_if_small(asked.select("term").distinct())
-    tokens = chunks.select(key, terms(F.col(content)).alias("tokens"))
-    rows = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(MARK)))).alias("term"))
+    counted = chunks.select(key, term_counts(F.col(content)).alias("counted"))
+    counted = counted.select(key, "counted", F.aggregate("counted", F.lit(0).cast("long"), lambda n, x: n + x["tf"]).alias("dl"))
+    rows = counted.select(key, "dl", F.explode(F.concat("counted", F.array(F.struct(F.lit(MARK).alias("term"), F.col("dl").alias("tf"))))).alias("x")).select(key, "dl", "x.term", "x.tf")
     kept = rows.join(some.withColumn("asked", F.lit(1)), "term", "left").where((F.col("asked") == 1) | (F.col("term") == MARK))
-    return kept.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    is_hit = F.col("term") != MARK
+    return kept.groupBy("term", F.when(is_hit, F.col(key)).alias(key), F.when(is_hit, F.col("dl")).alias("dl")).agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n"))
 
 
 def scores(index: DataFrame, stats: DataFrame | None, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
     """query_id, <key>, score of every chunk that holds a term of the query.
 
     `index` holds postings, and `stats` is corpus_stats' row; without `stats` it is made of `matching`, whose
-    marked rows give it. Postings are cut down to the queries' terms before anything else, and df is counted from these.
+    marked row gives it. Postings are cut down to the queries' terms before anything else, and df is counted from these.
     All that is read of `index` reads its one exchange (each use needs all its columns); statistics are a scalar
     subquery, so nothing runs before the result is asked for but counts of the queries' terms.
     """
     asked = query_terms(queries)
     if stats is None:
-        marked = (F.col("term") == MARK) & (F.col("tf") > 0)
-        stats = index.agg(F.count(F.when(marked, 1)).alias("n"), F.avg(F.when(marked, F.col("dl"))).alias("avgdl"))
+        marked = F.col("term") == MARK
+        n = F.coalesce(F.sum(F.when(marked, F.col("n"))), F.lit(0))
+        stats = index.agg(n.alias("n"), (F.sum(F.when(marked, F.col("tf"))) / F.nullif(n, F.lit(0))).alias("avgdl"))
     else:
         index = index.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
     total = stats.select(F.struct(F.col("n").cast("double").alias("n"), F.coalesce("avgdl", F.lit(1.0)).alias("avgdl")).alias("total")).scalar()
