@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexical import K1, B, broadcast_if_small, query_terms, top
+from .literals import either, fetched
 
 PER_RANGE = 128
 SEEDS = 4
-#: Most rows that are fetched to the driver to become literal filters.
-MOST_LITERALS = 400
 #: Scores are rounded before they are ranked: a range is read if its bound comes this near to the k-th score.
 MARGIN = 1e-5
 #: Parquet settings: small pages, so that a page index tells blocks apart.
@@ -49,12 +48,6 @@ def postings(index: DataFrame) -> DataFrame:
     return index.select("term", F.explode("hits").alias("hit")).select("term", "hit.*")
 
 
-def fetched(df: DataFrame, most: int = MOST_LITERALS) -> tuple[DataFrame, list | None]:
-    """`df` as a local table and its rows if they are at most `most`, else `df` as it is."""
-    rows = df.limit(most + 1).collect()
-    return (df.sparkSession.createDataFrame(rows, df.schema), rows) if len(rows) <= most else (df, None)
-
-
 def _impact(tf, dl, avgdl):
     length = F.lit(1 - B) + F.lit(B) * dl / F.when(avgdl > 0, avgdl).otherwise(1.0)
     return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * length)
@@ -89,10 +82,10 @@ class Search:
         """query_id, <key>, score of the chunks in the wanted ranges (query_id and range)."""
         need, rows = fetched(wanted.select("query_id", *self.ranges).join(self.weighted, "query_id"))
         index = self.index
-        if rows is not None:  # at most MOST_LITERALS blocks, by name
+        if rows is not None:  # few blocks, by name
             some = sorted({(r["term"], *(r[c] for c in self.ranges)) for r in rows})
             is_block = lambda x: reduce(lambda a, b: a & b, (F.col(c) == v for c, v in zip(("term", *self.ranges), x, strict=True)))
-            index = index.where(_either([is_block(x) for x in some]))
+            index = index.where(either([is_block(x) for x in some]))
         hits = index.join(broadcast_if_small(need), ["term", *self.ranges]).select("query_id", "idf", "avgdl", *self.ranges, F.explode("hits").alias("hit")).select("query_id", "idf", "avgdl", *self.ranges, "hit.*")
         part = F.col("idf") * _impact(F.col("tf"), F.col("dl"), F.col("avgdl"))
         return self.alive(hits).groupBy("query_id", self.key).agg(F.sum(part).alias("score"))
@@ -113,15 +106,6 @@ class Search:
         return top(first.unionByName(self.score(rest)), self.k, self.key)
 
 
-def _either(conditions: list):
-    """A balanced tree of alternatives: a chain of hundreds would be as many levels deep."""
-    if not conditions:
-        return F.lit(False)
-    while len(conditions) > 1:
-        conditions = [a | b for a, b in zip(conditions[::2], conditions[1::2], strict=False)] + conditions[len(conditions) // 2 * 2 :]
-    return conditions[0]
-
-
 def search(index: DataFrame, queries: DataFrame, n: float, avgdl: float | None, df: DataFrame, k: int = 10, key: str = "chunk_id", ranges: tuple[str, ...] = ("block",), alive=None) -> DataFrame:
     """query_id, <key>, score, rank: the k best chunks of each query, as `lexical.bm25` gives them."""
     return Search(index, weights(query_terms(queries), n, avgdl, df), k, key, ranges, alive).run()

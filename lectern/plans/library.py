@@ -3,8 +3,17 @@
 A change writes one generation: a folder with its new rows only and the paths that it replaces or removes
 (`gone`), and then a mark. Readers scan the marked generations as one table, without the rows of paths that a
 later generation names; a failed change leaves nothing half done. The cost of a change is that of what changes;
-`compact`, by itself after `MOST_GENERATIONS`, writes what is live as one generation. One writer at a time.
-Reads are lazy DataFrames.
+`compact`, by itself after `MOST_GENERATIONS`, writes what is live as one generation. Reads are lazy DataFrames;
+a search also runs small jobs over its queries' terms and the heads of their blocks.
+
+Statistics merge: a generation holds the change of each term's number of chunks, of the number of chunks and of their
+total length, with what its replaced paths had taken off. Sums over the marked generations, at most `MOST_GENERATIONS` rows
+a term and no chunk, give what a search needs.
+
+Several writers may work at once. A writer stages its tables, claims the next number by creating a file that must not be
+there yet, waits for lower numbers to be settled, and looks at what they changed: if that touches its own paths,
+it gives its number up and makes its change anew; else it moves its tables into place and settles its number. A number
+that stays unsettled for `PATIENCE` seconds is given up for its writer, which then can't settle it any more.
 """
 
 from __future__ import annotations
@@ -15,27 +24,48 @@ import uuid
 import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Config
 from ..functions.text import is_url, terms
-from ..operators import answers, chunking, lexical, tables, vectors, versions
+from ..operators import answers, blockmax, chunking, lexical, tables, vectors, versions
+from ..operators.literals import among, fetched
 from ..sources import files, remote
 from . import search as searching
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "postings": schemas.POSTINGS, "versions": schemas.VERSIONS, "embeddings": schemas.EMBEDDINGS}
-#: Columns that are stored beside those: a chunk's number of terms, the document of a row, a text's digest.
-STORED = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS + ", dl bigint", "postings": schemas.POSTINGS + ", document_path string", "versions": schemas.VERSIONS + ", digest string", "embeddings": schemas.EMBEDDINGS + ", document_path string", "gone": "path string"}
+#: What a generation holds. Beside the columns above: a chunk's number of terms, the document of a row, a text's digest.
+#: Postings are stored as blocks; `terms` and `totals` are changes of statistics.
+STORED = {
+    "documents": schemas.DOCUMENTS,
+    "chunks": schemas.CHUNKS + ", dl bigint",
+    "blocks": "term string, block bigint, peaks array<struct<tf:bigint,dl:bigint>>, hits array<struct<chunk_id:string,tf:bigint,dl:bigint,document_path:string>>",
+    "versions": schemas.VERSIONS + ", digest string",
+    "embeddings": schemas.EMBEDDINGS + ", document_path string",
+    "gone": "path string",
+    "terms": "term string, df bigint",
+    "totals": "n bigint, length bigint",
+}
 #: The column that names a row's document, in the tables that lose rows.
 PATHS = {"documents": "path", "chunks": "document_path", "postings": "document_path", "embeddings": "document_path"}
+#: Parquet settings of tables that are read by key: bloom filters of the keys, and small pages.
+KEYED = {"chunks": {"parquet.bloom.filter.enabled#chunk_id": "true", "parquet.bloom.filter.enabled#document_path": "true", "parquet.page.row.count.limit": "64"}, "blocks": blockmax.WRITE_OPTIONS}
 MOST_GENERATIONS = 32
-#: Most errors of one batch that are given back one by one.
+#: Seconds after which a number that its writer hasn't settled is given up, and times that a change is made anew.
+PATIENCE, RETRIES = 600, 20
+#: Most errors of one batch that are given back one by one; `failed` counts all.
 MOST_ERRORS = 1000
 
 
+class Conflict(Exception):
+    """Another writer changed the same paths meanwhile."""
+
+
 @dataclass(frozen=True)
 class Indexed:
     documents: int
@@ -85,41 +115,190 @@ class Library:
     def _live(self, name: str, generations: list[int] | None = None) -> DataFrame:
         """The table's stored columns without the rows of paths that a later generation replaces or removes."""
         generations = self._generations() if generations is None else generations
-        rows = self._scan(name, generations)
+        rows = self._scan("blocks" if name == "postings" else name, generations)
         if rows is None:
-            return self.spark.createDataFrame([], STORED[name])
-        gone = self._scan("gone", generations) if name in PATHS else None
-        if gone is not None:
-            last = gone.groupBy(F.col("path").alias("gone_path")).agg(F.max("generation").alias("gone_at"))
-            rows = rows.join(last, (F.col(PATHS[name]) == F.col("gone_path")) & (F.col("generation") < F.col("gone_at")), "left_anti")
-        return rows.drop("generation")
+            return self.spark.createDataFrame([], STORED[name] if name in STORED else schemas.POSTINGS + ", document_path string")
+        if name == "postings":
+            rows = rows.select("term", F.explode("hits").alias("hit"), "generation").select("term", "hit.*", "generation")
+        return self._without_gone(rows, generations, PATHS.get(name)).drop("generation")
+
+    def _without_gone(self, rows: DataFrame, generations: list[int], path: str | None) -> DataFrame:
+        """Rows (with their generation) whose document no later generation replaces or removes."""
+        gone = self._scan("gone", generations) if path else None
+        if gone is None:
+            return rows
+        last = gone.groupBy(F.col("path").alias("gone_path")).agg(F.max("generation").alias("gone_at"))
+        return rows.join(last, (F.col(path) == F.col("gone_path")) & (F.col("generation") < F.col("gone_at")), "left_anti")
 
     def table(self, name: str, generations: list[int] | None = None) -> DataFrame:
         return self._live(name, generations).select(*schemas.names(TABLES[name]))
 
-    def _commit(self, new: dict[str, DataFrame], whole: bool = False) -> None:
-        """Writes a generation; a `whole` one replaces all before it."""
-        old = self._generations()
-        at = max(old, default=0) + 1
-        place = f"{self.path}/generation-{at}"
-        p, fs = self._fs(place)
-        fs.delete(p, True)  # what a failed change left
+    # commits
+
+    def _create(self, path: str, text: str = "") -> bool:
+        """Creates a file unless it is there; whether it did. File systems do this in one step."""
+        p, fs = self._fs(path)
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _numbers(self, folder: str) -> list[int]:
+        p, fs = self._fs(f"{self.path}/{folder}")
+        return sorted(int(n) for f in (fs.listStatus(p) if fs.exists(p) else []) if (n := f.getPath().getName()).isdigit())
+
+    def _settle(self, number: int, done: bool) -> bool:
+        """Settles a number as done or given up, unless that has been done; whether it did."""
+        return self._create(f"{self.path}/settled/{number}", "done" if done else "void")
+
+    def _wait(self, number: int) -> None:
+        """Until `number` is settled; gives it up for its writer after PATIENCE."""
+        began = time.monotonic()
+        while number not in self._numbers("settled"):
+            if time.monotonic() - began > PATIENCE:
+                self._settle(number, False)
+            time.sleep(0.05)
+        place = f"{self.path}/generation-{number}"
+        p, fs = self._fs(f"{self.path}/settled/{number}")
+        began = time.monotonic()
+        while not fs.getFileStatus(p).getLen() and time.monotonic() - began < 5:  # its one word is being written
+            time.sleep(0.05)
+        if fs.getFileStatus(p).getLen() and self.spark.read.text(f"{self.path}/settled/{number}").first()[0] == "done":
+            if fs.exists(self._fs(place)[0]):  # or a later whole one has replaced it
+                self._create(f"{place}/_DONE")  # its writer may have died before this last step
+
+    def _touched(self, place: str) -> DataFrame:
+        """path: the documents that a generation's tables add, replace or remove."""
+        fs = self._fs(place)[1]
+        parts = [self.spark.read.schema(STORED[n]).parquet(f"{place}/{n}").select("path") for n in ("documents", "gone") if fs.exists(self._fs(f"{place}/{n}")[0])]
+        return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], "path string")
+
+    def _write(self, new: dict[str, DataFrame], place: str) -> None:
         for name, df in new.items():
-            if name == "postings":
-                df = df.sortWithinPartitions("term")  # so that Parquet's statistics skip other terms
-            df.select(*schemas.names(STORED[name])).write.parquet(f"{place}/{name}")
-        for mark in (["_WHOLE"] if whole else []) + ["_DONE"]:
-            fs.create(self._fs(f"{place}/{mark}")[0]).close()
+            df = df.select(*schemas.names(STORED[name]))
+            if name == "blocks":
+                df = blockmax.laid_out(df)
+            elif name == "chunks":
+                df = df.sortWithinPartitions("chunk_id")
+            elif name == "terms":
+                df = df.sortWithinPartitions("term")
+            df.write.options(**KEYED.get(name, {})).parquet(f"{place}/{name}")
+
+    def _commit(self, new: dict[str, DataFrame], base: list[int], whole: bool = False) -> None:
+        """Writes a generation that was made of the generations `base`; a `whole` one replaces all before it. Raises Conflict
+        if another one that touches its paths, or any if it is a whole one, came between."""
+        stage = f"{self.path}/stage-{uuid.uuid4().hex}"
+        p, fs = self._fs(stage)
+        fs.mkdirs(p)
+        try:
+            self._write(new, stage)
+            if whole:
+                fs.create(self._fs(f"{stage}/_WHOLE")[0]).close()
+            number = max([*self._numbers("claims"), *base], default=0) + 1
+            while not self._create(f"{self.path}/claims/{number}"):
+                number += 1
+            before = max(base, default=0)
+            for other in self._numbers("claims"):
+                if before < other < number:
+                    self._wait(other)
+            between = [n for n in self._generations() if before < n < number]
+            mine = self._touched(stage)
+            fs_whole = any(fs.exists(self._fs(f"{self.path}/generation-{n}/_WHOLE")[0]) for n in between)
+            if between and (whole or fs_whole or any(not mine.join(self._touched(f"{self.path}/generation-{n}"), "path", "left_semi").isEmpty() for n in between)):
+                self._settle(number, False)
+                raise Conflict(f"generations {between} came between")
+            place = f"{self.path}/generation-{number}"
+            fs.rename(p, self._fs(place)[0])
+            if not self._settle(number, True):  # given up for us
+                fs.delete(self._fs(place)[0], True)
+                raise Conflict(f"number {number} was given up")
+            self._create(f"{place}/_DONE")
+        finally:
+            fs.delete(p, True)
         if whole:  # what came before the last whole one is no longer read by anyone
-            for n in range(1, min(old, default=1)):
-                fs.delete(self._fs(f"{self.path}/generation-{n}")[0], True)
-        elif len(old) >= MOST_GENERATIONS:
+            for n in range(1, min(base, default=1)):
+                for left in (f"generation-{n}", f"claims/{n}", f"settled/{n}"):
+                    fs.delete(self._fs(f"{self.path}/{left}")[0], True)
+        elif len(base) >= MOST_GENERATIONS:
             self.compact()
 
+    def _again(self, change: Callable[[], object]):
+        """Makes a change, anew for each conflict."""
+        for _ in range(RETRIES):
+            try:
+                return change()
+            except Conflict as e:
+                last = e
+        raise last
+
     def compact(self) -> None:
-        """Writes all live rows as one generation."""
-        generations = self._generations()
-        self._commit({n: self._live(n, generations) for n in TABLES}, whole=True)
+        """Writes all live rows as one generation, unless another writer comes between."""
+        at = self._generations()
+        n, _ = self._totals(at)
+        merged = {name: self._live(name, at) for name in ("documents", "chunks", "versions", "embeddings")}
+        merged["blocks"] = blockmax.blocks(self._live("postings", at), n, "chunk_id", ("document_path",))
+        merged |= {"terms": self._frequencies(at).where("df <> 0"), "totals": self._summed(at)}
+        try:
+            self._commit(merged, at, whole=True)
+        except Conflict:
+            pass  # the next change tries again
+
+    # statistics
+
+    def _summed(self, generations: list[int]) -> DataFrame:
+        """One row: n, length."""
+        rows = self._scan("totals", generations)
+        rows = self.spark.createDataFrame([], STORED["totals"]) if rows is None else rows
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
+
+    def _totals(self, generations: list[int]) -> tuple[int, float | None]:
+        """The number of live chunks and their mean length in terms."""
+        n, length = self._summed(generations).first()
+        return n, length / n if n else None
+
+    def _frequencies(self, generations: list[int], asked: DataFrame | None = None) -> DataFrame:
+        """term, df over live chunks: of all terms, or of the asked ones."""
+        rows = self._scan("terms", generations)
+        if rows is None:
+            return self.spark.createDataFrame([], STORED["terms"])
+        if asked is not None:
+            some, found = fetched(asked.select("term").distinct())
+            rows = rows.where(among("term", [r["term"] for r in found])) if found is not None else rows.join(some, "term", "left_semi")
+        return rows.groupBy("term").agg(F.sum("df").alias("df"))
+
+    def _changes(self, added: DataFrame | None, gone: DataFrame, generations: list[int]) -> dict[str, DataFrame]:
+        """The statistics of added chunks (content, dl) less those of the live chunks of the paths in `gone`."""
+        gone, few = fetched(gone)
+        old = self._live("chunks", generations)
+        if few is not None:  # by name, so that bloom filters leave other row groups unread
+            old = old.where(among("document_path", [r["path"] for r in few]))
+        old = old.join(gone.select(F.col("path").alias("document_path")), "document_path", "left_semi").select("content", "dl", F.lit(-1).alias("sign"))
+        both = old if added is None else old.unionByName(added.select("content", "dl", F.lit(1).alias("sign")))
+        counted = both.select(F.explode(F.array_distinct(terms(F.col("content")))).alias("term"), "sign").groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
+        totals = both.agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).cast("long").alias("length"))
+        return {"terms": counted, "totals": totals}
+
+    def _ranked(self, generations: list[int]) -> searching.Ranked:
+        """Searches the blocks of these generations."""
+
+        def search(queries: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+            index = self._scan("blocks", generations)
+            if index is None:
+                index = self.spark.createDataFrame([], STORED["blocks"] + ", generation bigint")
+            n, mean = self._totals(generations)
+
+            def alive(rows: DataFrame) -> DataFrame:
+                rows = self._without_gone(rows, generations, "document_path")
+                return rows if allowed is None else rows.join(allowed, "chunk_id", "left_semi")
+
+            return blockmax.search(index, queries, n, mean, self._frequencies(generations, lexical.query_terms(queries)), k, ranges=("generation", "block"), alive=alive)
+
+        return search
 
     # ingest
 
@@ -153,60 +332,71 @@ class Library:
     def add(self, extracted: DataFrame, metadata: dict | None = None, missing: Iterable[str] = ()) -> Indexed:
         """Adds extracted documents that are new or changed; chunks' metadata are the given ones, overlaid by the extractor's."""
         began = time.time()
-        stage = f"{self.path}/stage-{uuid.uuid4().hex}"  # every text is extracted and cut once
+        stage = f"{self.path}/stage-{uuid.uuid4().hex}"  # every text is extracted once
         try:
             extracted = self._staged(extracted, f"{stage}/extracted")
-            failed = extracted.where("error IS NOT NULL").select("path", "error")
-            n_failed = failed.count()
-            errors = tuple((r["path"], r["error"]) for r in failed.limit(MOST_ERRORS).collect())
-            generations = self._generations()
-            versions_now = self._live("versions", generations)
-            known = versions_now.join(self.table("documents", generations).select("path"), "path", "left_semi")
-            new = self._staged(versions.changed(extracted.where("error IS NULL"), known), f"{stage}/new")
-            done = lambda documents, chunks: Indexed(documents, chunks, n_failed, round(1000 * (time.time() - began)), errors, tuple(missing))
-            count = new.count()
-            if not count:
-                return done(0, 0)
-            given = F.create_map(*(F.lit(x) for k, v in metadata.items() for x in (k, searching.json_value(v)))) if metadata else F.create_map().cast(schemas.METADATA)
-            own = F.coalesce("metadata", F.create_map().cast(schemas.METADATA))
-            merged = F.map_concat(F.map_filter(given, lambda k, _: ~F.map_contains_key(own, k)), own)
-            now = round(time.time() * 1000)
-            texts = new.select("path", "format", tables.augmented(F.col("content")).alias("content"), merged.alias("metadata"))
-            cut = chunking.chunk(texts, self.config.strategy, self.config.size, self.config.overlap)
-            chunks = self._staged(cut.withColumn("dl", F.size(terms(F.col("content"))).cast("long")), f"{stage}/chunks")
-            counts = chunks.groupBy(F.col("document_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
-            size = F.coalesce(F.try_element_at("metadata", F.lit("size")).cast("long"), F.length("content").cast("long"))
-            documents = new.join(counts, "path", "left").select("path", "format", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), size.alias("size"), F.lit(now).cast("long").alias("indexed_at"), given.alias("metadata"))
-            of_chunk = chunks.select("chunk_id", "document_path")
-            changes = {
-                "gone": known.select("path").distinct().join(new.select("path"), "path", "left_semi"),
-                "documents": documents,
-                "chunks": chunks,
-                "postings": lexical.postings(chunks).join(of_chunk, "chunk_id"),
-                "versions": versions.next_versions(versions_now, new, F.lit(now)).withColumn("digest", F.sha2("content", 256)),
-            }
-            if self.embedder:
-                changes["embeddings"] = vectors.embed(chunks, self.embedder).join(of_chunk, "chunk_id")
-            total = chunks.count()
-            self._commit(changes)
-            return done(count, total)
+            return self._again(lambda: self._add(extracted, metadata, missing, f"{stage}/{uuid.uuid4().hex}", began))
         finally:
             p, fs = self._fs(stage)
             fs.delete(p, True)
 
+    def _add(self, extracted: DataFrame, metadata: dict | None, missing: Iterable[str], stage: str, began: float) -> Indexed:
+        failed = extracted.where("error IS NOT NULL").select("path", "error")
+        n_failed = failed.count()
+        errors = tuple((r["path"], r["error"]) for r in failed.limit(MOST_ERRORS).collect())
+        generations = self._generations()
+        versions_now = self._live("versions", generations)
+        known = versions_now.join(self.table("documents", generations).select("path"), "path", "left_semi")
+        new = self._staged(versions.changed(extracted.where("error IS NULL"), known), f"{stage}/new")
+        done = lambda documents, chunks: Indexed(documents, chunks, n_failed, round(1000 * (time.time() - began)), errors, tuple(missing))
+        count = new.count()
+        if not count:
+            return done(0, 0)
+        given = F.create_map(*(F.lit(x) for k, v in metadata.items() for x in (k, searching.json_value(v)))) if metadata else F.create_map().cast(schemas.METADATA)
+        own = F.coalesce("metadata", F.create_map().cast(schemas.METADATA))
+        merged = F.map_concat(F.map_filter(given, lambda k, _: ~F.map_contains_key(own, k)), own)
+        now = round(time.time() * 1000)
+        texts = new.select("path", "format", tables.augmented(F.col("content")).alias("content"), merged.alias("metadata"))
+        cut = chunking.chunk(texts, self.config.strategy, self.config.size, self.config.overlap)
+        chunks = self._staged(cut.withColumn("dl", F.size(terms(F.col("content"))).cast("long")), f"{stage}/chunks")
+        counts = chunks.groupBy(F.col("document_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        size = F.coalesce(F.try_element_at("metadata", F.lit("size")).cast("long"), F.length("content").cast("long"))
+        documents = new.join(counts, "path", "left").select("path", "format", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), size.alias("size"), F.lit(now).cast("long").alias("indexed_at"), given.alias("metadata"))
+        of_chunk = chunks.select("chunk_id", "document_path")
+        total = chunks.count()
+        posted = lexical.postings(chunks.withColumn("named", F.struct("chunk_id", "document_path")), "named").select("term", "named.chunk_id", "tf", "dl", "named.document_path")
+        gone = known.select("path").distinct().join(new.select("path"), "path", "left_semi")
+        changes = {
+            "gone": gone,
+            "documents": documents,
+            "chunks": chunks,
+            "blocks": blockmax.blocks(posted, total, "chunk_id", ("document_path",)),
+            "versions": versions.next_versions(versions_now, new, F.lit(now)).withColumn("digest", F.sha2("content", 256)),
+        }
+        if self.embedder:
+            changes["embeddings"] = vectors.embed(chunks, self.embedder).join(of_chunk, "chunk_id")
+        self._commit(changes | self._changes(chunks, gone, generations), generations)
+        return done(count, total)
+
     def _staged(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, path: str) -> bool:
         """Forgets a document; its versions stay. False if it isn't there."""
-        if self.table("documents").where(F.col("path") == path).isEmpty():
-            return False
-        self._commit({"gone": self.spark.createDataFrame([(path,)], STORED["gone"])})
-        return True
+
+        def change() -> bool:
+            at = self._generations()
+            if self.table("documents", at).where(F.col("path") == path).isEmpty():
+                return False
+            gone = self.spark.createDataFrame([(path,)], STORED["gone"])
+            self._commit({"gone": gone} | self._changes(None, gone, at), at)
+            return True
+
+        return self._again(change)
 
     def clear(self) -> None:
-        self._commit({}, whole=True)
+        self._again(lambda: self._commit({}, self._generations(), whole=True))
 
     # reads
 
@@ -240,8 +430,7 @@ class Library:
 
     def search(self, queries: str | list[str] | DataFrame, k: int = 10, wanted: dict | None = None) -> DataFrame:
         at = self._generations()
-        stats = self._live("chunks", at).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        return searching.search(self.table("chunks", at), self._queries(queries), k, wanted, self.config, self.table("postings", at), stats, self.table("embeddings", at) if self.embedder else None, self.reranker)
+        return searching.search(self.table("chunks", at), self._queries(queries), k, wanted, self.config, embeddings=self.table("embeddings", at) if self.embedder else None, reranker=self.reranker, ranked=self._ranked(at))
 
     def ask(self, question: str, k: int = 5, wanted: dict | None = None) -> dict:
         """answer, sources, time. Without a model: the best match in words."""
@@ -266,6 +455,12 @@ class Library:
         began = time.time()
         parts = answers.plan_questions(question, self.model)
         found = self.search(parts, k).persist()
+        try:
+            return self._researched(question, parts, found, began)
+        finally:
+            found.unpersist()
+
+    def _researched(self, question: str, parts: list[str], found: DataFrame, began: float) -> dict:
         held = {r["query_id"]: r["context"] for r in answers.contexts(found, answers.PLAN_CHARS).collect()}
         context = answers.SEPARATOR.join(f"{q}\n{held[i]}" for i, q in enumerate(parts) if i in held)
         sources = answers.union_sources(found.withColumnRenamed("query_id", "sub")).orderBy("sub", "rank").select("document_path", "score", F.substring("content", 1, answers.SOURCE_CHARS).alias("content"), "heading").collect()
@@ -274,7 +469,6 @@ class Library:
         except Exception as e:  # the best match is an answer as well
             warnings.warn(f"the model failed: {e}", stacklevel=2)
             answer = (answers.fallbacks(found).first() or {"answer": answers.NOTHING_FOUND})["answer"]
-        found.unpersist()
         return {"answer": answer, "sources": [s.asDict() for s in sources], "questions": parts, "time": round(1000 * (time.time() - began))}
 
     def extract_schema(self, fields: list[dict], paths: list[str] | None = None, null_overwrites: bool = True) -> DataFrame:

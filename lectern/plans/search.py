@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import fusion, lexical, vectors
+from ..operators.literals import among, fetched
 from ..operators.rerank import Reranker, rerank
 
 
+#: A lexical search: (queries, k, the chunk ids that may be found, or None for all) -> query_id, chunk_id, score, rank.
+Ranked = Callable[[DataFrame, int, "DataFrame | None"], DataFrame]
 #: Most queries whose results (a few times k rows each) and texts are sent to every executor.
 MOST_QUERIES = 2000
 
@@ -32,11 +36,12 @@ def matches(wanted: dict | None, metadata: str = "metadata") -> Column:
     return out
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | None = None, config: Config | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, embeddings: DataFrame | None = None, reranker: Reranker | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | None = None, config: Config | None = None, index: DataFrame | None = None, stats: DataFrame | None = None, embeddings: DataFrame | None = None, reranker: Reranker | None = None, ranked: Ranked | None = None) -> DataFrame:
     """query_id, query, rank, score and the chunk's columns: the k best chunks of each query.
 
     `queries` has query_id, query and, for the vector and hybrid modes, vector. `index` and `stats` are
-    the postings and the corpus row of `chunks` if they are at hand. With filter_stage "post" candidates
+    the postings and the corpus row of `chunks` if they are at hand; `ranked` searches an index of blocks in their place, and
+    then `chunks` is a stored table, of which only the found rows are read. With filter_stage "post" candidates
     (2k, or 3k of either side) are cut before the filter, so fewer than k may come back; "pre" filters first,
     with the statistics of the whole corpus. With config.rerank the candidates go to `reranker` (the words' own if none is given).
     """
@@ -49,7 +54,9 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | No
     allowed = chunks.where(matches(wanted)).select("chunk_id") if pre else None
     keep = (lambda df: df.join(allowed, "chunk_id", "left_semi")) if pre else (lambda df: df)
     lexical_top = vector_top = None
-    if config.mode != "vector":
+    if config.mode != "vector" and ranked:
+        lexical_top = ranked(queries, (3 if config.mode == "hybrid" else 2) * k, allowed)
+    elif config.mode != "vector":
         if index is None:
             index, stats = lexical.matching(chunks, lexical.query_terms(queries)), None
         elif stats is None:
@@ -63,6 +70,10 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, wanted: dict | No
     else:
         found = lexical_top if vector_top is None else vector_top
     found = found.select("query_id", "chunk_id", "score", F.col("rank").alias("place"))
+    if ranked:
+        found, rows = fetched(found)
+        if rows is not None:
+            chunks = chunks.where(among("chunk_id", [r["chunk_id"] for r in rows]))
     few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES  # then so are the found rows, and chunks needn't move to them
     rows = chunks.join(F.broadcast(found) if few else found, "chunk_id").join(F.broadcast(queries.select("query_id", "query")) if few else queries.select("query_id", "query"), "query_id")
     if wanted:

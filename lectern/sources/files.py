@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import SPACES, detect_format, is_url, supported
+from ..operators.literals import among
 from . import html, office, pdf
 
 #: A format's extractor takes a file's bytes and gives its text and metadata.
@@ -96,9 +97,10 @@ def scan(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame, list[str
     """(path, content bytes, modification time and length of each supported file, paths that aren't there).
 
     Directories are read as deep as they go. A single file also counts if it has no extension. Content is read only
-    if it is asked for.
+    if it is asked for, and never moves: inputs within other inputs are left out by name before anything is read, so
+    no file is there twice.
     """
-    out, missing = None, []
+    missing, folders, single = [], set(), set()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -106,13 +108,14 @@ def scan(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame, list[str
         if not fs.exists(p):
             missing.append(path)
             continue
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        if fs.getFileStatus(p).isDirectory() or re.search(r"[^/.][^/]*\.[^./]*$", path):
-            found = found.where(supported(F.col("path")))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], FILES)
-    return out.dropDuplicates(["path"]), missing
+        status = fs.getFileStatus(p)
+        (folders if status.isDirectory() else single).add(status.getPath().toString().rstrip("/"))
+    within = lambda path: any(path.startswith(f"{f}/") for f in folders)
+    inputs = sorted(p for p in folders | single if not within(p))
+    if not inputs:
+        return spark.createDataFrame([], FILES), missing
+    kept = supported(F.col("path")) | among("path", [p for p in single - folders if not re.search(r"[^/.][^/]*\.[^./]*$", p)])
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inputs).where(kept), missing
 
 
 def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:

@@ -50,7 +50,7 @@ def test_without_literals_and_seeds(spark, held, monkeypatch):
     chunks, index, n, avgdl, df = held
     queries = spark.createDataFrame(QUERIES, "query_id int, query string")
     want = sorted(map(tuple, lexical.bm25(chunks, queries, 10).collect()))
-    monkeypatch.setattr(blockmax.fetched, "__defaults__", (0,))
+    monkeypatch.setattr(blockmax, "fetched", lambda df: (df, None))
     assert sorted(map(tuple, blockmax.search(index, queries, n, avgdl, df, 10).collect())) == want
     monkeypatch.setattr(blockmax, "SEEDS", 1)
     assert sorted(map(tuple, blockmax.search(index, queries, n, avgdl, df, 10).collect())) == want
