@@ -7,8 +7,10 @@ whose interval lies within that of a match of the same or an earlier tier is dro
 first in tier and label stays), so "cc by" inside "cc by nc" says nothing. The base phrases always
 stay. There's no shuffle: every document is handled in its own row.
 
-Null text: empty. Texts without words or matches: no labels, null places, score 0. Repeated rows are
-scanned each. An empty table gives no rows.
+Null text: empty. Texts without words or matches: no labels, null places, score 0. Null and repeated ids pass
+through, repeated rows are scanned each. Columns beyond id and text aren't read, whatever their names. A very long text is one
+row; a rule takes time in proportion to its length, and so does the sweep over its matches, in blocks of `BLOCK`, but for
+looking up the largest ends of the blocks before each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -236,6 +238,10 @@ OTHERS = [
     (2, 0.9, "cdla-permissive-2", "community data license agreement permissive(?: version)?(?: v?2(?: 0)?)?"),
     (2, 0.9, "cdla-sharing-1", "community data license agreement sharing(?: version)?(?: v?1(?: 0)?)?"),
 ]
+#: Words that many texts have: no keyword, if a phrase has another word.
+COMMON = {"a", "all", "any", "be", "by", "code", "commons", "copy", "free", "general", "in", "is", "it", "license", "licence", "licenses", "may", "no", "not", "of", "open", "or", "permission", "public", "software", "source", "terms", "that", "the", "this", "to", "under", "use", "version", "with", "work", "you", "your"}
+#: Matches in a block of the sweep.
+BLOCK = 64
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -265,8 +271,8 @@ def phrases(pattern: str) -> set[str]:
 
 
 def keywords(pattern: str) -> list[str]:
-    """Words of which every text that the pattern matches has one: the first longest of each."""
-    return sorted({max(p.split(), key=len) for p in phrases(pattern)})
+    """Words of which every text that the pattern matches has one: the first longest of each that isn't common, if it has such a word."""
+    return sorted({max(p.split(), key=lambda w: (w not in COMMON, len(w))) for p in phrases(pattern)})
 
 
 def rules() -> list[tuple[int, float, str, list[str], str]]:
@@ -294,14 +300,13 @@ def _text(value: str) -> str:
 
 
 def _places(text: str, pattern: str) -> str:
-    """SQL: the intervals of words [s, e) of each match of ' pattern(?= )' in words that are led and
-    followed by one space: a match holds as many spaces as words, and the text before it likewise."""
-    spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
-    return f"""aggregate(arrays_zip(split({text}, {pattern}), regexp_extract_all({text}, {pattern}, 0)),
-      named_struct('w', 0, 'out', cast(array() AS array<struct<s:int,e:int>>)),
-      (a, x) -> named_struct('w', a.w + {spaces("x['0']")} + coalesce({spaces("x['1']")}, 0),
-        'out', if(x['1'] IS NULL, a.out, array_append(a.out, named_struct('s', a.w + {spaces("x['0']")}, 'e', a.w + {spaces("x['0']")} + {spaces("x['1']")})))),
-      a -> a.out)"""
+    """SQL: the intervals of words [s, e) of each match of ' pattern(?= )' in words that are led and followed by one space.
+
+    Matches are set between two control characters, which words can't hold; cut at spaces, a word's place then is its
+    number, and the characters hang on the last word before a match and on the match's last one."""
+    at = lambda sign: f"filter(transform(w, (x, i) -> if(contains(x, '{sign}'), i, -1)), i -> i >= 0)"
+    found = f"transform(array(split(r, ' ')), w -> zip_with({at(chr(1))}, {at(chr(2))}, (s, e) -> named_struct('s', s, 'e', e)))[0]"
+    return f"transform(array(regexp_replace({text}, {pattern}, '{chr(1)}$0{chr(2)}')), r -> if(contains(r, '{chr(1)}'), {found}, cast(array() AS array<struct<s:int,e:int>>)))[0]"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -317,11 +322,16 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     matches = f"""flatten(transform(filter({table}, r -> arrays_overlap(r.k, held)), r -> transform({_places("words", "r.p")}, m -> named_struct('s', m.s, 'e', -m.e, 't', r.t, 'l', r.l, 'c', r.c))))"""
     best = [f"a.m{k}" for k in range(1, 6)]
     within = " OR ".join(f"(x.t >= {k} AND {m} >= -x.e)" for k, m in enumerate(best, 1))
-    sweep = f"""aggregate(array_sort({matches}),
-      named_struct({", ".join(f"'m{k}', -1" for k in range(1, 6))}, 'out', cast(array() AS array<struct<tier:int,confidence:double,label:string,s:int,e:int>>)),
-      (a, x) -> named_struct({", ".join(f"'m{k}', if(x.t = {k}, greatest(a.m{k}, -x.e), a.m{k})" for k in range(1, 6))},
-        'out', if({within}, a.out, array_append(a.out, named_struct('tier', x.t, 'confidence', x.c, 'label', x.l, 's', x.s, 'e', -x.e)))),
+    kept = "array<struct<tier:int,confidence:double,label:string,s:int,e:int>>"
+    one = "named_struct('tier', x.t, 'confidence', x.c, 'label', x.l, 's', x.s, 'e', -x.e)"
+    # A fold copies its state at every step, so it must stay small: matches are swept in blocks, each from the ends that those before it reached.
+    ends = ", ".join(f"'m{k}', coalesce(array_max(slice(tops[{k - 1}], 1, n)), -1)" for k in range(1, 6))
+    block = f"""aggregate(b, named_struct({ends}, 'out', cast(array() AS {kept})),
+      (a, x) -> named_struct({", ".join(f"'m{k}', if(x.t = {k}, greatest(a.m{k}, -x.e), a.m{k})" for k in range(1, 6))}, 'out', if({within}, a.out, array_append(a.out, {one}))),
       a -> a.out)"""
+    tops = "transform(array(1, 2, 3, 4, 5), k -> transform(cut, b -> coalesce(array_max(transform(filter(b, x -> x.t = k), x -> -x.e)), -1)))"
+    cuts = f"transform(sequence(0, (size(z) - 1) div {BLOCK}), n -> slice(z, int(n) * {BLOCK} + 1, {BLOCK}))"
+    sweep = f"transform(array(array_sort({matches})), z -> transform(array({cuts}), cut -> transform(array({tops}), tops -> flatten(transform(cut, (b, n) -> {block})))[0])[0])[0]"
     found_base = f"flatten(transform({base}, r -> transform({_places('words', 'r.p')}, m -> named_struct('label', r.l, 's', m.s, 'e', m.e))))"
     # The lower case of all letters, not of A-Z alone, has the same words and all that those have: enough to count and to gate.
     cut = docs.select("doc_id", raw.alias("raw"), F.split(spaced(F.lower(raw)), " ").alias("cut"))

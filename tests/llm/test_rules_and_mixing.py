@@ -224,6 +224,18 @@ def test_every_rule_against_a_plain_scan(spark):
     assert len(licenses.rules()) >= 400 and len(hand) >= 180
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 matches of one text: time in proportion to them, places as a plain scan has them."""
+    import time
+
+    text = "x mit license " * 100_000
+    began = time.monotonic()
+    (row,) = licenses.digest(documents(spark, [(1, text, "a")])).collect()
+    assert time.monotonic() - began < 120 and row.n_words == 300_000 and row.n_found == 100_000 and row.labels == "mit"
+    (row,) = licenses.digest(documents(spark, [(1, "under the mit license " * 30_000, "a")])).collect()
+    assert (row.n_base, row.first_word, row.last_word) == (30_000, 0, 4 * 29_999)
+
+
 def test_licenses_stay_in_the_jvm(spark):
     plan = licenses.digest(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
