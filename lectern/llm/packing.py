@@ -2,9 +2,9 @@
 
 Documents become pieces of at most `LENGTH` tokens. Only the histogram of piece lengths (at most
 `LENGTH` numbers) goes to the driver. There all patterns of one to three lengths that fill a
-sequence exactly are enumerated, their repeat counts are fitted to the histogram by non-negative
-least squares, rounded down, and what is left is packed best-fit decreasing, again by counts of
-equal lengths. So the plan's size doesn't depend on the number of documents. Each piece then finds
+sequence exactly are enumerated, and for each length the one that fills best beside it, if two pieces fit together at all.
+Their repeat counts are fitted to the histogram by non-negative least squares and rounded, and what is left is packed
+best-fit decreasing, again by counts of equal lengths. Every plan uses patterns where there are any. So the plan's size doesn't depend on the number of documents. Each piece then finds
 its place from its length and its rank among the pieces of this length; the ranks are distributed
 prefix sums over (partition, length).
 
@@ -31,10 +31,12 @@ from .tokens import BLOCK, MAX_REMEMBERED, MAX_REMEMBERED_BYTES, Splitter, defau
 
 LENGTH = 1024
 END_ID = 2
-#: Most steps of the non-negative least squares fit, and its largest remaining gradient, relative to the first one.
-FIT_STEPS, FIT_GRADIENT = 1000, 1e-3
+#: The least squares fit ends at this gradient, relative to the first one, or when a step moves no repeat count by more than this.
+FIT_GRADIENT, FIT_MOVE = 1e-3, 1e-9
 #: Least repeats of the patterns that a plan uses: what patterns of fewer repeats cover is left to best-fit.
 LEAST_REPEATS = (1, 2, 4, 8, 16)
+#: Shares of the repeats that a plan may use, beside all.
+SCALES = (0.75, 0.5, 0.25)
 
 
 class Encoder:
@@ -97,17 +99,38 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, length:
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def enumerate_patterns(present: np.ndarray, length: int) -> np.ndarray:
-    """Rows of three lengths (0: none) that stand in `present` and sum to `length`."""
-    there = np.zeros(length + 1, bool)
-    there[present] = True
+def enumerate_patterns(counts: np.ndarray, length: int) -> np.ndarray:
+    """Rows of three ascending lengths (0: none) that sum to `length`, and those that fill a sequence best beside each length;
+    of each length a row has no more than `counts` has."""
+    there = counts > 0
     there[0] = True
     a = np.flatnonzero(there)
     x, y = np.meshgrid(a, a, indexing="ij")
     z = length - x - y
     good = (x <= y) & (y <= z)
     good[good] &= there[z[good]]
-    return np.stack([x[good], y[good], z[good]], 1)
+    rows = np.concatenate([np.stack([x[good], y[good], z[good]], 1), filled_best(counts, length)])
+    rows = np.unique(rows, axis=0)
+    needed = (rows[:, :, None] == rows[:, None, :]).sum(1)
+    return rows[((needed <= counts[rows]) | (rows == 0)).all(1)]
+
+
+def filled_best(counts: np.ndarray, length: int) -> np.ndarray:
+    """For each length, with the longest that fits beside it, and with the longest that then fits: rows of three (0: none)."""
+    present = np.flatnonzero(counts[1:]) + 1
+
+    def longest(room: int, taken: list[int]) -> int:
+        for n in present[: np.searchsorted(present, room, "right")][::-1][:3]:  # at most two of them are used up
+            if counts[n] > taken.count(n):
+                return int(n)
+        return 0
+
+    rows: list[tuple] = []
+    for v in present.tolist():
+        second = longest(length - v, [v])
+        if second:
+            rows += [tuple(sorted((v, second, third))) for third in {0, longest(length - v - second, [v, second])}]
+    return np.array(rows, np.int64).reshape(-1, 3)
 
 
 def made_by(patterns: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
@@ -117,7 +140,7 @@ def made_by(patterns: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return made
 
 
-def fit_repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = FIT_STEPS) -> np.ndarray:
+def fit_repeats(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Non-negative repeat counts x of the patterns that make sum_p x_p * pattern_p close to `counts`, in
     least squares: projected gradient steps with momentum (restarted when it points uphill), each as long as the
     largest curvature allows, until the gradient is small where x is positive and not negative where x is 0."""
@@ -132,7 +155,7 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = FIT_STEPS
         probe /= curvature
     x = y = np.zeros(len(patterns))
     goal, pace = back(wanted), 1.0
-    for _ in range(steps):
+    while True:
         slope = back(made_by(patterns, y, len(counts))) - goal
         if np.abs(np.where(y > 0, slope, np.minimum(slope, 0))).max() <= FIT_GRADIENT * np.abs(goal).max():
             return y
@@ -141,13 +164,19 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, steps: int = FIT_STEPS
             pace = 1.0
         quicker = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         y = np.maximum(new + (pace - 1) / quicker * (new - x), 0)
+        if np.abs(new - x).max() <= FIT_MOVE * max(1.0, np.abs(x).max()):
+            return new
         x, pace = new, quicker
-    return x
 
 
-def best_fit(counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing over counts of lengths: (lengths of a sequence, how many such)."""
-    spaces: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+Sequences = list[tuple[tuple[int, ...], int]]
+
+
+def best_fit(counts: np.ndarray, length: int, begun: Sequences = ()) -> Sequences:
+    """Best-fit decreasing over counts of lengths, into sequences already `begun` and new ones: (lengths of a sequence, how many such)."""
+    spaces: dict[int, Sequences] = defaultdict(list)
+    for pattern, many in begun:
+        spaces[length - sum(pattern)].append((pattern, many))
     for n in range(length, 0, -1):
         left = int(counts[n])
         while left:
@@ -167,33 +196,53 @@ def best_fit(counts: np.ndarray, length: int) -> list[tuple[tuple[int, ...], int
     return [x for found in spaces.values() for x in found]
 
 
-def plan(counts: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """`counts` of each length from 0 to `length` -> patterns and repeat counts that use them up.
+def rounded(counts: np.ndarray, patterns: np.ndarray, repeats: np.ndarray, least: int, more: bool, scale: float) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Patterns and how often they are used, and the counts that are left: `scale` times the repeats, rounded down, of
+    patterns with `least` repeats at least, and with `more` once more each, in the order of what rounding took off."""
+    left, used = counts.copy(), defaultdict(int)
+    whole = np.floor(repeats * scale + 1e-6).astype(np.int64)
+    steps = [(at, int(whole[at])) for at in np.argsort(-repeats, kind="stable").tolist() if repeats[at] >= least]
+    if more:
+        steps += [(at, 1) for at in np.argsort(whole - repeats, kind="stable").tolist()]
+    for at, most in steps:
+        pattern = tuple(int(v) for v in patterns[at] if v)
+        many = min(most, *(int(left[v]) // pattern.count(v) for v in pattern))
+        if many:
+            used[pattern] += many
+            for v in pattern:
+                left[v] -= many
+    return used, left
+
+
+def plan_parts(counts: np.ndarray, length: int = LENGTH) -> tuple[Sequences, Sequences]:
+    """(patterns and their repeats, the sequences that they and best-fit make): uses up `counts` of each length from 0 to `length`.
 
     Patterns of few repeats may take short pieces that long ones without an exact complement need, so
-    several least numbers of repeats are tried, and the plan with the fewest sequences is taken.
-    """
+    several ways to round are tried, and the one with the fewest sequences is taken of those that use patterns. One does,
+    if two pieces fit together: using each pattern once more as far as pieces last."""
     counts = counts.astype(np.int64).copy()
     counts[0] = 0
-    patterns = enumerate_patterns(np.flatnonzero(counts), length)
-    repeats = fit_repeats(patterns, counts) if len(patterns) else np.zeros(0)
-    order = np.argsort(-repeats, kind="stable")
-    plans = []
-    for least in LEAST_REPEATS:
-        left, out = counts.copy(), []
-        for at in order[: int((repeats >= least).sum())]:
-            pattern = tuple(int(v) for v in patterns[at] if v)
-            most = min(int(left[v]) // pattern.count(v) for v in pattern)
-            many = min(int(np.floor(repeats[at] + 1e-6)), most)
-            if many:
-                out.append((pattern, many))
-                for v in pattern:
-                    left[v] -= many
-        plans.append(out + best_fit(left, length))
-    return min(plans, key=lambda p: sum(many for _, many in p))
-
-
-def places(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
+    patterns = enumerate_patterns(counts, length)
+    if not len(patterns):
+        return [], best_fit(counts, length)
+    repeats = fit_repeats(patterns, counts)
+    ways = [(least, False, 1.0) for least in LEAST_REPEATS] + [(0, True, 1.0)] + [(1, False, s) for s in SCALES]
+    best: tuple[Sequences, Sequences] | None = None
+    for way in ways:
+        used, left = rounded(counts, patterns, repeats, *way)
+        if used:
+            made = best_fit(left, length, list(used.items()))
+            if best is None or sum(many for _, many in made) < sum(many for _, many in best[1]):
+                best = list(used.items()), made
+    return best or ([], best_fit(counts, length))
+
+
+def plan(counts: np.ndarray, length: int = LENGTH) -> Sequences:
+    """Sequences that use up `counts`: see `plan_parts`."""
+    return plan_parts(counts, length)[1]
+
+
+def places(planned: Sequences) -> dict[str, np.ndarray]:
     """The plan as sorted arrays: key (length and first rank), sequence and offset of each stretch of ranks.
 
     Its size doesn't grow with the documents: there are at most length**2 / 12 + length patterns of three
