@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -48,21 +49,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.splitter = Splitter([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # and those known before it was full, of which the ones met again stay
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text begins, and the end)."""
         words, numbers, begins = self.splitter.split(texts)
         if len(self.known) > MAX_REMEMBERED or self.held > MAX_REMEMBERED_BYTES:
-            self.known.clear()
-            self.held = 0
-        known = self.known
-        new = [w for w in words if w not in known]
+            self.before, self.known, self.held = self.known, {}, 0
+        known, before = self.known, self.before
+        new = []
+        for w in words:
+            if w not in known:
+                if (ids := before.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+                    self.held += len(w) + len(ids)
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = ids = np.asarray(e.ids, "<u4").tobytes()
+                known[w] = ids = array("I", e.ids).tobytes()
                 self.held += len(w) + len(ids)
         found = [known[w] for w in words]
         flat = np.frombuffer(b"".join(found), "<u4")

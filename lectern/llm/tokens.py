@@ -36,9 +36,9 @@ from .common import blocks, per_process
 LIMIT = 512
 #: Transducer states, and pre-tokens whose counts are remembered, before a worker starts anew.
 MAX_STATES = 200_000
-MAX_REMEMBERED = 200_000
+MAX_REMEMBERED = 400_000
 #: Bytes of remembered pre-tokens and what is known of them before a worker starts anew.
-MAX_REMEMBERED_BYTES = 16_000_000
+MAX_REMEMBERED_BYTES = 24_000_000
 #: Pre-tokens of more characters are compared one by one.
 LONG = 64
 #: Characters in a chunk of the prefix scan.
