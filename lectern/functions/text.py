@@ -64,10 +64,36 @@ def snippet(text: Column, size: int = 200) -> Column:
     return F.when(F.length(text) > size, F.concat(cut, F.lit("..."))).otherwise(cut)
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def highlight(text: Column, query: str, mark: str = "mark") -> Column:
-    """Marks each occurrence of the query's words of more than two characters, in any case; touching ones together."""
-    words = sorted({w for w in query.lower().split() if len(w) > 2}, key=lambda w: (-len(w), w))
+    """Marks each occurrence of the query's words of more than two characters, in any case, overlapping ones as well; runs that
+    overlap or touch are marked as one.
+
+    A sign is set before each occurrence by a pattern that takes no characters, so the k-th sign's place less k is where it is
+    in the text; the places of all words together, sorted, are the runs, and the text is put together from its characters."""
+    words = sorted({w for w in query.lower().split() if len(w) > 2})
     if not words:
         return text
-    quoted = "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words)
-    return F.regexp_replace(text, f"(?iu)((?:{quoted})+)", f"<{mark}>$1</{mark}>")
+    sign = next(chr(c) for c in range(1, 128) if not any(chr(c) in w for w in words))
+    bare = F.replace(text, F.lit(sign), F.lit(" "))  # no word holds white space
+
+    def covered(word: str) -> Column:
+        quoted = "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        signed = F.split(F.regexp_replace(bare, f"(?iu)(?={quoted})", sign if sign not in "\\$" else "\\" + sign), "")
+        at = F.filter(F.transform(signed, lambda c, i: F.when(c == sign, i).otherwise(-1)), lambda i: i >= 0)
+        return F.flatten(F.transform(at, lambda i, k: F.sequence(i - k, i - k + len(word) - 1)))
+
+    def built(chars: Column, hit: Column) -> Column:
+        begins = F.filter(hit, lambda x, i: ~F.coalesce(F.get(hit, i - 1) == x - 1, F.lit(False)))
+        ends = F.filter(hit, lambda x, i: ~F.coalesce(F.get(hit, i + 1) == x + 1, F.lit(False)))
+        cut = lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
+        runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+        parts = _let(runs, lambda r: F.concat(F.transform(r, lambda x, i: F.concat(cut(F.coalesce(F.get(r, i - 1)["e"], F.lit(0)), x["s"]), F.lit(f"<{mark}>"), cut(x["s"], x["e"]), F.lit(f"</{mark}>"))), F.array(cut(F.element_at(r, -1)["e"], F.size(chars)))))
+        return F.array_join(parts, "")
+
+    hits = F.array_sort(F.array_distinct(F.concat(*map(covered, words))))
+    return F.when(text.isNull(), None).otherwise(_let(hits, lambda hit: F.when(F.size(hit) == 0, text).otherwise(_let(F.split(text, ""), lambda chars: built(chars, hit)))))

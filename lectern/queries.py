@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import text as T
-from .operators import answers, chunking, export, fusion, lexical, tables, vectors, versions
+from .operators import answers, blockmax, chunking, export, fusion, lexical, tables, vectors, versions
 from .operators.rerank import boost
 from .plans.search import search
 from .sources import html
@@ -32,6 +35,15 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("chunk_id", F.concat(F.col("document_path"), F.lit("#"), F.lpad(F.col("chunk_index").cast("string"), 8, "0")))
 
 
+def _stored(df: DataFrame, **options: str) -> DataFrame:
+    """`df` written to a new folder in the shared place, and read from there."""
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lectern-")
+    path = f"{place.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _one(spark: SparkSession, query: str, vector: list[float] | None = None) -> DataFrame:
     return spark.createDataFrame([(0, query, vector)], "query_id long, query string, vector array<double>")
 
@@ -104,6 +116,21 @@ def vector_batch(spark, sf_dir):
     return vectors.nearest(v, asked, 5, "vec_id").select("query_id", "vec_id", "score", "rank")
 
 
+def vector_grid(spark, sf_dir):
+    """Every twentieth vector against all, block by block on the executors."""
+    v = _vectors(spark, sf_dir).where("embedding IS NOT NULL").withColumn("list", F.lit(0))
+    asked = v.where("vec_id % 20 = 0").select("list", F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return lexical.top(vectors.grid(v, asked, 5, "vec_id"), 5, "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+def vector_approximate(spark, sf_dir):
+    """Every twentieth vector against all, in the lists of the nearest 40 of 64 centroids (the vectors have hardly any structure)."""
+    v = _vectors(spark, sf_dir)
+    centroids = vectors.fit_centroids(v, 64, "vec_id")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.nearest_in_lists(vectors.inverted_lists(v, centroids, "vec_id"), centroids, asked, 5, 40, "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
 def cosine_pairs(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
@@ -119,7 +146,7 @@ def hybrid_rrf(spark, sf_dir):
 
 
 def _filtered(spark, sf_dir, stage):
-    found = search(_chunks(spark, sf_dir), _one(spark, QUERY), 10, {"lang": "en", "source": "src3"}, Config(filter_stage=stage))
+    found = search(_chunks(spark, sf_dir), _one(spark, QUERY), 10, {"lang": "en"}, Config(filter_stage=stage))
     return found.select("chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -158,7 +185,10 @@ def html_title(spark, sf_dir):
 
 
 def html_links(spark, sf_dir):
-    return html.parse_pages(_table(spark, sf_dir, "pages")).select("page_id", F.posexplode("links").alias("position", "link"))
+    """Links of the pages, each paragraph of which ends in a relative one; those in dropped parts don't count."""
+    more = F.concat(F.lit('<a href="/next/'), F.col("page_id").cast("string"), F.lit('">more</a></p>'))
+    pages = _table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</p>"), more))
+    return html.parse_pages(pages).select("page_id", F.posexplode("links").alias("position", "link"))
 
 
 def dedupe_exact(spark, sf_dir):
@@ -225,6 +255,19 @@ def highlights(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", T.highlight(F.col("text"), "the and thing").alias("marked"))
 
 
+def highlights_overlapping(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", T.highlight(F.col("text"), "the hen her ere ing ngs").alias("marked"))
+
+
+def bm25_blocks(spark, sf_dir):
+    """The benchmark's passages asked of an index of blocks of all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n, mean = lexical.corpus_stats(docs, "text").first()
+    index = _stored(blockmax.laid_out(blockmax.blocks(lexical.postings(docs, "doc_id", "text"), n, "doc_id")), **blockmax.WRITE_OPTIONS)
+    found = blockmax.search(index, _benchmark(spark, sf_dir), n, mean, lexical.document_frequencies(docs, "text"), 5, "doc_id")
+    return found.select("query_id", "doc_id", "score", "rank")
+
+
 def _chunk_vectors(spark, sf_dir):
     """The vectors as those of the first chunks of the documents with their numbers."""
     return _vectors(spark, sf_dir).select(F.concat(F.lpad(F.col("vec_id").cast("string"), 12, "0"), F.lit("#00000000")).alias("chunk_id"), "embedding")
@@ -372,13 +415,15 @@ FROM (SELECT page_id, url, lower(regexp_extract(url, '[^/.][^/]*\.([^./]*)$', 1)
     "bm25_chunks": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 10) + " SELECT key AS chunk_id, score, rank FROM found",
     "vector_top": f"SELECT vec_id, score, rank FROM ({_NEAREST.format('vec_id = 0', 10)})",
     "vector_batch": _NEAREST.format("vec_id % 20 = 0", 5),
+    "vector_grid": _NEAREST.format("vec_id % 20 = 0", 5),
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "hybrid_rrf": _bm25("documents", "doc_id", "text", _ONE, 30, prefix="WITH ")
     + f""", v AS ({_NEAREST.format('vec_id = 0', 30)}), f AS (SELECT coalesce(key, vec_id) AS id, round(coalesce(0.5::DOUBLE / (60 + found.rank), 0) + coalesce(0.5::DOUBLE / (60 + v.rank), 0), 8) AS score, coalesce(found.rank, 2147483647) AS a, coalesce(v.rank, 2147483647) AS b FROM found FULL JOIN v ON key = vec_id)
 SELECT id, score, row_number() OVER (ORDER BY score DESC, a, b, id)::INT AS rank FROM f QUALIFY rank <= 10""",
-    "search_filter_after": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 20) + " SELECT key AS chunk_id, score, row_number() OVER (ORDER BY score DESC, rank)::INT AS rank FROM found JOIN c ON key = chunk_id WHERE lang = 'en' AND source = 'src3' ORDER BY rank LIMIT 10",
-    "search_filter_before": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 10, "key IN (SELECT chunk_id FROM c WHERE lang = 'en' AND source = 'src3')") + " SELECT key AS chunk_id, score, rank FROM found",
+    "search_filter_after": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 20) + " SELECT key AS chunk_id, score, row_number() OVER (ORDER BY score DESC, rank)::INT AS rank FROM found JOIN c ON key = chunk_id WHERE lang = 'en' ORDER BY rank LIMIT 10",
+    "search_filter_before": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 10, "key IN (SELECT chunk_id FROM c WHERE lang = 'en')") + " SELECT key AS chunk_id, score, rank FROM found",
     "table_candidates": f"SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_trim('x')}), lambda x: length(x) >= 40 AND (length(x) - length(replace(x, '|', '')) >= 2 OR CASE WHEN contains(x, '|') THEN 15.0 * (length(x) - length(replace(x, '|', ''))) ELSE 20.0 * len(regexp_extract_all(x, ' +')) END / length(x) > 0.6))) AS n_lines FROM documents",
+    "html_links": r"SELECT page_id, 0 AS position, regexp_extract(url, '^https?://[^/]+') || '/next/' || page_id AS link FROM pages WHERE contains(regexp_replace(html, '(?is)<(script|style|nav|footer|header)\b.*?</(script|style|nav|footer|header)\s*>', '', 'g'), '</p>')",
     "html_title": r"SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), chr(9) || chr(10) || chr(13) || ' '), ''), url) AS title FROM (SELECT page_id, url, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', ''''), '&amp;', '&') AS html FROM pages)",
     "dedupe_exact": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",
     "upsert_changed": f"SELECT doc_id::VARCHAR AS path, length(n) AS n_chars FROM (SELECT doc_id, text, {_EDIT} AS n FROM documents) WHERE n <> text",
@@ -389,17 +434,23 @@ SELECT id, score, row_number() OVER (ORDER BY score DESC, a, b, id)::INT AS rank
     "schema_batches": "WITH " + _windows(4000, 4000) + " SELECT path, (chunk_index // 3)::INT AS batch, count(*) AS n_excerpts, md5(string_agg(content, '|' ORDER BY chunk_index)) AS digest FROM c GROUP BY ALL",
     "export_rows": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 100) + " SELECT path AS document, NULL::VARCHAR AS heading, md5(substr(content, 1, 2000)) AS digest, score FROM found JOIN c ON key = chunk_id",
     "snippets": "SELECT doc_id, replace(substr(text, 1, 200), chr(10), ' ') || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS snippet FROM documents",
+    "highlights_overlapping": """WITH c AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark),
+m AS (SELECT item_id, i, substr(text, i, 1) AS ch, list_bool_or(list_transform(range(0, 3), lambda d: i > d AND lower(substr(text, i - d, 3)) IN ('the', 'hen', 'her', 'ere', 'ing', 'ngs'))) AS hit FROM c),
+e AS (SELECT *, coalesce(lag(hit) OVER w, false) AS before, coalesce(lead(hit) OVER w, false) AS after FROM m WINDOW w AS (PARTITION BY item_id ORDER BY i))
+SELECT item_id, string_agg(CASE WHEN hit AND NOT before THEN '<mark>' ELSE '' END || ch || CASE WHEN hit AND NOT after THEN '</mark>' ELSE '' END, '' ORDER BY i) AS marked FROM e GROUP BY item_id""",
     "highlights": "SELECT item_id, regexp_replace(text, '(?i)((?:thing|and|the)+)', '<mark>\\1</mark>', 'g') AS marked FROM benchmark",
     "rerank_boost": """SELECT item_id, round(0.2::DOUBLE * (contains(t, 'the')::INT + contains(t, 'of')::INT + contains(t, 'and')::INT) + coalesce(CASE WHEN g < 500 THEN 0.3::DOUBLE * (1 - g / 500.0::DOUBLE) END, 0) + CASE WHEN contains(t, 'the of and') THEN 0.4::DOUBLE ELSE 0 END, 6) AS boost
 FROM (SELECT item_id, t, list_min(list_transform(range(2, len(p) + 1), lambda i: p[i] - p[i - 1])) AS g FROM (SELECT item_id, lower(text) AS t, list_sort(list_filter(list_concat(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN substr(lower(text), i, 3) = 'the' THEN i END), list_transform(range(1, length(text) + 1), lambda i: CASE WHEN substr(lower(text), i, 2) = 'of' THEN i END), list_transform(range(1, length(text) + 1), lambda i: CASE WHEN substr(lower(text), i, 3) = 'and' THEN i END)), lambda x: x IS NOT NULL)) AS p FROM benchmark))""",
 }
 
+SQL["bm25_blocks"] = SQL["bm25_batch"]
+
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_format, chunk_sliding, chunk_by_heading, chunk_by_heading_markdown, term_stats, corpus_stats, bm25_top, bm25_batch, bm25_conversations, bm25_chunks,
-        vector_top, vector_batch, cosine_pairs, hybrid_rrf, search_filter_after, search_filter_before, search_reranked, rerank_boost, table_candidates, table_extract,
+        detect_format, chunk_sliding, chunk_by_heading, chunk_by_heading_markdown, term_stats, corpus_stats, bm25_top, bm25_batch, bm25_conversations, bm25_chunks, bm25_blocks,
+        vector_top, vector_batch, vector_grid, vector_approximate, cosine_pairs, hybrid_rrf, search_filter_after, search_filter_before, search_reranked, rerank_boost, table_candidates, table_extract,
         html_text, html_title, html_links, dedupe_exact, upsert_changed, document_diff, remove_document_stats, ask_context, fallback_answer, agentic_sources,
-        schema_batches, export_rows, snippets, highlights, search_vector, search_hybrid, library_lifecycle,
+        schema_batches, export_rows, snippets, highlights, highlights_overlapping, search_vector, search_hybrid, library_lifecycle,
     )
 }

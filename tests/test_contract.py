@@ -1,16 +1,12 @@
 """Every query that has SQL, against DuckDB on the smallest tables; the others give rows of a stable shape."""
 
 import os
-import re
 import shutil
 import subprocess
 import sys
-from html import unescape
 from pathlib import Path
-from urllib.parse import urljoin
 
 import duckdb
-import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -32,25 +28,15 @@ def rows(frame):
     return sorted(frame.where(frame.notna(), None).itertuples(index=False, name=None), key=repr)
 
 
-def plain_links(duck):
-    """Links of the parts that aren't dropped, by patterns and not by a parser."""
-    found = []
-    for page_id, url, html in duck.sql("SELECT page_id, url, html FROM pages").fetchall():
-        for tag in ("script", "style", "nav", "footer", "header", "iframe", "noscript", "head"):
-            html = re.sub(rf"(?is)<{tag}\b.*?</{tag}\s*>", "", html)
-        links = dict.fromkeys(urljoin(url, unescape(h)) for h in re.findall(r'(?is)<a\s[^>]*?href="([^"]*)"', re.sub(r"(?s)<!--.*?-->", "", html)))
-        found += [(page_id, k, x) for k, x in enumerate([x for x in links if x.startswith("http")][:100])]
-    return pd.DataFrame(found, columns=["page_id", "position", "link"])
-
-
-PLAIN = {"html_links": plain_links}
+#: Queries without SQL, and where they are held against a plain version.
+APART = {"vector_approximate": "test_vectors.py", "watch_ingest": "test_library.py"}
 
 
 @pytest.mark.parametrize("name", sorted(own.QUERIES))
 def test_query(spark, duck, name):
     got = own.QUERIES[name](spark, str(SF_DIR)).toPandas()
-    if name not in own.SQL:  # held against plain versions below
-        assert name in PLAIN and rows(got) == rows(PLAIN[name](duck))
+    if name not in own.SQL:
+        assert name in APART and len(got)
         return
     want = duck.sql(own.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

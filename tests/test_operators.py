@@ -180,6 +180,22 @@ def test_snippet_and_highlight(spark):
     assert one(spark, T.highlight(F.col("t"), "Term of termination"), t="TERMs and termination") == "<mark>TERM</mark>s and <mark>termination</mark>"
 
 
+def letter_by_letter(text, query):
+    words, low = [w for w in query.lower().split() if len(w) > 2], text.lower()
+    hit = [any(low[p : p + len(w)] == w for w in words for p in range(max(0, i - len(w) + 1), i + 1)) for i in range(len(text))]
+    return "".join(("<mark>" if h and not b else "") + c + ("</mark>" if h and not a else "") for c, h, b, a in zip(text, hit, [False, *hit], [*hit[1:], False], strict=False))
+
+
+def test_highlight_letter_by_letter(spark):
+    """Overlaps, self-overlaps, touching hits, other cases, letters outside the BMP, signs that stand in the text, quotes of patterns."""
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("aAbB \x01😀é", k=draw.randint(0, 40))) for _ in range(150)] + ["", "the then hen", "a\\E.b(c a\\E.b", "$1x $1x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for query in ("aaa aba bab", "a\x01b aaa", "😀éa éaé", "the hen", "a\\e.b(c $1x", "aa b", "aab abaa aa\x02"):
+        got = [r[0] for r in rows.select(T.highlight(F.col("t"), query)).collect()]
+        assert got == [letter_by_letter(t, query) for t in texts]
+
+
 def test_nearest_without_queries_and_with_nulls(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0])], "chunk_id string, embedding array<float>")
     none = spark.createDataFrame([], "query_id long, vector array<double>")
@@ -195,8 +211,11 @@ def test_nearest_in_blocks(spark, monkeypatch):
     asked = rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
     whole = sorted(map(tuple, vectors.nearest(rows, asked, 3).collect()))
     monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
-    monkeypatch.setattr(vectors.query_blocks, "__defaults__", (8 * 4 * 25,))
-    assert len(list(vectors.query_blocks(asked))) == 3 and sorted(map(tuple, vectors.nearest(rows, asked, 3).collect())) == whole
+    monkeypatch.setattr(vectors, "FEW_BYTES", 0)
+    for size, few in ((100, 1000), (8 * 4 * 25, 9)):
+        monkeypatch.setattr(vectors, "QUERY_BYTES", size)
+        monkeypatch.setattr(vectors, "CELL_VECTORS", few)
+        assert sorted(map(tuple, vectors.nearest(rows, asked, 3).collect())) == whole
 
 
 def test_bm25_reads_texts_once_and_prunes_before_its_shuffle(spark):
