@@ -301,6 +301,21 @@ def library_lifecycle(spark, sf_dir):
     return library.documents().join(held, "path").join(found, "path", "left").select("path", "size", "versions", (F.col("chunk_count") == F.coalesce("chunks", F.lit(0))).alias("counted"))
 
 
+def watch_ingest(spark, sf_dir):
+    """The documents as text files of a hundred each, come to a folder in two halves, each followed by a watch that goes on from the
+    other's checkpoint: what the library holds of each file."""
+    from .plans.library import Library
+
+    docs = _table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    library = Library(spark)
+    inbox = f"{library.path}-inbox"
+    for half in (0, 1):
+        some = docs.where(F.col("part") % 2 == half).repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id")
+        some.write.mode("append").partitionBy("part").text(inbox)
+        library.watch(inbox, once=True).awaitTermination()
+    return library.documents().select(F.regexp_extract("path", "part=(\\d+)", 1).cast("long").alias("part"), "size")
+
+
 # SQL
 
 _TOKENS = r"list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9''-]+', ' ', 'g'), ' '), lambda t: length(t) > 1 AND length(t) < 50)"
@@ -434,6 +449,7 @@ SELECT id, score, row_number() OVER (ORDER BY score DESC, a, b, id)::INT AS rank
     "schema_batches": "WITH " + _windows(4000, 4000) + " SELECT path, (chunk_index // 3)::INT AS batch, count(*) AS n_excerpts, md5(string_agg(content, '|' ORDER BY chunk_index)) AS digest FROM c GROUP BY ALL",
     "export_rows": "WITH " + _windows(1500, 1300) + ", " + _bm25("c", "chunk_id", "content", _ONE, 100) + " SELECT path AS document, NULL::VARCHAR AS heading, md5(substr(content, 1, 2000)) AS digest, score FROM found JOIN c ON key = chunk_id",
     "snippets": "SELECT doc_id, replace(substr(text, 1, 200), chr(10), ' ') || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS snippet FROM documents",
+    "watch_ingest": "SELECT doc_id // 100 AS part, sum(coalesce(length(text), 0) + 1)::BIGINT AS size FROM documents GROUP BY part",
     "highlights_overlapping": """WITH c AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark),
 m AS (SELECT item_id, i, substr(text, i, 1) AS ch, list_bool_or(list_transform(range(0, 3), lambda d: i > d AND lower(substr(text, i - d, 3)) IN ('the', 'hen', 'her', 'ere', 'ing', 'ngs'))) AS hit FROM c),
 e AS (SELECT *, coalesce(lag(hit) OVER w, false) AS before, coalesce(lead(hit) OVER w, false) AS after FROM m WINDOW w AS (PARTITION BY item_id ORDER BY i))
@@ -451,6 +467,6 @@ QUERIES = {
         detect_format, chunk_sliding, chunk_by_heading, chunk_by_heading_markdown, term_stats, corpus_stats, bm25_top, bm25_batch, bm25_conversations, bm25_chunks, bm25_blocks,
         vector_top, vector_batch, vector_grid, vector_approximate, cosine_pairs, hybrid_rrf, search_filter_after, search_filter_before, search_reranked, rerank_boost, table_candidates, table_extract,
         html_text, html_title, html_links, dedupe_exact, upsert_changed, document_diff, remove_document_stats, ask_context, fallback_answer, agentic_sources,
-        schema_batches, export_rows, snippets, highlights, highlights_overlapping, search_vector, search_hybrid, library_lifecycle,
+        schema_batches, export_rows, snippets, highlights, highlights_overlapping, search_vector, search_hybrid, library_lifecycle, watch_ingest,
     )
 }

@@ -7,46 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..sources import files
-
-#: What is kept of a file that has been read.
-SEEN = "path string, modificationTime timestamp, length long"
-#: Files that one read names.
-PATHS_AT_ONCE = 10_000
-
-
-def unseen(listed: DataFrame, seen: DataFrame) -> DataFrame:
-    """Rows of a listing (path, modificationTime, length) that are new or differ in time or length."""
-    return listed.join(seen, ["path", "modificationTime", "length"], "left_anti")
+from ..sources import files, folder
 
 
 def watch(library, path: str, then: Callable | None = None, once: bool = False, interval: str = "5 seconds"):
-    """Indexes what is in the folder and what comes to it. Spark's file stream tells of new paths only, so
-    a running watch is driven by a clock: a tick lists the folder without reading it, holds the listing against
-    what it has seen, and reads and extracts the new and changed files alone. The library skips texts that haven't
-    changed, which also makes a repeated batch harmless. Files that go stay indexed.
-    `once`: the file stream's new paths make the tick, and it ends when all there is has been seen."""
-    spark = library.spark
+    """Indexes what is in the folder and what comes to it or changes in it, as a stream of files whose checkpoint lies
+    in the library's folder: a watch that is started again goes on where it was cut off. The library skips texts that
+    haven't changed, which makes a repeated batch harmless. Files that go stay indexed. `once`: ends when all there is
+    has been seen."""
     place = f"{library.path}/watch-{zlib.crc32(path.encode())}"
 
-    def add(found: DataFrame) -> None:
-        result = library.add(files.extract(found, library.extractors))
+    def tick(new: DataFrame, number: int) -> None:
+        result = library.add(files.extract(new, library.extractors))
         if then and (result.documents or result.failed):
             then(result)
 
-    def tick(_new: DataFrame, number: int) -> None:
-        held, fs = library._fs(f"{place}-seen")
-        seen = spark.read.schema(SEEN).parquet(f"{place}-seen") if fs.exists(held) else spark.createDataFrame([], SEEN)
-        listed, _missing = files.scan(spark, [path])
-        rows = unseen(listed.select("path", "modificationTime", "length"), seen).collect()  # names of changed files; Spark's own listing is on the driver too
-        for at in range(0, len(rows), PATHS_AT_ONCE):
-            some = rows[at : at + PATHS_AT_ONCE]
-            add(spark.read.format("binaryFile").load([r["path"] for r in some]))
-            spark.createDataFrame(some, SEEN).coalesce(1).write.mode("append").parquet(f"{place}-seen")
-
-    if once:
-        stream = spark.readStream.format("binaryFile").schema(files.FILES).option("recursiveFileLookup", "true").load(path).select("path")
-    else:
-        stream = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = stream.writeStream.foreachBatch(tick).option("checkpointLocation", f"{place}-{'once' if once else 'clock'}")
+    writer = folder.stream(library.spark, path, f"{place}/listings").writeStream.foreachBatch(tick).option("checkpointLocation", place)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

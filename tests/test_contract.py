@@ -29,7 +29,7 @@ def rows(frame):
 
 
 #: Queries without SQL, and where they are held against a plain version.
-APART = {"vector_approximate": "test_vectors.py", "watch_ingest": "test_library.py"}
+APART = {"vector_approximate": "test_vectors.py"}
 
 
 @pytest.mark.parametrize("name", sorted(own.QUERIES))

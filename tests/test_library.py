@@ -10,6 +10,7 @@ from lectern.operators.export import write_csv, write_json
 from lectern.operators.vectors import HashingEmbedder
 from lectern.plans.library import Library
 from lectern.sources import files, html, office
+from lectern.sources import folder as folder_source
 
 SAMPLE = "Termination of this agreement needs notice.\nThe indemnification clause stays.\nPayment terms are thirty days.\n"
 MARKDOWN = "# Sample Document\n\nIntro.\n\n## Termination\n\nA termination notice.\n\n## Indemnification\n\nAn indemnification.\n\n## Payment Terms\n\nThirty days.\n"
@@ -110,6 +111,28 @@ def test_running_watch_reads_changed_files_only(spark, folder, monkeypatch):
     assert read == [["sample.md", "sample.txt"], ["more.txt"]] and library.search("more").count() == 1
 
 
+def test_a_watch_goes_on_where_it_was_cut_off(spark, folder, monkeypatch):
+    """A batch that fails is made again from the same listings after a restart, even if files came meanwhile."""
+    library, read = Library(spark, f"file://{folder}/index"), []
+    plain = library.add
+    monkeypatch.setattr(library, "add", lambda extracted, *a: (read.append({r.path.rsplit("/", 1)[1] for r in extracted.select("path").collect()}), plain(extracted, *a) if len(read) != 2 else 1 / 0)[1])
+    library.watch(str(folder / "in"), once=True).awaitTermination()
+    (folder / "in/more.txt").write_text("more words")
+    with pytest.raises(Exception, match="ZeroDivision"):
+        library.watch(str(folder / "in"), once=True).awaitTermination()
+    (folder / "in/third.txt").write_text("third words")
+    (folder / "in/_hidden.txt").write_text("no words")
+    library.watch(str(folder / "in"), once=True).awaitTermination()
+    library.watch(str(folder / "in"), once=True).awaitTermination()
+    assert read == [{"sample.md", "sample.txt"}, {"more.txt"}, {"more.txt"}, {"third.txt"}] and library.stats()["documents"] == 4
+
+
+def test_changed_entries():
+    a, b, c = ("a", 1, 1), ("b", 1, 1), ("c", 1, 1)
+    assert list(folder_source.changed(iter([a, b]), iter([a, ("b", 2, 1), c]))) == [("b", 2, 1), c]
+    assert list(folder_source.changed(iter([]), iter([a]))) == [a] and list(folder_source.changed(iter([a]), iter([]))) == []
+
+
 def test_a_change_writes_only_what_changes(spark, folder):
     library = Library(spark, f"file://{folder}/index")
     library.index(str(folder / "in"))
