@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.remote import ServiceEmbedder
+from . import calls
 from .lexical import broadcast_if_small, top
 
 #: Bytes of query vectors in a cell, and how many of them meet a batch of vectors at once.
@@ -52,8 +53,12 @@ def register(name: str, maker) -> None:
     EMBEDDERS[name] = maker
 
 
-def embed(chunks: DataFrame, embedder: Embedder, batch: int = 20) -> DataFrame:
-    """chunk_id, embedding; the provider gets `batch` texts at a time."""
+def embed(chunks: DataFrame, embedder: Embedder, store: str | None = None, batch: int = 20) -> DataFrame:
+    """chunk_id, embedding; the provider gets `batch` texts at a time. With a `store`, vectors are kept there by text and model: no text
+    is sent twice, and a run that broke off goes on (`calls.answered`)."""
+    if store:
+        model = f"{getattr(embedder, 'model', type(embedder).__name__)}/{getattr(embedder, 'dimensions', '')}"
+        return calls.answered(chunks.select("chunk_id", "content"), "content", model, embedder.embed, "array<float>", store, batch).select("chunk_id", F.col("result").alias("embedding"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -374,7 +374,7 @@ class Library:
             "versions": versions.next_versions(versions_now, new, F.lit(now)).withColumn("digest", F.sha2("content", 256)),
         }
         if self.embedder:
-            changes["embeddings"] = vectors.embed(chunks, self.embedder).join(of_chunk, "chunk_id")
+            changes["embeddings"] = vectors.embed(chunks, self.embedder, f"{self.path}/embedded").join(of_chunk, "chunk_id")
         self._commit(changes | self._changes(chunks, gone, generations), generations)
         return done(count, total)
 
