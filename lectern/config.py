@@ -32,3 +32,13 @@ class Config:
 
     def replace(self, **changes) -> Config:
         return dataclasses.replace(self, **changes)
+
+
+def provider(wanted, known: dict):
+    """A provider as it is given, or made by its name in `known`, alone or with options: "hashing" or ("service", {"url": …}). None stays None."""
+    name, options = (wanted, {}) if isinstance(wanted, str) else wanted if isinstance(wanted, tuple) else (None, None)
+    if name is None:
+        return wanted
+    if name not in known:
+        raise ValueError(f"no such provider: {name}; there are {', '.join(sorted(known))}")
+    return known[name](**options)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..config import Config
+from ..config import Config, provider
 from ..functions.text import is_url, terms
 from ..operators import answers, blockmax, chunking, lexical, tables, vectors, versions
 from ..operators.literals import among, fetched
@@ -77,7 +77,8 @@ class Indexed:
 
 
 class Library:
-    def __init__(self, spark: SparkSession, path: str | None = None, config: Config | None = None, embedder: vectors.Embedder | None = None, model: answers.LanguageModel | None = None, fetch: files.Fetch | None = None, extractors: dict[str, files.Extractor] | None = None, ocr: files.Ocr | None = None, reranker: searching.Reranker | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, config: Config | None = None, embedder: vectors.Embedder | str | tuple[str, dict] | None = None, model: answers.LanguageModel | str | tuple[str, dict] | None = None, fetch: files.Fetch | None = None, extractors: dict[str, files.Extractor] | None = None, ocr: files.Ocr | None = None, reranker: searching.Reranker | None = None):
+        embedder, model = provider(embedder, vectors.EMBEDDERS), provider(model, answers.MODELS)  # by name: see `register` there
         self.spark, self.config, self.embedder, self.model, self.fetch, self.ocr, self.reranker = spark, config or Config(), embedder, model, fetch or remote.Get(), ocr, reranker
         self.own_extractors = extractors
         self.path = (path or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")).rstrip("/") + ("" if path else f"/library-{time.time_ns()}")

@@ -75,3 +75,17 @@ def test_a_library_embeds_each_text_once(spark, tmp_path):
     assert got == {"a": 3.0, "b": 8.0, "c": 3.0, "d": 8.0}
     library.configure(mode="vector")
     assert library.search("x", 4).where(F.col("document_path") == "c").count() == 1
+
+
+def test_providers_by_name(spark, tmp_path):
+    from lectern.operators import answers, vectors
+
+    library = Library(spark, f"file://{tmp_path}/index", embedder=("hashing", {"dimensions": 8}), model=("service", {"url": "http://localhost", "model": "m"}))
+    assert library.embedder.dimensions == 8 and library.model.name == "m" and Library(spark, f"file://{tmp_path}/index").embedder is None
+    with pytest.raises(ValueError, match="no such provider: other; there are hashing, service"):
+        Library(spark, f"file://{tmp_path}/index", embedder="other")
+    before = dict(answers.MODELS), dict(vectors.EMBEDDERS)
+    vectors.register("mine", lambda: Recording(tmp_path))
+    assert Library(spark, f"file://{tmp_path}/index", embedder="mine").embedder.model == "recording"
+    vectors.EMBEDDERS.pop("mine")
+    assert (dict(answers.MODELS), dict(vectors.EMBEDDERS)) == before
