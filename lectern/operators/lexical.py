@@ -56,15 +56,15 @@ def matching(chunks: DataFrame, asked: DataFrame, key: str = "chunk_id", content
     """term, <key>, dl, tf of the asked terms only, and one row with the term MARK: the sum of lengths as tf and the number
     of chunks as n, which the statistics need.
 
-    Every text is read and cut once. Terms are counted within a text's row, others than the asked ones end before any
-    shuffle, and what all chunks add to the statistics is summed in each task."""
+    Every text is read and cut once. Tokens of others than the asked terms end before any shuffle, and what all chunks add
+    to the statistics is summed in each task."""
     some = broadcast_if_small(asked.select("term").distinct())
-    counted = chunks.select(key, term_counts(F.col(content)).alias("counted"))
-    counted = counted.select(key, "counted", F.aggregate("counted", F.lit(0).cast("long"), lambda n, x: n + x["tf"]).alias("dl"))
-    rows = counted.select(key, "dl", F.explode(F.concat("counted", F.array(F.struct(F.lit(MARK).alias("term"), F.col("dl").alias("tf"))))).alias("x")).select(key, "dl", "x.term", "x.tf")
+    tokens = chunks.select(key, terms(F.col(content)).alias("tokens"))
+    rows = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(MARK)))).alias("term"))
     kept = rows.join(some.withColumn("asked", F.lit(1)), "term", "left").where((F.col("asked") == 1) | (F.col("term") == MARK))
     is_hit = F.col("term") != MARK
-    return kept.groupBy("term", F.when(is_hit, F.col(key)).alias(key), F.when(is_hit, F.col("dl")).alias("dl")).agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("n"))
+    once = F.when(is_hit, F.lit(1).cast("long")).otherwise(F.col("dl"))
+    return kept.groupBy("term", F.when(is_hit, F.col(key)).alias(key), F.when(is_hit, F.col("dl")).alias("dl")).agg(F.sum(once).alias("tf"), F.count(F.lit(1)).alias("n"))
 
 
 def scores(index: DataFrame, stats: DataFrame | None, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
