@@ -145,16 +145,16 @@ class Scorer:
         return float(-np.expm1(-self.sentences(text).sum()))
 
     def offending(self, text: str, threshold: float) -> list[dict]:
-        out = []
-        for k, m in enumerate(SENTENCE.finditer(text)):
-            if (p := self(m[0])) >= threshold:
-                out.append({"sentence": k, "start": m.start(), "stop": m.end(), "score": p})
-        return out
+        """Of a text that reaches the threshold: its sentences that reach it alone, or else the strongest (all that tie)."""
+        out = [{"sentence": k, "start": m.start(), "stop": m.end(), "score": self(m[0])} for k, m in enumerate(SENTENCE.finditer(text))]
+        least = min(threshold, max((s["score"] for s in out), default=threshold))
+        return [s for s in out if s["score"] >= least]
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "", threshold: float = THRESHOLD) -> DataFrame:
     """The columns `keep`, and <prefix>score, <prefix>predicted and <prefix>offending of every whole
-    text: (sentence, start, stop, score) of each sentence that alone reaches the threshold."""
+    text: (sentence, start, stop, score) of each sentence that alone reaches the threshold, or of the
+    strongest if only several together do; none of a text below it."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
     source = prefix + "text_"
     names = [prefix + c for c in ("score", "predicted", "offending")]

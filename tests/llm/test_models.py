@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -53,6 +54,16 @@ def test_held_out_labels_are_never_learned(spark, rows):
     assert 20 < len(some) <= 100 and max(r.order for r in some) < labelled.DIGESTS
 
 
+def test_sample_of_an_id_that_stands_often_is_the_same_in_every_order(spark):
+    hot = min((i for i in range(60) if not held_out(i)), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())  # is surely in the sample
+    often = [(hot, f"text number {i} of the same id", "s") for i in range(300)] + [(i, f"other text {i}", "s") for i in range(60) if i != hot]
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int")
+    first = documents(spark, often)
+    for most in (40, 120):
+        found = [sorted(map(tuple, labelled.training_rows(d, labels, "toxic", most=most).collect())) for d in (first, documents(spark, often[::-1]).repartition(5))]
+        assert found[0] == found[1] and len(found[0]) == most and {r[1] for r in found[0]} == {hot}
+
+
 def test_fitting_is_that_of_one_process(spark, rows):
     docs, labels = documents(spark, rows[0]), spark.createDataFrame(rows[1], "doc_id long, quality int, toxic int")
     for module, label in ((quality, "quality"), (toxicity, "toxic")):
@@ -171,6 +182,19 @@ def test_offending_sentences(spark, rows):
     assert len(found) >= 0.9 * len(docs) and np.mean(["blockhead" in f or "dimwit" in f for f in found]) > 0.9
 
 
+def test_several_weak_sentences_give_the_strongest():
+    weights = np.zeros(toxicity.BUCKETS + 1, np.float32)
+    weights[toxicity.BUCKETS] = toxicity.START
+    for word, w in (("meh", 4.0), ("bad", 4.5)):
+        weights[toxicity.word_features(word)[0]] = w
+    score = toxicity.Scorer(weights)
+    text = "A meh day. A bad day! Nothing here. A meh one"
+    assert max(score(s) for s in text.split(".")) < 0.3 <= score(text)
+    assert [text[o["start"] : o["stop"]].strip() for o in score.offending(text, 0.3)] == ["A bad day"]
+    assert [o["sentence"] for o in score.offending(text + ". A bad dog.", 0.3)] == [1, 4]
+    assert [o["sentence"] for o in score.offending("Fine. bad bad. A bad day.", 0.3)] == [1]
+
+
 def test_toxicity_stage(spark, rows):
     docs, labels = documents(spark, rows[0]), spark.createDataFrame(rows[1], "doc_id long, quality int, toxic int")
     kept = toxicity.keep_harmless(docs, labels)
