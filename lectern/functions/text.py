@@ -64,7 +64,7 @@ def snippet(text: Column, size: int = 200) -> Column:
     return F.when(F.length(text) > size, F.concat(cut, F.lit("..."))).otherwise(cut)
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """`use` of a value that is computed once."""
     return F.transform(F.array(value), use)[0]
 
@@ -92,8 +92,8 @@ def highlight(text: Column, query: str, mark: str = "mark") -> Column:
         ends = F.filter(hit, lambda x, i: ~F.coalesce(F.get(hit, i + 1) == x + 1, F.lit(False)))
         cut = lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
         runs = F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
-        parts = _let(runs, lambda r: F.concat(F.transform(r, lambda x, i: F.concat(cut(F.coalesce(F.get(r, i - 1)["e"], F.lit(0)), x["s"]), F.lit(f"<{mark}>"), cut(x["s"], x["e"]), F.lit(f"</{mark}>"))), F.array(cut(F.element_at(r, -1)["e"], F.size(chars)))))
+        parts = let(runs, lambda r: F.concat(F.transform(r, lambda x, i: F.concat(cut(F.coalesce(F.get(r, i - 1)["e"], F.lit(0)), x["s"]), F.lit(f"<{mark}>"), cut(x["s"], x["e"]), F.lit(f"</{mark}>"))), F.array(cut(F.element_at(r, -1)["e"], F.size(chars)))))
         return F.array_join(parts, "")
 
     hits = F.array_sort(F.array_distinct(F.concat(*map(covered, words))))
-    return F.when(text.isNull(), None).otherwise(_let(hits, lambda hit: F.when(F.size(hit) == 0, text).otherwise(_let(F.split(text, ""), lambda chars: built(chars, hit)))))
+    return F.when(text.isNull(), None).otherwise(let(hits, lambda hit: F.when(F.size(hit) == 0, text).otherwise(let(F.split(text, ""), lambda chars: built(chars, hit)))))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,8 @@ from lectern.operators import answers, chunking, fusion, lexical, tables, vector
 from lectern.operators.rerank import boost
 from lectern.plans.search import matches, search
 
+from . import plain_tables
+
 
 def one(spark, column, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column).first()[0]
@@ -114,22 +117,50 @@ def test_boost(spark, query, content):
     assert one(spark, boost(F.col("q"), F.col("c")), q=query, c=content) == pytest.approx(slow_boost(query, content))
 
 
-def test_tables():
+def test_tables(spark):
+    read = lambda t: [x.asDict(True) for x in one(spark, tables.table_arrays(F.col("t")), t=t)]
     wide = "| name of the thing | price of the thing | number |\n|-------------------|--------------------|--------|\n| left part of it   | 12.00 per piece    | 7      |\n| right part of it  | 13.00 per piece    |        |"
-    found = tables.find_tables(f"Some words.\n{wide}\nend")
-    assert found == [{"headers": ["name of the thing", "price of the thing", "number"], "rows": [["left part of it", "12.00 per piece", "7"], ["right part of it", "13.00 per piece"]]}]
-    assert tables.to_markdown(found[0]).splitlines()[1] == "| --- | --- | --- |"
-    assert tables.with_tables("no table") == "no table"
-    assert tables.MARKER in tables.with_tables(wide)
+    assert read(f"Some words.\n{wide}\nend") == [{"headers": ["name of the thing", "price of the thing", "number"], "rows": [["left part of it", "12.00 per piece", "7"], ["right part of it", "13.00 per piece"]]}]
+    assert one(spark, tables.augmented(F.col("t")), t="no table") == "no table"
+    assert one(spark, tables.augmented(F.col("t")), t=wide).split(tables.MARKER)[1].splitlines()[3] == "| --- | --- | --- |"
     gaps = "\n".join("alpha beta    gamma delta    epsilon zeta eta" for _ in range(3))
-    assert tables.find_tables(gaps)[0]["headers"] == ["alpha beta", "gamma delta", "epsilon zeta eta"]
+    assert read(gaps)[0]["headers"] == ["alpha beta", "gamma delta", "epsilon zeta eta"]
     prose = "\n".join("one two three four five six seven eight nine ten" for _ in range(5))
-    assert tables.is_candidate(prose.split("\n")[0]) and tables.find_tables(prose) == []
+    assert one(spark, F.size(tables.candidate_lines(F.col("t"))), t=prose) == 5 and read(prose) == []
+
+
+def test_tables_match_a_line_by_line_version(spark):
+    random.seed(5)
+    cells = ["alpha beta", "x", "", " ", "---", ":--", "12.50 a piece", "\u3000wide\u00a0", "\U0001f600 face", "a\rb"]
+
+    def line():
+        some = [random.choice(cells) for _ in range(random.randint(1, 7))]
+        kind = random.random()
+        if kind < 0.45:
+            return "| " + " | ".join(some) + " |" + " " * random.randint(0, 3)
+        if kind < 0.6:
+            return "|" + "|".join("-" * random.randint(3, 12) for _ in some) + "|"
+        return (random.choice(["   ", "  \t ", " "]).join(some) + "  end of row") * random.randint(1, 3) if kind < 0.93 else random.choice(["", "plain words", "\r"])
+
+    texts = ["\n".join(line() for _ in range(random.randint(0, 25))) for _ in range(600)] + ["", "\n\n", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", tables.table_arrays(F.col("t")).alias("found"), tables.augmented(F.col("t")).alias("whole"), tables.candidate_lines(F.col("t")).alias("lines")).collect()
+    for r in got:
+        assert [x.asDict(True) for x in r.found] == plain_tables.find_tables(r.t or ""), repr(r.t)
+        assert r.whole == plain_tables.with_tables(r.t or "")
+        assert r.t is None or r.lines == [x for x in r.t.split("\n") if plain_tables.is_candidate(x)]
+    assert sum(len(r.found) for r in got) > 300 and any(not x.headers for r in got for x in r.found)
+
+
+def test_tables_of_a_very_long_text(spark):
+    text = "\n".join("" if i % 10 == 9 else f"| cell {i} | another cell of the row | a third one |" for i in range(100_000))
+    began = time.monotonic()
+    found = spark.createDataFrame([(text,)], "t string").select(tables.table_arrays(F.col("t")).alias("x")).select(F.size("x"), F.col("x")[9999]["rows"][7]).first()
+    assert found[0] == 10_000 and found[1][0] == "cell 99998" and time.monotonic() - began < 60
 
 
-def test_candidate_lines_agree(spark):
-    text = "a | b | c\n" + "x" * 50 + "\n" + "w " * 30 + "\n| aa | bb | cc | dd | ee | ff | gg | hh | ii |\n" + "left | right words that go on and on for long"
-    assert one(spark, tables.candidate_lines(F.col("t")), t=text) == [x for x in text.split("\n") if tables.is_candidate(x)]
+def test_tables_stay_in_the_engine(spark):
+    plan = tables.extract_tables(spark.createDataFrame([(1, "a")], "doc_id int, content string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
 
 
 def test_diff(spark):
