@@ -71,3 +71,12 @@ def test_works_without_the_subpackage(tmp_path, gone):
         (tmp_path / name).unlink(missing_ok=True) if name.endswith(".py") else None
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sorted(e.oracle_sql()) == sorted(k for k in e.oracle_sql() if k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.stdout.split() == [str(len(own.QUERIES)), "True"], done.stderr
+
+
+@pytest.mark.parametrize("name", ["search_filter_after", "search_filter_before"])
+def test_filters_ask_for_language_and_source(spark, duck, name):
+    """Every row that is found has both, and the filter before search finds as many as there may be."""
+    found = {r.chunk_id for r in own.QUERIES[name](spark, str(SF_DIR)).collect()}
+    both = {f"{r[0]:012d}" for r in duck.sql("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src3'").fetchall()}
+    assert {c.split("#")[0] for c in found} <= both and "source = 'src3'" in own.SQL[name]
+    assert name == "search_filter_after" or len(found) == 10
