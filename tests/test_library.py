@@ -237,3 +237,17 @@ def test_scans():
     pdf = lambda data: (" ", {"pages": len(data)})
     read = files.with_ocr(pdf, lambda data: "words")
     assert read(b"12") == ("words", {"pages": 2, "ocr": True}) and read(b"1")[0] == " "
+
+
+def test_html_references_end_with_a_semicolon():
+    page = html.read("<title>a&amp;&amp</title><p>x&amp</p><p>&lt;b&gt; &copy &#65;&#66 &nosuch; &amp;lt; R&D &notit;</p><a href='/q?a=1&amp;b=2&copy=3'>l</a>", "https://e.org", True)
+    assert page == {"content": "x&amp<b> &copy A&#66 &nosuch; &lt; R&D &notit;l", "title": "a&&amp", "links": ["https://e.org/q?a=1&b=2&copy=3"]}
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    """A worker holds a few parsed pages, not those of a whole Arrow batch."""
+    pages = spark.range(300).selectExpr("id", "id % 7 AS n", "concat('https://e.org/', id) AS url", "IF(id = 5, NULL, concat('<title>', id, '</title><p>b', id, '</p><a href=n>l</a>')) AS html")
+    found = html.parse_pages(pages)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["id", "n", "url", "content", "title", "links"]
+    assert {r.id: (r.n, r.content, r.title, r.links) for r in found.collect()} == {i: (i % 7, "", f"https://e.org/{i}", []) if i == 5 else (i % 7, f"b{i}l", str(i), ["https://e.org/n"]) for i in range(300)}
