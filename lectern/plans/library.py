@@ -182,9 +182,7 @@ class Library:
     def _write(self, new: dict[str, DataFrame], place: str) -> None:
         for name, df in new.items():
             df = df.select(*schemas.names(STORED[name]))
-            if name == "blocks":
-                df = blockmax.laid_out(df)
-            elif name == "chunks":
+            if name == "chunks":
                 df = df.sortWithinPartitions("chunk_id")
             elif name == "terms":
                 df = df.sortWithinPartitions("term")
@@ -242,7 +240,7 @@ class Library:
         at = self._generations()
         n, _ = self._totals(at)
         merged = {name: self._live(name, at) for name in ("documents", "chunks", "versions", "embeddings")}
-        merged["blocks"] = blockmax.blocks(self._live("postings", at), n, "chunk_id", ("document_path",))
+        merged["blocks"] = blockmax.indexed(self._live("chunks", at), n, others=("document_path",))
         merged |= {"terms": self._frequencies(at).where("df <> 0"), "totals": self._summed(at)}
         try:
             self._commit(merged, at, whole=True)
@@ -365,13 +363,12 @@ class Library:
         documents = new.join(counts, "path", "left").select("path", "format", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), size.alias("size"), F.lit(now).cast("long").alias("indexed_at"), given.alias("metadata"))
         of_chunk = chunks.select("chunk_id", "document_path")
         total = chunks.count()
-        posted = lexical.postings(chunks.withColumn("named", F.struct("chunk_id", "document_path")), "named").select("term", "named.chunk_id", "tf", "dl", "named.document_path")
         gone = known.select("path").distinct().join(new.select("path"), "path", "left_semi")
         changes = {
             "gone": gone,
             "documents": documents,
             "chunks": chunks,
-            "blocks": blockmax.blocks(posted, total, "chunk_id", ("document_path",)),
+            "blocks": blockmax.indexed(chunks, total, others=("document_path",)),
             "versions": versions.next_versions(versions_now, new, F.lit(now)).withColumn("digest", F.sha2("content", 256)),
         }
         if self.embedder:

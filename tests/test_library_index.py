@@ -146,3 +146,18 @@ def test_a_dead_writers_number_is_given_up(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(plan, "PATIENCE", 0.2)
     library.add(docs(spark, {"q": "new text"}))
     assert library._generations() == [1, 3] and not library._settle(2, True) and library.stats() == {"documents": 2, "chunks": 2}
+
+
+def test_indexing_and_compacting_shuffle_texts_and_no_postings(spark, tmp_path, monkeypatch):
+    from lectern.operators import blockmax
+    from lectern.plans.library import Library
+
+    def never(*_, **__):
+        raise AssertionError("postings are shuffled")
+
+    monkeypatch.setattr(blockmax, "laid_out", never)
+    monkeypatch.setattr(blockmax, "blocks", never)
+    library = Library(spark, f"file://{tmp_path}/index")
+    library.add(spark.createDataFrame([("a", "txt", "some words", {}, None), ("b", "txt", "other words here", {}, None)], "path string, format string, content string, metadata map<string,string>, error string"))
+    library.compact()
+    assert [r.document_path for r in library.search("other", 5).collect()] == ["b"]
