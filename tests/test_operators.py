@@ -47,6 +47,22 @@ def test_windows(spark):
         chunking.windows(F.col("t"), 100, 100)
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(10, 0), (10, 3), (10, 5), (10, 9), (3, 1), (1, 0), (2_000_000_000, 3)])
+def test_windows_of_any_size_are_plain_slices(spark, size, overlap):
+    draw = random.Random(size + overlap)
+    texts = ["".join(draw.choices("ab \n\x85😀é", k=draw.choice([0, 1, 9, 10, 40]))) for _ in range(60)] + ["a😀" * 5000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunking.windows(F.col("t"), size, overlap)).collect()
+    assert {i: w for i, w in got} == {i: [t[s : s + size].strip(T.SPACES) for s in range(0, len(t), size - overlap)] if t.strip(T.SPACES) else [] for i, t in enumerate(texts)}
+
+
+def test_windows_of_a_long_text_take_time_by_its_length(spark):
+    """Each window once sought its place from the text's beginning: 4 MB took 38 s."""
+    long = spark.range(1).select(F.repeat(F.lit("some words é of a text. "), 170_000).alias("t"))
+    began = time.monotonic()
+    assert long.select(F.size(F.transform(chunking.windows(F.col("t")), F.length))).first()[0] == math.ceil(170_000 * 24 / 1300)
+    assert time.monotonic() - began < 10
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.sampled_from(["# A", "## B c", "---", "text", "", "INTRO PART", "1.2 Scope", "more text", "####### no"]), max_size=14))
 def test_sections_match_a_line_by_line_version(lines):
