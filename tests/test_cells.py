@@ -86,3 +86,26 @@ def test_words_are_looked_up_where_they_stand():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 * texts.nbytes
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_found_windows_alone_are_made_again(spark, monkeypatch, most):
+    """The last pass over the texts cuts the documents of found windows only; beyond the bound it's the join with all."""
+    import lectern.plans.search as plans
+
+    docs = spark.createDataFrame([(f"f{i:03d}", t) for i, t in enumerate(texts(3, 60))], "path string, content string")
+
+    def made(docs):
+        return docs.select(F.concat("path", F.lit("#0")).alias("chunk_id"), F.col("path").alias("document_path"), F.lit(0).alias("chunk_index"), "content")
+
+    asked = []
+
+    def holding(found):
+        asked.append(sorted({r.chunk_id for r in found.collect()}))
+        return made(docs.join(F.broadcast(found.select(F.substring_index("chunk_id", "#", 1).alias("path")).distinct()), "path", "left_semi"))
+
+    monkeypatch.setattr(plans, "MOST_FOUND", most)
+    queries = spark.createDataFrame(QUERIES, "query_id int, query string")
+    got, want = (sorted(map(tuple, search(made(docs), queries, 3, holding=h).select("query_id", "chunk_id", "score", "rank", "content").collect())) for h in (holding, None))
+    assert got == want and len(asked) == (most > 1)
+    assert not asked or {r[1] for r in got} <= set(asked[0]) and len(asked[0]) < 60
