@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Config, provider
-from ..functions.text import is_url, terms
-from ..operators import answers, blockmax, chunking, lexical, tables, vectors, versions
+from ..functions.text import is_url
+from ..operators import answers, blockmax, cells, chunking, lexical, tables, vectors, versions
 from ..operators.literals import among, fetched
 from ..sources import files, remote
 from . import search as searching
@@ -278,7 +278,7 @@ class Library:
             old = old.where(among("document_path", [r["path"] for r in few]))
         old = old.join(gone.select(F.col("path").alias("document_path")), "document_path", "left_semi").select("content", "dl", F.lit(-1).alias("sign"))
         both = old if added is None else old.unionByName(added.select("content", "dl", F.lit(1).alias("sign")))
-        counted = both.select(F.explode(F.array_distinct(terms(F.col("content")))).alias("term"), "sign").groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
+        counted = cells.frequencies(both, "content", "sign")
         totals = both.agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).cast("long").alias("length"))
         return {"terms": counted, "totals": totals}
 
@@ -357,7 +357,7 @@ class Library:
         now = round(time.time() * 1000)
         texts = new.select("path", "format", tables.augmented(F.col("content")).alias("content"), merged.alias("metadata"))
         cut = chunking.chunk(texts, self.config.strategy, self.config.size, self.config.overlap)
-        chunks = self._staged(cut.withColumn("dl", F.size(terms(F.col("content"))).cast("long")), f"{stage}/chunks")
+        chunks = self._staged(cut.withColumn("dl", cells.lengths(F.col("content"))), f"{stage}/chunks")
         counts = chunks.groupBy(F.col("document_path").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
         size = F.coalesce(F.try_element_at("metadata", F.lit("size")).cast("long"), F.length("content").cast("long"))
         documents = new.join(counts, "path", "left").select("path", "format", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), size.alias("size"), F.lit(now).cast("long").alias("indexed_at"), given.alias("metadata"))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import lexical
+from lectern.operators import cells, lexical
 from lectern.plans import library as plan
 from lectern.plans.library import Conflict, Library
 
@@ -161,3 +161,37 @@ def test_indexing_and_compacting_shuffle_texts_and_no_postings(spark, tmp_path,
     library.add(spark.createDataFrame([("a", "txt", "some words", {}, None), ("b", "txt", "other words here", {}, None)], "path string, format string, content string, metadata map<string,string>, error string"))
     library.compact()
     assert [r.document_path for r in library.search("other", 5).collect()] == ["b"]
+
+
+def test_indexing_cuts_texts_without_expressions_over_arrays(spark, tmp_path, monkeypatch):
+    """Lengths and the change of statistics come from one pass over the bytes; equal to arrays of terms, on odd texts and after a change."""
+    from lectern.functions import text as T
+
+    odd = {"a": "It's x-y İ ab AB " + "b" * 60 + " é", "b": "", "c": "!? 9z 9z", "d": "the the " * 40}
+    chunks = spark.createDataFrame([(k, t) for k, t in odd.items()] + [("e", None)], "path string, content string")
+    want = {r.path: r.n for r in chunks.select("path", F.size(T.terms(F.col("content"))).alias("n")).collect()}
+    assert {r.path: r.n for r in chunks.select("path", cells.lengths(F.col("content")).alias("n")).collect()} == want
+
+    def never(*_):
+        raise AssertionError("an array of terms is made")
+
+    library = Library(spark, f"file://{tmp_path}/index")
+    monkeypatch.setattr(plan, "terms", never, raising=False)
+    library.add(docs(spark, odd))
+    library.add(docs(spark, {"d": "the other", "f": "ab"}))
+    library.remove("a")
+    live = library.table("chunks")
+    at = library._generations()
+    assert {tuple(r) for r in library._frequencies(at).where("df <> 0").collect()} == {tuple(r) for r in lexical.document_frequencies(live).collect()}
+    n, mean = library._totals(at)
+    assert (n, mean) == tuple(lexical.corpus_stats(live).first())
+
+
+def test_a_range_holds_a_thousand_chunks_and_texts_are_dealt_evenly(spark):
+    """Few rows of rare terms for each range, and no task makes two shares of ranges."""
+    from lectern.operators import blockmax
+
+    chunks = spark.range(40 * 128).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("one w"), F.col("id") % 7).alias("content"))
+    made = blockmax.indexed(chunks, 5 * 1024).select("term", "block", F.spark_partition_id().alias("task"))
+    rows = made.where("term = 'one'").collect()
+    assert len(rows) == 5 and sorted(Counter(r.task for r in rows).values()) == [2, 3]
