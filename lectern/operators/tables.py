@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_CLASS, let, trim
+from ..functions.text import SPACE_CLASS, SPACES, let, trim
 
 LEAST_LENGTH, LEAST_RATIO = 40, 0.6
 MARKER = "<!-- extracted tables -->"
 _GAP = SPACE_CLASS + "{2,}"
+#: A text without pipes needs one of these for a wide gap within a line.
+_GAPS = ["  ", *(c for c in SPACES if c not in " \n")]
 _RULE = r"\A" + SPACE_CLASS[:-1] + r"|:-]+\z"
 
 
@@ -65,8 +67,12 @@ def _read(lines: Column) -> Column:
 
 def table_arrays(text: Column) -> Column:
     """The tables (headers, rows) of a text, in order; a null text has none."""
-    found = let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trim), lambda lines: F.transform(_islands(lines), _read))
-    return F.filter(found, lambda t: t.isNotNull())
+    bare = F.coalesce(text, F.lit(""))
+    found = let(F.transform(F.split(bare, "\n"), trim), lambda lines: F.transform(_islands(lines), _read))
+    possible = F.contains(bare, F.lit("|"))
+    for gap in _GAPS:
+        possible |= F.contains(bare, F.lit(gap))
+    return F.when(possible, F.filter(found, lambda t: t.isNotNull())).otherwise(F.array().cast("array<struct<headers:array<string>,rows:array<array<string>>>>"))
 
 
 def to_markdown(table: Column) -> Column:

@@ -167,6 +167,15 @@ def test_tables_match_a_line_by_line_version(spark):
     assert sum(len(r.found) for r in got) > 300 and any(not x.headers for r in got for x in r.found)
 
 
+def test_tables_are_looked_for_only_where_one_can_be(spark):
+    """A text without pipes and gaps is left as it is at sight; each kind of white space makes a gap that is found."""
+    texts = ["\n".join(f"the long name of a row in a table {i}{white}{white}the value" for i in range(4)) for white in [*T.SPACES.replace("\n", ""), "\n", "", "-"]]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", tables.table_arrays(F.col("t")).alias("found")).collect()
+    assert all([x.asDict(True) for x in r.found] == plain_tables.find_tables(r.t) for r in got) and sum(len(r.found) for r in got) == len(T.SPACES) - 1
+    plan = spark.createDataFrame([("a",)], "t string").select(tables.table_arrays(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan.split("Project [")[1][:20]
+
+
 def test_tables_of_a_very_long_text(spark):
     text = "\n".join("" if i % 10 == 9 else f"| cell {i} | another cell of the row | a third one |" for i in range(100_000))
     began = time.monotonic()
