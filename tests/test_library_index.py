@@ -195,3 +195,16 @@ def test_a_range_holds_a_thousand_chunks_and_texts_are_dealt_evenly(spark):
     made = blockmax.indexed(chunks, 5 * 1024).select("term", "block", F.spark_partition_id().alias("task"))
     rows = made.where("term = 'one'").collect()
     assert len(rows) == 5 and sorted(Counter(r.task for r in rows).values()) == [2, 3]
+
+
+def test_a_watch_counts_terms_on_bytes(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("an array of terms is made")
+
+    monkeypatch.setattr(plan, "terms", never, raising=False)
+    (tmp_path / "in").mkdir()
+    for name, text in {"a": "one two", "b": "two THREE x"}.items():
+        (tmp_path / "in" / f"{name}.txt").write_text(text)
+    library = Library(spark, f"file://{tmp_path}/index")
+    library.watch(f"{tmp_path}/in", once=True).awaitTermination()
+    assert {tuple(r) for r in library._frequencies(library._generations()).collect()} == {("one", 1), ("two", 2), ("three", 1)}
